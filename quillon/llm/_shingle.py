@@ -119,3 +119,11 @@ def shingles(data: np.ndarray, off: np.ndarray, words: int = 5) -> tuple[np.ndar
     new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
     grams, doc = grams[new], doc[new]
     return grams, np.searchsorted(doc, np.arange(n + 1))
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int) -> list[pa.RecordBatch]:
+    """Slices of a batch whose texts have about `limit` bytes; a longer text stands alone."""
+    _, off = utf8(batch.column(column))
+    cut = np.flatnonzero(np.diff(off[1:] // limit, prepend=0)) if len(batch) else np.zeros(0, int)
+    ends = np.unique(np.concatenate([[0], cut, cut + 1, [len(batch)]]))
+    return [batch.slice(a, b - a) for a, b in zip(ends, ends[1:])]

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import bucket_of, buckets, settle, texts
-from quillon.llm._shingle import mix, shingles, utf8
+from quillon.llm._common import buckets, settle, texts
+from quillon.llm._shingle import by_bytes, mix, shingles, utf8
 from quillon.llm.components import components
 
 _U = np.uint64
@@ -40,8 +40,7 @@ def _signature(h: np.ndarray) -> bytes:
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                b = batch.slice(at, 500)
+            for b in by_bytes(batch, 1, 2_000_000):
                 g, off = shingles(*utf8(b.column(1)), words)
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -263,8 +262,7 @@ def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                b = batch.slice(at, 500)
+            for b in by_bytes(batch, 0, 2_000_000):
                 g, off = shingles(*utf8(b.column("text")), words)
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 fits = [_signature(s) == x for s, x in zip(sets, b.column("sig").to_pylist())]

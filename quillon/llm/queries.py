@@ -43,6 +43,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.urls import judge
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_secrets": op6_secrets,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_urls": op8_urls,
 }
 ORACLES: dict[str, str] = {
