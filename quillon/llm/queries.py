@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.hamming import top_k_sql
 from quillon.llm.urls import judge_sql
 
 
@@ -31,6 +32,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.hamming import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.near_dup import near_duplicates
 
@@ -58,11 +71,14 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op3_forest": op3_forest,
+    "op4_hamming": op4_hamming,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_secrets": op6_secrets,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_urls": op8_urls,
 }
 ORACLES: dict[str, str] = {
+    "op4_hamming": top_k_sql(),
     "op8_urls": judge_sql(),
 }
