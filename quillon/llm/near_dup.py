@@ -5,10 +5,11 @@ with equal shingle sets are one from here on. Each retained value has an inverte
 document's values only its rarest stand in lists: documents that are similar enough share at
 least `shared` of k values (but for a chance below 1e-8), so they meet in a list even if each
 leaves out all but its k - shared + 1 rarest. A list is dealt into blocks of bounded size, with
-its pivot in each. Within a block, pivots are compared with all others of nearly their size by
-the estimate from the union's sketch; pairs that pass are verified on the full shingle sets.
-Later rounds compare what the verified links have left apart, until nothing is: a list's
-documents outside its main component meet every block. Links end as connected components.
+one member in each. Within a block, documents of nearly one size are compared by the estimate
+from the union's sketch, in memory, and a spanning set of the pairs that pass goes on to be
+verified on the full shingle sets. Later rounds compare what the verified links have left apart,
+until nothing is: a list's documents outside its main component meet every block. Links end as
+connected components.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from quillon.llm.components import components
 _U = np.uint64
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Retained values, those of them that two similar documents share at least, documents in a block.
-K, SHARED, BLOCK = 32, 14, 4096
+K, SHARED, BLOCK = 32, 14, 2048
+#: Within a list, pairs are estimated by more values: so many, of which similar documents share at
+#: least WIDE_SHARED in the union's sketch, and WIDE_SURE or more when they look safely alike.
+WIDE, WIDE_SHARED, WIDE_SURE = 128, 82, 118
 
 
 def _signature(h: np.ndarray) -> bytes:
@@ -61,99 +65,141 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(b)), n))), pa.array(np.concatenate([np.zeros(0, np.int64), *v]))], names=["sig", "value"])
 
 
-def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of sketches (rows): values in common within the union's sketch, and its size."""
-    if not len(a):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.sort(np.concatenate([a, b], 1), 1)
-    twice = np.zeros(both.shape, bool)
-    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
-    rank = np.cumsum(~twice & (both != NONE), 1)
-    size = rank[:, -1]
-    limit = np.where((na > K) | (nb > K), np.minimum(size, K), size)  # sketches of whole sets give the whole union
-    return (twice & (rank <= limit[:, None])).sum(1), limit
-
-
-def passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    common, size = estimates(a, b, na, nb)
-    whole = (na <= K) & (nb <= K)
-    return np.where(whole, 100 * common >= percent * size, common >= SHARED)
-
-
-def _near_size(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-
-
-def _pivots(m: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (pivot, other) of list members that pass: pivots, one a list and turn, meet all of it."""
-    start, end = m["start"], m["end"]
-    free = np.ones(len(m["n"]), bool)
-    lists = np.arange(len(start))
-    while len(lists):
-        # The next pivot of a list is its first free member: members stand by falling weight.
-        sizes = end[lists] - start[lists]
-        idx = np.repeat(start[lists] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        of = np.repeat(np.arange(len(lists)), sizes)
-        ok = free[idx]
-        first = np.full(len(lists), -1, np.int64)
-        where = np.flatnonzero(ok)[::-1]
-        first[of[where]] = idx[where]
-        lists, keep = lists[first >= 0], first[of] >= 0
-        idx, pivot = idx[keep], first[of[keep]]
-        free[pivot] = False
-        other = (idx != pivot) & _near_size(m["n"][idx], m["n"][pivot], percent) & m["apart"](idx, pivot)
-        p, x = pivot[other], idx[other]
-        for at in range(0, len(p), 50_000):
-            q, y = p[at : at + 50_000], x[at : at + 50_000]
-            hit = passes(m["sketch"][q], m["sketch"][y], m["n"][q], m["n"][y], percent)
-            free[y[hit]] = False
-            yield q[hit], y[hit]
+class Members:
+    """The members of a bucket's lists, with the smallest WIDE hashes of each one's set."""
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes], percent: int):
+        self.n, self.percent, self.whole = n, percent, n <= WIDE
+        self.s = np.full((len(n), WIDE), NONE, _U)
+        for i, x in enumerate(sketches):
+            v = np.frombuffer(x, _U)[:WIDE]
+            self.s[i, : len(v)] = v
+
+    def near_size(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(self.n[i], self.n[j]) >= self.percent * np.maximum(self.n[i], self.n[j])
+
+    def passes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether pairs are similar: exactly if both sets are whole, else by the union's sketch."""
+        out = self.near_size(i, j)
+        todo = np.flatnonzero(out)
+        for at in range(0, len(todo), 20_000):
+            k = todo[at : at + 20_000]
+            both = np.sort(np.concatenate([self.s[i[k]], self.s[j[k]]], 1), 1)
+            twice = np.zeros(both.shape, bool)
+            twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
+            rank = np.cumsum(~twice & (both != NONE), 1)
+            whole, size = self.whole[i[k]] & self.whole[j[k]], rank[:, -1]
+            common = (twice & (rank <= np.where(whole, size, WIDE)[:, None])).sum(1)
+            out[k] = np.where(whole, 100 * common >= self.percent * size, common >= WIDE_SHARED)
+        return out
+
+    def overlaps(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For rows of a list's members [a, b), the hashes they share with each of its members."""
+        s = self.s[a:b]
+        flat = s.ravel()
+        row = np.repeat(np.arange(b - a), WIDE)[flat != NONE]
+        values, inverse, count = np.unique(flat[flat != NONE], return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        use = count[inverse] > 1
+        row, col = row[use], column[inverse[use]]
+        width, step = int((count > 1).sum()), 4096
+        parts = []
+        for c in range(0, width, step):
+            m = np.zeros((b - a, min(step, width - c)), np.float32)
+            ok = (col >= c) & (col < c + step)
+            m[row[ok], col[ok] - c] = 1
+            parts.append(m)
+        for at in range(0, b - a, 256):
+            got = np.zeros((min(256, b - a - at), b - a), np.float32)
+            for m in parts:
+                got += m[at : at + 256] @ m.T
+            yield np.arange(a + at, min(b, a + at + 256)), got.astype(np.int64)
+
+
+def _forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> tuple[list, list]:
+    """Of links u-v (u in order) those that join different labels, which it joins in place."""
+    us, vs = [], []
+    edges = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else []
+    for at, end in zip(edges, np.append(edges[1:], len(u)) if len(u) else []):
+        i, x = u[at], v[at:end]
+        other, first = np.unique(label[x], return_index=True)
+        ok = other != label[i]
+        if ok.any():
+            us += [i] * int(ok.sum())
+            vs += x[first[ok]].tolist()
+            label[np.isin(label, other[ok])] = label[i]
+    return us, vs
 
 
 def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
     """Candidate pairs of the lists in a bucket.
 
-    First each list's pivots; once components are known (settled), every pair across them of
-    which one stands outside the block's main component.
+    At first, for each list, links enough to span what looks alike. Once components are known
+    (settled), every pair that passes across components; of whole sets, which are compared
+    exactly, only those of documents that are asked in a further block.
     """
     if settled:
         t = t.sort_values("asked", ascending=False)
-    t = t.sort_values(["value", "block", "weight", "sig"], ascending=[True, True, False, True], kind="stable").drop_duplicates(["value", "block", "sig"])
-    n = t["n"].to_numpy(np.int64)
-    sketch = np.full((len(t), K), NONE, _U)
-    for i, s in enumerate(t["sketch"]):
-        v = np.frombuffer(s, _U)
-        sketch[i, : len(v)] = v
-    key = t["value"].to_numpy() * 1_000_003 + t["block"].to_numpy()
+    t = t.sort_values(["value", "block", "sig"], kind="stable").drop_duplicates(["value", "block", "sig"])
+    m = Members(t["n"].to_numpy(np.int64), t["sketch"].tolist(), percent)
+    value, block = t["value"].to_numpy(), t["block"].to_numpy()
     new = np.ones(len(t), bool)
-    new[1:] = (key[1:] != key[:-1]) | (t["value"].to_numpy()[1:] != t["value"].to_numpy()[:-1])
+    new[1:] = (value[1:] != value[:-1]) | (block[1:] != block[:-1])
     start = np.flatnonzero(new)
     end = np.append(start[1:], len(t))
-    sig = t["sig"].to_numpy()
-    us, vs = [], []
-    if not settled:
-        m = {"n": n, "sketch": sketch, "start": start, "end": end, "apart": lambda a, b: np.ones(len(a), bool)}
-        for p, x in _pivots(m, percent):
-            us.append(p)
-            vs.append(x)
-    else:
-        root = pd.factorize(t["root"])[0]
-        asked = t["asked"].to_numpy(bool)
-        for a, b in zip(start, end):
-            r = root[a:b]
-            if (r == r[0]).all():
+    label = pd.factorize(t["root"])[0] if settled else np.arange(len(t))
+    asked = t["asked"].to_numpy(bool) if settled else np.zeros(len(t), bool)
+    us: list = []
+    vs: list = []
+    size = end - start
+    for few in (2, 3, 4):
+        a = start[size == few]
+        for d in range(few):
+            for e in range(d + 1, few):
+                i, j = a + d, a + e
+                ok = label[i] != label[j]
+                i, j = i[ok], j[ok]
+                hit = m.passes(i, j)
+                us += i[hit].tolist()
+                vs += j[hit].tolist()
+    for a, b in zip(start[size > 4], end[size > 4]):
+        lab = label[a:b]
+        if (lab == lab[0]).all():
+            continue
+        later: list = []
+        for rows, common in m.overlaps(a, b):
+            i = rows[:, None]
+            j = np.arange(a, b)[None, :]
+            ok = (i < j) & (label[i] != label[j]) & m.near_size(i, j)
+            both = m.whole[i] & m.whole[j]
+            exact = 100 * common >= percent * (m.n[i] + m.n[j] - common)
+            if settled:
+                ok &= np.where(both, exact & (asked[i] | asked[j]), common >= WIDE_SHARED)
+                x, y = np.nonzero(ok)
+                x, y = rows[x], y + a
+                hit = m.passes(x, y)
+                us += x[hit].tolist()
+                vs += y[hit].tolist()
                 continue
-            main = np.bincount(r).argmax()
-            for i in np.flatnonzero((r != main) | asked[a:b]) + a:
-                x = np.arange(a, b)
-                x = x[(root[a:b] != root[i]) & _near_size(n[a:b], n[i], percent)]
-                hit = passes(sketch[np.full(len(x), i)], sketch[x], n[np.full(len(x), i)], n[x], percent)
-                us.append(np.full(hit.sum(), i))
-                vs.append(x[hit])
-    u, v = (np.concatenate([np.zeros(0, np.int64), *w]) for w in (us, vs))
-    a, b = sig[u], sig[v]
-    swap = a > b
-    return pd.DataFrame({"u": np.where(swap, b, a), "v": np.where(swap, a, b)}).drop_duplicates()
+            for sure in (ok & np.where(both, exact, common >= WIDE_SURE),):
+                x, y = np.nonzero(sure)
+                f = _forest(rows[x], y + a, label)
+                us += f[0]
+                vs += f[1]
+            x, y = np.nonzero(ok & ~both & (common >= WIDE_SHARED) & (common < WIDE_SURE))
+            later.append((rows[x], y + a))
+        for x, y in later:
+            ok = label[x] != label[y]
+            x, y = x[ok], y[ok]
+            hit = m.passes(x, y)
+            f = _forest(x[hit], y[hit], label)
+            us += f[0]
+            vs += f[1]
+    u, v = np.array(us, np.int64), np.array(vs, np.int64)
+    sig = t["sig"].to_numpy()
+    x, y = sig[u], sig[v]
+    swap = x > y
+    return pd.DataFrame({"u": np.where(swap, y, x), "v": np.where(swap, x, y)}).drop_duplicates()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,41 +248,36 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> Da
     take = size - least + 1 - (size - F.size("lists"))
     listed = own.join(reps, "sig").withColumn("take", take).where("take > 0")
     weight = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    listed = listed.select("sig", "n", "sketch", weight.alias("weight"), F.explode(F.expr("slice(lists, 1, take)")).alias("x"))
-    listed = settle(listed.select("sig", "n", "sketch", "weight", F.col("x.value").alias("value"), F.col("x.df").alias("df")))
-    n_listed = listed.count()
-    deal = buckets(spark, n_listed, 20_000)
+    listed = listed.select("sig", "n", weight.alias("weight"), F.explode(F.expr("slice(lists, 1, take)")).alias("x"))
+    listed = settle(listed.select("sig", "n", "weight", F.col("x.value").alias("value"), F.col("x.df").alias("df")))
+    deal = buckets(spark, listed.count(), 10_000)
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("sig"), blocks).cast("int")
+    sets = _full_sets(base, reps, listed.select("sig").distinct(), words)
+    sketches = sets.select("sig", F.substring("hashes", 1, 8 * WIDE).alias("sketch"))
 
-    # The pivot of a list that has several blocks stands in each.
-    top = listed.where(F.col("df") > BLOCK).groupBy("value").agg(F.max_by(F.struct("sig", "n", "sketch", "weight", "df"), F.struct("weight", "sig")).alias("p"))
-    top = top.select("p.sig", "p.n", "p.sketch", "p.weight", "value", "p.df").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    first = listed.withColumn("block", block).unionByName(top)
+    # One member of a list that has several blocks stands in each.
+    top = listed.where(F.col("df") > BLOCK).groupBy("value").agg(F.max_by(F.struct("sig", "n", "df"), F.struct("weight", "sig")).alias("p"))
+    top = top.select("p.sig", "p.n", "value", "p.df").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    first = listed.drop("weight").withColumn("block", block).unionByName(top)
 
     def candidates(t: DataFrame, settled: bool) -> DataFrame:
         more = ["root", "asked"] if settled else []
-        t = t.select("value", "block", "sig", "n", "sketch", "weight", *more).withColumn("bucket", F.pmod(F.xxhash64("value", "block"), F.lit(deal)))
+        t = t.join(sketches, "sig").select("value", "block", "sig", "n", "sketch", *more).withColumn("bucket", F.pmod(F.xxhash64("value", "block"), F.lit(deal)))
         return t.groupBy("bucket").applyInPandas(lambda x: _block(x, percent, settled), "u binary, v binary").distinct()
 
     pairs = settle(candidates(first, False))
-    links = None
-    tested = pairs
-    sets: DataFrame | None = None
-    while True:
-        if pairs.isEmpty():
-            break
-        asked = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct()
-        sets = _full_sets(base, reps, asked, words)
-        checked = settle(_verify(pairs, sets, percent))
-        good = checked.where("ok").select("u", "v")
+    tested, links = pairs, None
+    while not pairs.isEmpty():
+        good = settle(_verify(pairs, sets, percent).where("ok").select("u", "v"))
         links = good if links is None else links.unionAll(good)
         roots = settle(components(links))
-        rooted = listed.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        # Only lists that the links leave in more than one component; their outsiders meet every block.
+        rooted = listed.drop("weight").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        # Only lists that the links leave in more than one component; of those that have several
+        # blocks, the documents outside the main component meet every block.
         apart = rooted.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
         apart = apart.groupBy("value").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1").drop("roots")
-        rooted = rooted.join(apart, "value").withColumn("asked", F.lit(False)).withColumn("block", block)
+        rooted = settle(rooted.join(apart, "value").withColumn("asked", F.lit(False)).withColumn("block", block))
         out = rooted.where((F.col("df") > BLOCK) & (F.col("root") != F.col("main"))).withColumn("asked", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
         pairs = settle(candidates(out.unionByName(rooted), True).join(tested, ["u", "v"], "left_anti"))
         tested = tested.unionAll(pairs)
