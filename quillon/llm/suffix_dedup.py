@@ -4,14 +4,16 @@ A byte goes if a string of `least` bytes covers it that also starts in a documen
 doc_id. Each such window of a document has an anchor: the position of its smallest hashed
 q-gram, which equal windows choose alike. Neighbouring windows with one anchor travel together
 as one stretch of text, dealt by the anchor's q-gram, so that equal windows meet in a bucket.
+Blocks of documents first offer only the hashes of their q-grams and learn which of them other
+documents have; the other stretches stay where they are.
 
-There the stretches' prefix polynomial hashes give the hash of any substring at once, and a
+In a bucket the stretches' prefix polynomial hashes give the hash of any substring at once, and a
 binary search over them the common extension of two suffixes. Stretches that are equal in whole
 collapse first. The windows of the rest, grouped by anchor q-gram and place, are sorted by
 mergesort with that comparison, so equal windows stand side by side; equality by hash is
 verified on the bytes. What is removed returns to the documents as spans, in blocks of documents.
 
-A stretch that repeats within a batch of documents is sent once, so text that very many
+A stretch that repeats within a chunk of documents is sent once, so text that very many
 documents share does not gather in one bucket.
 """
 
@@ -95,7 +97,7 @@ def stretches(data: np.ndarray, off: np.ndarray, least: int, s: np.ndarray) -> t
     return start, np.flatnonzero(last) + least, anchor[start]
 
 
-def _pieces(docs: list[int | None], blocks: list[int], column: pa.Array, least: int) -> Iterator[tuple]:
+def _pieces(column: pa.Array, least: int) -> Iterator[tuple]:
     """Texts laid end to end as (data, offsets, document numbers, start in the document); a very
     long text comes in pieces that overlap by a window, so that no window is lost."""
     data, off = utf8(column)
@@ -114,50 +116,120 @@ def text_key(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(span_hash(s, off[:-1], off[1:]) + np.diff(off).astype(_U)).view(np.int64)
 
 
-def _cut(least: int, deal: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in by_bytes(whole, 1, BATCH):
-                docs, block = b.column(0).to_pylist(), np.asarray(b.column(2), np.int32)
-                keys = text_key(*utf8(b.column(1)))
-                ids = np.array([0 if d is None else d for d in docs], np.int64)
-                for data, off, number, begins in _pieces(docs, block, b.column(1), least):
-                    s = prefix_hash(data)
-                    start, end, anchor = stretches(data, off, least, s)
-                    row = np.searchsorted(off, start, "right") - 1
-                    doc = number[row]
-                    known = np.array([d is not None for d in docs], bool)[doc]
-                    start, end, anchor, row, doc = (x[known] for x in (start, end, anchor, row, doc))
-                    size = end - start
-                    # Equal stretches of the batch: the smallest doc_id's goes on, later ones' bytes go at once.
-                    same = mix(span_hash(s, start, end) + size.astype(_U))
-                    order = np.lexsort((start, ids[doc], same))
-                    head = np.ones(len(order), bool)
-                    head[1:] = same[order][1:] != same[order][:-1]
-                    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-                    twin = np.zeros(len(order), bool)
-                    later = ids[doc[order]] > ids[doc[lead]]
-                    o, led = order[later], lead[later]
-                    equal = size[o] == size[led]
-                    o, led = o[equal], led[equal]
-                    twin[o[same_bytes(data, start[o], start[led], size[o])]] = True
-                    bucket = (mix(span_hash(s, anchor, anchor + GRAM)) % _U(deal)).astype(np.int32)
-                    by = np.lexsort((twin, bucket))
-                    edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-                    out, numbers = [], []
-                    for a, z in zip(edges, np.append(edges[1:], len(by))):
-                        x = by[a:z]
-                        own, inv = np.unique(doc[x], return_inverse=True)
-                        sent = x[~twin[x]]
-                        out.append(
-                            packed(
-                                ids[own], keys[own], block[own], inv.astype(np.uint32), (begins[row[x]] + start[x] - off[row[x]]).astype(np.int64),
-                                size[x].astype(np.uint16), (anchor[x] - start[x]).astype(np.uint8), twin[x], data[ranges(start[sent], size[sent])],
-                            )
-                        )
-                        numbers.append(bucket[x[0]])
-                    for i in range(0, len(out), 64):
-                        yield pa.RecordBatch.from_arrays([pa.array(numbers[i : i + 64], pa.int32()), pa.array(out[i : i + 64], pa.binary())], names=["bucket", "data"])
+def _chunks(t: pa.Table, least: int) -> Iterator[tuple]:
+    """The stretches of a table of documents, chunk by chunk."""
+    for batch in t.select(["doc_id", "text"]).combine_chunks().to_batches():
+        for b in by_bytes(batch, 1, BATCH):
+            docs = b.column(0).to_pylist()
+            keys = text_key(*utf8(b.column(1)))
+            ids, known = np.array([0 if d is None else d for d in docs], np.int64), np.array([d is not None for d in docs], bool)
+            for data, off, number, begins in _pieces(b.column(1), least):
+                s = prefix_hash(data)
+                start, end, anchor = stretches(data, off, least, s)
+                row = np.searchsorted(off, start, "right") - 1
+                ok = known[number[row]]
+                start, end, anchor, row = (x[ok] for x in (start, end, anchor, row))
+                yield data, s, start, end, anchor, number[row], begins[row] + start - off[row], ids, keys
+
+
+def _grams(s: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
+    """The anchors' q-grams as hashes of so many bits."""
+    return mix(span_hash(s, anchor, anchor + GRAM)) >> _U(64 - bits)
+
+
+def _block_grams(t: pa.Table, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct q-gram hashes of a block, sorted, and whether several documents have them."""
+    found, last = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for k, (_, s, _, _, anchor, doc, _, ids, _) in enumerate(_chunks(t, least)):
+        found.append(_grams(s, anchor, bits))
+        last.append(ids[doc])
+    g, d = np.concatenate(found), np.concatenate(last)
+    by = np.argsort(g, kind="stable")
+    g, d = g[by], d[by]
+    edges = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
+    several = np.minimum.reduceat(d, edges) < np.maximum.reduceat(d, edges) if len(g) else np.zeros(0, bool)
+    return g[edges], several
+
+
+def _bounds(deal: int, bits: int) -> np.ndarray:
+    """First hash of each bucket."""
+    return np.array([(i << bits) // deal for i in range(deal)], _U)
+
+
+def _offer(least: int, bits: int, deal: int):
+    """Each block's q-gram hashes, dealt by their size."""
+
+    def run(t: pa.Table) -> pa.Table:
+        block = t.column("block")[0].as_py()
+        g, several = _block_grams(t, least, bits)
+        at = np.searchsorted(g, _bounds(deal, bits))
+        ends = np.append(at[1:], len(g))
+        out = [(i, packed(*_steps(g[a:z]), np.packbits(several[a:z]))) for i, (a, z) in enumerate(zip(at, ends)) if z > a]
+        return pa.table({"bucket": pa.array([i for i, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.int32()), "data": pa.array([x for _, x in out], pa.binary())})
+
+    return run
+
+
+def _steps(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers as the first one and the steps, as narrow as they allow."""
+    d = np.diff(g)
+    return g[:1], d.astype(np.uint32) if not len(d) or d.max() < 1 << 32 else d
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """Which of each block's hashes other documents have too, as bits in the hashes' order."""
+    blocks, grams, bits = t.column("block"), [], []
+    for b in t.column("data"):
+        first, steps, several = unpacked(b.as_py())
+        grams.append(np.concatenate([first, first[0] + np.cumsum(steps, dtype=_U)]))
+        bits.append(np.unpackbits(several)[: len(grams[-1])])
+    g = np.concatenate(grams)
+    _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
+    shared = (count > 1)[inverse] | np.concatenate(bits).astype(bool)
+    parts = np.split(shared, np.cumsum([len(x) for x in grams])[:-1])
+    return pa.table({"block": blocks.cast(pa.int32()), "bucket": t.column("bucket").cast(pa.int32()), "data": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
+
+
+def _cut(least: int, bits: int, deal: int):
+    """The stretches of a block whose q-gram other documents have too, dealt by it."""
+
+    def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        out: list[bytes] = []
+        numbers: list[int] = []
+        if not t.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        block = t.column("block")[0].as_py()
+        grams, _ = _block_grams(t, least, bits)
+        shared = np.zeros(len(grams), bool)
+        at = np.append(np.searchsorted(grams, _bounds(deal, bits)), len(grams))
+        for i, b in zip(answers.column("bucket").to_pylist(), answers.column("data")):
+            shared[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(b.as_py(), np.uint8))[: at[i + 1] - at[i]]
+        for data, s, start, end, anchor, doc, place, ids, keys in _chunks(t, least):
+            g = _grams(s, anchor, bits)
+            use = shared[np.searchsorted(grams, g)]
+            start, end, anchor, doc, place, g = (x[use] for x in (start, end, anchor, doc, place, g))
+            size = end - start
+            # Equal stretches of the chunk: the smallest doc_id's goes on, later ones' bytes go at once.
+            same = mix(span_hash(s, start, end) + size.astype(_U))
+            order = np.lexsort((start, ids[doc], same))
+            head = np.ones(len(order), bool)
+            head[1:] = same[order][1:] != same[order][:-1]
+            lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
+            twin = np.zeros(len(order), bool)
+            later = (ids[doc[order]] > ids[doc[lead]]) & (size[order] == size[lead])
+            o, led = order[later], lead[later]
+            twin[o[same_bytes(data, start[o], start[led], size[o])]] = True
+            bucket = np.searchsorted(_bounds(deal, bits), g, "right") - 1
+            by = np.lexsort((twin, bucket))
+            edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+            for a, z in zip(edges, np.append(edges[1:], len(by))):
+                x = by[a:z]
+                own, inv = np.unique(doc[x], return_inverse=True)
+                sent = x[~twin[x]]
+                text = data[ranges(start[sent], size[sent])]
+                out.append(packed(ids[own], keys[own], np.full(len(own), block, np.int32), inv.astype(np.uint16 if len(own) < 1 << 16 else np.uint32), place[x].astype(np.uint32 if place[x].max() < 1 << 32 else np.int64), size[x].astype(np.uint16), (anchor[x] - start[x]).astype(np.uint8), twin[x], text))
+                numbers.append(bucket[x[0]])
+        return pa.table({"bucket": pa.array(numbers, pa.int32()), "data": pa.array(out, pa.binary())})
 
     return run
 
@@ -351,10 +423,12 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False)
     spark = docs.sparkSession
     base = texts(docs)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ways = buckets(spark, total, BUCKET)
-    deal = buckets(spark, 4 * total, BUCKET)
+    ways, deal = buckets(spark, total, BUCKET), buckets(spark, total, BUCKET)
+    bits = min(60, int(total).bit_length() + 12)  # few q-grams share a hash by chance
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ways)).cast("int"))
-    sent = base.mapInArrow(_cut(least, deal), "bucket int, data binary")
+    offers = base.groupBy("block").applyInArrow(_offer(least, bits, deal), "bucket int, block int, data binary")
+    answers = offers.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, data binary")
+    sent = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut(least, bits, deal), "bucket int, data binary")
     spans = sent.groupBy("bucket").applyInArrow(_reduce(least), "block int, spans binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return base.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_keep(with_text), schema)
