@@ -32,8 +32,9 @@ from quillon.llm._common import buckets, texts
 from quillon.llm._shingle import by_bytes, mix, prefix_hash, span_hash, utf8
 
 _U = np.uint64
-#: Bytes of text in a batch, and of stretches in a bucket.
-BATCH, BUCKET = 3_000_000, 8_000_000
+#: Bytes of text in a chunk, in a block of documents, and for each bucket of stretches; windows
+#: that are sorted at a time (a group of windows is never split).
+BATCH, BLOCK, BUCKET, WINDOWS = 1_000_000, 4_000_000, 2_000_000, 250_000
 GRAM = 16
 
 
@@ -194,10 +195,11 @@ def _cut(least: int, bits: int, deal: int):
     """The stretches of a block whose q-gram other documents have too, dealt by it."""
 
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
-        out: list[bytes] = []
-        numbers: list[int] = []
+        nothing = pa.table({"bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
         if not t.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+            return nothing
+        parts: list[tuple] = []
+        contents: list[np.ndarray] = []
         block = t.column("block")[0].as_py()
         grams, _ = _block_grams(t, least, bits)
         shared = np.zeros(len(grams), bool)
@@ -219,16 +221,25 @@ def _cut(least: int, bits: int, deal: int):
             later = (ids[doc[order]] > ids[doc[lead]]) & (size[order] == size[lead])
             o, led = order[later], lead[later]
             twin[o[same_bytes(data, start[o], start[led], size[o])]] = True
-            bucket = np.searchsorted(_bounds(deal, bits), g, "right") - 1
-            by = np.lexsort((twin, bucket))
-            edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-            for a, z in zip(edges, np.append(edges[1:], len(by))):
-                x = by[a:z]
-                own, inv = np.unique(doc[x], return_inverse=True)
-                sent = x[~twin[x]]
-                text = data[ranges(start[sent], size[sent])]
-                out.append(packed(ids[own], keys[own], np.full(len(own), block, np.int32), inv.astype(np.uint16 if len(own) < 1 << 16 else np.uint32), place[x].astype(np.uint32 if place[x].max() < 1 << 32 else np.int64), size[x].astype(np.uint16), (anchor[x] - start[x]).astype(np.uint8), twin[x], text))
-                numbers.append(bucket[x[0]])
+            sent = ~twin
+            parts.append((g, ids[doc], keys[doc], place, size.astype(np.uint16), (anchor - start).astype(np.uint8), twin))
+            contents.append(data[ranges(start[sent], size[sent])])
+        if not parts:
+            return nothing
+        g, ids, keys, place, size, anchor, twin = (np.concatenate(c) for c in zip(*parts))
+        text = np.concatenate(contents)
+        length = np.where(twin, 0, size).astype(np.int64)
+        begin = np.cumsum(length) - length
+        bucket = np.searchsorted(_bounds(deal, bits), g, "right") - 1
+        by = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+        out, numbers = [], []
+        for a, z in zip(edges, np.append(edges[1:], len(by))):
+            x = by[a:z]
+            own, inv = np.unique(np.stack([ids[x], keys[x]], 1), axis=0, return_inverse=True)
+            kind = np.uint32 if place[x].max() < 1 << 32 else np.int64
+            out.append(packed(own[:, 0].copy(), own[:, 1].copy(), np.full(len(own), block, np.int32), inv.ravel().astype(np.uint32), place[x].astype(kind), size[x], anchor[x], twin[x], text[ranges(begin[x], length[x])]))
+            numbers.append(bucket[x[0]])
         return pa.table({"bucket": pa.array(numbers, pa.int32()), "data": pa.array(out, pa.binary())})
 
     return run
@@ -316,40 +327,49 @@ def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.nd
     edges = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
     several = np.minimum.reduceat(ids[rest], edges) < np.maximum.reduceat(ids[rest], edges) if len(g) else np.zeros(0, bool)
     rest = rest[np.repeat(several, np.diff(np.append(edges, len(g))))]
-    if len(rest):
-        count = size[rest] - least + 1
-        of = np.repeat(rest, count)
-        x = ranges(np.zeros(len(rest), np.int64), count)
-        # Windows that can be equal have the anchor's q-gram in common, and its place in them.
-        key = gram[of] * _U(0xC2B2AE3D27D4EB4F) + (anchor[of] - x).astype(_U)
-        by = np.argsort(key, kind="stable")
-        of, x, key = of[by], x[by], key[by]
-        suffix = Suffixes(data, s, least)
-        at = start[of] + x
-        by = suffix.sort(at, key)
-        of, x, key, at = of[by], x[by], key[by], at[by]
-        eq = (key[1:] == key[:-1]) & (suffix.extension(at[1:], at[:-1]) == least)
-        eq[eq] = same_bytes(data, at[1:][eq], at[:-1][eq], np.full(eq.sum(), least))
-        edges = np.flatnonzero(np.append(True, ~eq))
-        smallest = np.repeat(np.minimum.reduceat(ids[of], edges), np.diff(np.append(edges, len(of))))
-        gone = ids[of] > smallest
-        of, x = of[gone], x[gone]
-        by = np.lexsort((x, of))
-        of, x = of[by], x[by]
-        new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (x[1:] != x[:-1] + 1)
-        a = np.flatnonzero(new)
-        z = np.append(a[1:], len(of)) - 1
-        if len(a):
-            found.append((of[a], x[a], x[z] + least))
-            led, followers = lead[follow], o[follow]
-            by = np.argsort(of[a], kind="stable")
-            lo, hi = np.searchsorted(of[a][by], led), np.searchsorted(of[a][by], led, "right")
-            pick = by[ranges(lo, hi - lo)]
-            found.append((np.repeat(followers, hi - lo), x[a][pick], x[z][pick] + least))
+    led, followers = lead[follow], o[follow]
+    suffix = Suffixes(data, s, least)
+    count = size[rest] - least + 1
+    # Slices of about WINDOWS windows, cut between groups.
+    starts = np.flatnonzero(np.append(True, gram[rest][1:] != gram[rest][:-1])) if len(rest) else np.zeros(0, int)
+    turn = (np.cumsum(count) - count)[starts] // WINDOWS if len(rest) else starts
+    cuts = starts[np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))] if len(rest) else starts
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(rest))):
+        of, a, z = _windows(rest[lo:hi], count[lo:hi], start, anchor, gram, ids, suffix, least)
+        found.append((of, a, z))
+        by = np.argsort(of, kind="stable")
+        lo, hi = np.searchsorted(of[by], led), np.searchsorted(of[by], led, "right")
+        pick = by[ranges(lo, hi - lo)]
+        found.append((np.repeat(followers, hi - lo), a[pick], z[pick]))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _windows(rest: np.ndarray, count: np.ndarray, start: np.ndarray, anchor: np.ndarray, gram: np.ndarray, ids: np.ndarray, suffix: Suffixes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of the stretches `rest` (sorted by gram) that a smaller doc_id has too."""
+    of = np.repeat(rest, count)
+    x = ranges(np.zeros(len(rest), np.int64), count)
+    # Windows that can be equal have the anchor's q-gram in common, and its place in them.
+    key = gram[of] * _U(0xC2B2AE3D27D4EB4F) + (anchor[of] - x).astype(_U)
+    by = np.argsort(key, kind="stable")
+    of, x, key = of[by], x[by], key[by]
+    at = start[of] + x
+    by = suffix.sort(at, key)
+    of, x, key, at = of[by], x[by], key[by], at[by]
+    eq = (key[1:] == key[:-1]) & (suffix.extension(at[1:], at[:-1]) == least)
+    eq[eq] = same_bytes(suffix.data, at[1:][eq], at[:-1][eq], np.full(eq.sum(), least))
+    edges = np.flatnonzero(np.append(True, ~eq))
+    smallest = np.repeat(np.minimum.reduceat(ids[of], edges), np.diff(np.append(edges, len(of))))
+    gone = ids[of] > smallest
+    of, x = of[gone], x[gone]
+    by = np.lexsort((x, of))
+    of, x = of[by], x[by]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (x[1:] != x[:-1] + 1)
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(of)) - 1 if len(a) else a
+    return of[a], x[a], x[z] + least
+
+
 def _reduce(least: int):
     def run(t: pa.Table) -> pa.Table:
         docs, keys, blocks, pos, size, anchor, text, spans = ([] for _ in range(8))
@@ -423,7 +443,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False)
     spark = docs.sparkSession
     base = texts(docs)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ways, deal = buckets(spark, total, BUCKET), buckets(spark, total, BUCKET)
+    ways, deal = buckets(spark, total, BLOCK), buckets(spark, total, BUCKET)
     bits = min(60, int(total).bit_length() + 12)  # few q-grams share a hash by chance
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ways)).cast("int"))
     offers = base.groupBy("block").applyInArrow(_offer(least, bits, deal), "bucket int, block int, data binary")
