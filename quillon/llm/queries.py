@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,25 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.lang_id import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.lang_id import identify_pages
+
+    return identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm._common import shared_folder
+    from quillon.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -77,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_urls": op8_urls,
+    "op9_language": op9_language,
+    "language_of_pages": language_of_pages,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {
     "op4_hamming": top_k_sql(),
