@@ -1,15 +1,73 @@
-"""Corpus pipeline: language ID, near-dedup, suffix dedup, secret scans, packing."""
+"""Corpus pipeline: language ID, near-dedup, suffix dedup, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return docs'
+columns, with the stage's decisions applied. Rows are told apart by doc_id.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm._common import bounded, settle, shared_folder
+from quillon.llm.lang_id import identify_documents
+from quillon.llm.near_dup import near_duplicates
+from quillon.llm.packing import pack
+from quillon.llm.queries import vocabulary
+from quillon.llm.secrets import redact
+from quillon.llm.suffix_dedup import remove_repeats
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the doc_ids of gone (null ids stay)."""
+    return docs.join(bounded(settle(gone.select(F.col("doc_id").alias("__gone")).distinct())), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those that language ID rejects go."""
+    return _without(docs, identify_documents(docs).where("NOT accepted"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each group of near-duplicates."""
+    return _without(docs, near_duplicates(docs).where("NOT kept"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that a smaller doc_id has too; n_chars follows."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    kept = remove_repeats(docs, with_text=True, carry=others)
+    to = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*(to.get(c, F.col(f"own_{c}")).alias(c) for c in docs.columns))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a mark in place of secrets; n_chars follows."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's pieces stand in sequences of 2048 tokens."""
+    return pack(docs, vocabulary())
+
 
-STAGES: list = []
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
+#: Tokens, byte strings across documents and sketches are beyond SQL; tests hold brute force against run().
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages applied to documents; what a stage made is written before the next one reads it."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,11 +14,24 @@ def texts(docs: DataFrame, *more: str, key: str = "doc_id", text: str = "text")
     A missing optional column counts as null; a null text as empty.
     """
     have = set(docs.columns)
-    cols = [F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")]
+    cols = texts_columns(docs, key, text)
     cols += [(F.col(f"`{c}`") if c in have else F.lit(None)).cast("string").alias(c) for c in more]
     return docs.select(*cols)
 
 
+def texts_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[Column]:
+    return [F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")]
+
+
+#: Up to so many rows of a few numbers each are broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """small (narrow rows, computed already), marked for broadcast if its counted rows allow."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage through a checkpoint in the cluster's shared folder.
 

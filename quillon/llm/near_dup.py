@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import buckets, settle, texts
+from quillon.llm._common import bounded, buckets, settle, texts
 from quillon.llm._shingle import by_bytes, mix, shingles, utf8
 from quillon.llm.components import components
 
@@ -292,14 +292,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> Da
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-#: Up to so many 16-byte signatures are broadcast to pick the documents whose full sets are needed.
-BROADCAST_SIGNATURES = 500_000
-
-
 def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """The full shingle sets behind the signatures asked for: (sig, hashes)."""
-    need = reps.join(asked, "sig", "left_semi").select(F.col("least").alias("doc_id"), "sig")
-    few = need.count() <= BROADCAST_SIGNATURES
+    need = settle(reps.join(asked, "sig", "left_semi").select(F.col("least").alias("wanted"), "sig"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,6 +304,5 @@ def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -
                 fits = [_signature(s) == x for s, x in zip(sets, b.column("sig").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("sig").filter(pa.array(fits, pa.bool_())), pa.array([s.tobytes() for s, ok in zip(sets, fits) if ok], pa.binary())], names=["sig", "hashes"])
 
-    need = need.withColumnRenamed("doc_id", "wanted")
-    picked = base.join(F.broadcast(need) if few else need, F.col("doc_id").eqNullSafe(F.col("wanted")))
+    picked = base.join(bounded(need), F.col("doc_id").eqNullSafe(F.col("wanted")))
     return settle(picked.select("text", "sig").mapInArrow(run, "sig binary, hashes binary").dropDuplicates(["sig"]))

@@ -15,12 +15,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import settle, texts
+from quillon.llm._common import bounded, settle, texts
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -84,10 +85,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append([(s, k, e, int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big", signed=True)) for s, k, e, v in sorted(spans + more(text, spans))])
             uid.append(me + row)
             row += 1
-        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(found, pa.list_(item))], names=["uid", "doc_id", "source", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), batch.column(0), batch.column(2), batch.column(3), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(found, pa.list_(item))], names=["uid", "doc_id", "source", "text_key", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
     """Spans of secrets for each document, judged by who else has the same value.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end by start, then
@@ -97,8 +98,8 @@ def scan(docs: DataFrame) -> DataFrame:
     as documents of the same owner.
     """
     found = settle(
-        texts(docs, "source").mapInArrow(
-            _scan, "uid long, doc_id long, source string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:long,kind:int,end:long,value:long>>"
+        texts(docs, "source").withColumn("text_key", F.xxhash64("text")).mapInArrow(
+            _scan, "uid long, doc_id long, source string, text_key long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:long,kind:int,end:long,value:long>>"
         )
     )
     each = found.where(F.size("found") > 0).select("uid", "source", F.explode("found").alias("x")).select("uid", F.coalesce("source", F.lit("")).alias("source"), "x")
@@ -116,10 +117,10 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     judged = judged.withColumn("spans", F.concat_ws(",", F.transform(F.array_sort("kept"), lambda x: x["label"]))).drop("kept")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return found.join(judged, "uid", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"))
+    return found.join(judged, "uid", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"), *["text_key"] * with_key)
 
 
-def redact(text: str, spans: str, mark: str = "[SECRET]") -> str:
+def masked(text: str, spans: str, mark: str) -> str:
     """The text with `mark` in place of each span; overlapping spans are replaced together."""
     out, at = [], 0
     for a, b in sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in spans.split(",") if x)):
@@ -129,3 +130,16 @@ def redact(text: str, spans: str, mark: str = "[SECRET]") -> str:
             out += [text[at:a], mark]
         at = b
     return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, *, mark: str = "[SECRET]") -> DataFrame:
+    """docs with all spans of scan() replaced by `mark` in their texts; other columns stay."""
+    spans = settle(scan(docs, with_key=True).where("spans <> ''").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+
+    @F.pandas_udf("string")
+    def replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([masked(t, s, mark) if s else t for t, s in zip(text, spans)])
+
+    joined = docs.join(bounded(spans), same, "left")
+    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), replaced("text", "__spans")).otherwise(F.col("text"))).select(*docs.columns)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import buckets, texts
+from quillon.llm._common import buckets, texts_columns
 from quillon.llm._shingle import by_bytes, mix, prefix_hash, span_hash, utf8
 
 _U = np.uint64
@@ -392,7 +392,7 @@ def _reduce(least: int):
     return run
 
 
-def _keep(texts_too: bool):
+def _keep(texts_too: bool, carry: tuple[str, ...]):
     def run(t: pa.Table, spans: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         rows = t.num_rows
@@ -426,22 +426,23 @@ def _keep(texts_too: bool):
         }
         if texts_too:
             out["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
-        return pa.table(out)
+        return pa.table(out | {f"own_{c}": t.column(f"own_{c}") for c in carry})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte covered by a string of `least` bytes that starts in a smaller doc_id too.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the
-    remaining bytes) and, with_text, kept_text (without characters that were cut within). One
-    row for each input row. A null text is empty; a text shorter than `least` loses nothing; a
+    remaining bytes), with_text kept_text (without characters that were cut within), and the
+    columns of docs named by carry as own_<name>. One row for each input row. A null text is empty; a text shorter than `least` loses nothing; a
     row with a null doc_id neither loses bytes nor takes them from others; rows that repeat a
     doc_id are no smaller than each other.
     """
     spark = docs.sparkSession
-    base = texts(docs)
+    own = [F.col(f"`{c}`").alias(f"own_{c}") for c in carry]
+    base = docs.select(*texts_columns(docs), *own)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ways, deal = buckets(spark, total, BLOCK), buckets(spark, total, BUCKET)
     bits = min(60, int(total).bit_length() + 12)  # few q-grams share a hash by chance
@@ -451,4 +452,5 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False)
     sent = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut(least, bits, deal), "bucket int, data binary")
     spans = sent.groupBy("bucket").applyInArrow(_reduce(least), "block int, spans binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return base.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_keep(with_text), schema)
+    schema += "".join(f", own_{c} {dict(docs.dtypes)[c]}" for c in carry)
+    return base.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_keep(with_text, carry), schema)
