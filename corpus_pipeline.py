@@ -31,8 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near-duplicates."""
-    return _without(docs, near_duplicates(docs).where("NOT kept"))
+    """One document, the one with the smallest doc_id, of each group of a similarity of 0.8 or more."""
+    return _without(docs, near_duplicates(docs, percent=80).where("NOT kept"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,14 +7,16 @@ least `shared` of k values (but for a chance below 1e-8), so they meet in a list
 leaves out all but its k - shared + 1 rarest. A list is dealt into blocks of bounded size, with
 one member in each. Within a block, documents of nearly one size are compared by the estimate
 from the union's sketch, in memory, and a spanning set of the pairs that pass goes on to be
-verified on the full shingle sets. Later rounds compare what the verified links have left apart,
-until nothing is: a list's documents outside its main component meet every block. Links end as
+verified on the full shingle sets. A second round compares all that the verified links have
+left apart: a list's documents outside its main component meet every block. Links end as
 connected components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -28,11 +30,20 @@ from quillon.llm.components import components
 
 _U = np.uint64
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Retained values, those of them that two similar documents share at least, documents in a block.
-K, SHARED, BLOCK = 32, 14, 2048
-#: Within a list, pairs are estimated by more values: so many, of which similar documents share at
-#: least WIDE_SHARED in the union's sketch, and WIDE_SURE or more when they look safely alike.
-WIDE, WIDE_SHARED, WIDE_SURE = 128, 82, 118
+#: Retained values; values by which pairs within a list are estimated; documents in a block.
+K, WIDE, BLOCK = 32, 256, 2048
+
+
+@lru_cache
+def least_shared(k: int, percent: int) -> int:
+    """How many of the k smallest values of their union two sets of that similarity share, but for
+    a chance of 1e-8: each value is a draw, in both sets or not."""
+    p, below, t = percent / 100, 0.0, 0
+    while True:
+        below += comb(k, t) * p**t * (1 - p) ** (k - t)
+        if below > 1e-8:
+            return t
+        t += 1
 
 
 def _signature(h: np.ndarray) -> bytes:
@@ -69,7 +80,7 @@ class Members:
     """The members of a bucket's lists, with the smallest WIDE hashes of each one's set."""
 
     def __init__(self, n: np.ndarray, sketches: list[bytes], percent: int):
-        self.n, self.percent, self.whole = n, percent, n <= WIDE
+        self.n, self.percent, self.whole, self.least = n, percent, n <= WIDE, least_shared(WIDE, percent)
         self.s = np.full((len(n), WIDE), NONE, _U)
         for i, x in enumerate(sketches):
             v = np.frombuffer(x, _U)[:WIDE]
@@ -90,7 +101,7 @@ class Members:
             rank = np.cumsum(~twice & (both != NONE), 1)
             whole, size = self.whole[i[k]] & self.whole[j[k]], rank[:, -1]
             common = (twice & (rank <= np.where(whole, size, WIDE)[:, None])).sum(1)
-            out[k] = np.where(whole, 100 * common >= self.percent * size, common >= WIDE_SHARED)
+            out[k] = np.where(whole, 100 * common >= self.percent * size, common >= self.least)
         return out
 
     def overlaps(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -116,7 +127,7 @@ class Members:
             yield np.arange(a + at, min(b, a + at + 256)), got.astype(np.int64)
 
 
-def _forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> tuple[list, list]:
+def _forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of links u-v (u in order) those that join different labels, which it joins in place."""
     us, vs = [], []
     edges = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else []
@@ -128,7 +139,7 @@ def _forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> tuple[list, list
             us += [i] * int(ok.sum())
             vs += x[first[ok]].tolist()
             label[np.isin(label, other[ok])] = label[i]
-    return us, vs
+    return np.array(us, np.int64), np.array(vs, np.int64)
 
 
 def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
@@ -149,8 +160,7 @@ def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
     end = np.append(start[1:], len(t))
     label = pd.factorize(t["root"])[0] if settled else np.arange(len(t))
     asked = t["asked"].to_numpy(bool) if settled else np.zeros(len(t), bool)
-    us: list = []
-    vs: list = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     size = end - start
     for few in (2, 3, 4):
         a = start[size == few]
@@ -158,13 +168,15 @@ def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
             for e in range(d + 1, few):
                 i, j = a + d, a + e
                 ok = label[i] != label[j]
+                if settled:  # in a list of one block, whole sets are through
+                    ok &= ~(m.whole[i] & m.whole[j]) | asked[i] | asked[j]
                 i, j = i[ok], j[ok]
                 hit = m.passes(i, j)
-                us += i[hit].tolist()
-                vs += j[hit].tolist()
+                found.append((i[hit], j[hit]))
+    sure = WIDE * 92 // 100
     for a, b in zip(start[size > 4], end[size > 4]):
         lab = label[a:b]
-        if (lab == lab[0]).all():
+        if (lab == lab[0]).all() or settled and m.whole[a:b].all() and not asked[a:b].any():
             continue
         later: list = []
         for rows, common in m.overlaps(a, b):
@@ -174,32 +186,43 @@ def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
             both = m.whole[i] & m.whole[j]
             exact = 100 * common >= percent * (m.n[i] + m.n[j] - common)
             if settled:
-                ok &= np.where(both, exact & (asked[i] | asked[j]), common >= WIDE_SHARED)
+                ok &= np.where(both, exact & (asked[i] | asked[j]), common >= m.least)
                 x, y = np.nonzero(ok)
                 x, y = rows[x], y + a
                 hit = m.passes(x, y)
-                us += x[hit].tolist()
-                vs += y[hit].tolist()
+                found.append((x[hit], y[hit]))
                 continue
-            for sure in (ok & np.where(both, exact, common >= WIDE_SURE),):
-                x, y = np.nonzero(sure)
-                f = _forest(rows[x], y + a, label)
-                us += f[0]
-                vs += f[1]
-            x, y = np.nonzero(ok & ~both & (common >= WIDE_SHARED) & (common < WIDE_SURE))
-            later.append((rows[x], y + a))
+            x, y = np.nonzero(ok & np.where(both, exact, common >= sure))
+            found.append(_forest(rows[x], y + a, label))
+            x, y = np.nonzero(ok & ~both & (common >= m.least) & (common < sure))
+            later.append((rows[x].astype(np.int32), (y + a).astype(np.int32)))
         for x, y in later:
             ok = label[x] != label[y]
             x, y = x[ok], y[ok]
             hit = m.passes(x, y)
-            f = _forest(x[hit], y[hit], label)
-            us += f[0]
-            vs += f[1]
-    u, v = np.array(us, np.int64), np.array(vs, np.int64)
-    sig = t["sig"].to_numpy()
-    x, y = sig[u], sig[v]
+            found.append(_forest(x[hit], y[hit], label))
+    u, v = (np.concatenate([np.zeros(0, np.int64), *w]).astype(np.int64) for w in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    if settled:
+        # A pair that lists of one block bring together several times goes out from the first.
+        own = np.full((len(t), K), NONE, _U)
+        for k, x in enumerate(t["firsts"]):
+            own[k, : len(x)] = np.asarray(x, np.int64).view(_U)
+        keep = np.ones(len(u), bool)
+        for at in range(0, len(u), 50_000):
+            x, y = u[at : at + 50_000], v[at : at + 50_000]
+            both = np.sort(np.concatenate([own[x], own[y]], 1), 1)
+            twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
+            first = np.where(twice.any(1), both[np.arange(len(x)), twice.argmax(1)], NONE)
+            keep[at : at + 50_000] = (first == NONE) | (first >= value[x].view(_U))
+        u, v = u[keep], v[keep]
+    # The same documents stand in several lists of the bucket.
+    code, names = pd.factorize(t["sig"])
+    x, y = code[u], code[v]
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    pair = np.unique(low * len(names) + high)
+    x, y = names[pair // max(1, len(names))], names[pair % max(1, len(names))]
     swap = x > y
-    return pd.DataFrame({"u": np.where(swap, y, x), "v": np.where(swap, x, y)}).drop_duplicates()
+    return pd.DataFrame({"u": np.where(swap, y, x), "v": np.where(swap, x, y)})
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,8 +252,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> Da
     A-Z in lower case; a document with fewer than `words` has its whole sequence as one shingle.
     A null, empty or blank text has no shingles and links with nothing, so it is kept. Repeated
     texts and repeated rows link as equal sets; rows that repeat a doc_id share its component.
-    A null doc_id takes its component's smallest doc_id (null if there is none). percent is 50
-    at least; `SHARED` is set for 80 and more.
+    A null doc_id takes its component's smallest doc_id (null if there is none).
     """
     spark = docs.sparkSession
     base = texts(docs)
@@ -243,13 +265,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> Da
     often = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = held.join(often, "value").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("lists"))
     size = F.least("n", F.lit(K))
-    least = F.when(F.col("n") <= K, F.ceil(F.col("n") * percent / 100).cast("int")).otherwise(SHARED)
+    least = F.when(F.col("n") <= K, F.ceil(F.col("n") * percent / 100).cast("int")).otherwise(least_shared(K, percent))
     # Values without a list are rarest of all and count first.
     take = size - least + 1 - (size - F.size("lists"))
     listed = own.join(reps, "sig").withColumn("take", take).where("take > 0")
     weight = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    listed = listed.select("sig", "n", weight.alias("weight"), F.explode(F.expr("slice(lists, 1, take)")).alias("x"))
-    listed = settle(listed.select("sig", "n", "weight", F.col("x.value").alias("value"), F.col("x.df").alias("df")))
+    # The lists of one block that a document stands in, so that a pair's first one is known.
+    listed = listed.withColumn("lists", F.expr("slice(lists, 1, greatest(take, 0))"))
+    firsts = F.transform(F.filter("lists", lambda x: x["df"] <= BLOCK), lambda x: x["value"])
+    listed = listed.select("sig", "n", weight.alias("weight"), firsts.alias("firsts"), F.explode("lists").alias("x"))
+    listed = settle(listed.select("sig", "n", "weight", "firsts", F.col("x.value").alias("value"), F.col("x.df").alias("df")))
     deal = buckets(spark, listed.count(), 10_000)
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("sig"), blocks).cast("int")
@@ -259,30 +284,31 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> Da
     # One member of a list that has several blocks stands in each.
     top = listed.where(F.col("df") > BLOCK).groupBy("value").agg(F.max_by(F.struct("sig", "n", "df"), F.struct("weight", "sig")).alias("p"))
     top = top.select("p.sig", "p.n", "value", "p.df").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    first = listed.drop("weight").withColumn("block", block).unionByName(top)
+    first = listed.drop("weight", "firsts").withColumn("block", block).unionByName(top)
 
     def candidates(t: DataFrame, settled: bool) -> DataFrame:
-        more = ["root", "asked"] if settled else []
+        more = ["root", "asked", "firsts"] if settled else []
         t = t.join(sketches, "sig").select("value", "block", "sig", "n", "sketch", *more).withColumn("bucket", F.pmod(F.xxhash64("value", "block"), F.lit(deal)))
         return t.groupBy("bucket").applyInPandas(lambda x: _block(x, percent, settled), "u binary, v binary").distinct()
 
-    pairs = settle(candidates(first, False))
-    tested, links = pairs, None
-    while not pairs.isEmpty():
-        good = settle(_verify(pairs, sets, percent).where("ok").select("u", "v"))
-        links = good if links is None else links.unionAll(good)
+    pairs, roots = settle(candidates(first, False)), None
+    if not pairs.isEmpty():
+        links = settle(_verify(pairs, sets, percent).where("ok").select("u", "v"))
         roots = settle(components(links))
-        rooted = listed.drop("weight").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         # Only lists that the links leave in more than one component; of those that have several
-        # blocks, the documents outside the main component meet every block.
+        # blocks, the documents outside the main component meet every block. Any two documents
+        # that still lie apart are then compared, so no third round can find more.
+        rooted = listed.drop("weight").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         apart = rooted.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
         apart = apart.groupBy("value").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1").drop("roots")
         rooted = settle(rooted.join(apart, "value").withColumn("asked", F.lit(False)).withColumn("block", block))
         out = rooted.where((F.col("df") > BLOCK) & (F.col("root") != F.col("main"))).withColumn("asked", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        pairs = settle(candidates(out.unionByName(rooted), True).join(tested, ["u", "v"], "left_anti"))
-        tested = tested.unionAll(pairs)
+        more = settle(candidates(out.unionByName(rooted), True).join(pairs, ["u", "v"], "left_anti"))
+        good = settle(_verify(more, sets, percent).where("ok").select("u", "v"))
+        if not good.isEmpty():
+            roots = settle(components(links.unionAll(good)))
 
-    if links is None:
+    if roots is None:
         named = rows.join(reps.select("sig", "least"), "sig", "left")
     else:
         group = reps.select("sig", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
