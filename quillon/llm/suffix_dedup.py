@@ -134,8 +134,9 @@ def _chunks(t: pa.Table, least: int) -> Iterator[tuple]:
 
 
 def _grams(s: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
-    """The anchors' q-grams as hashes of so many bits."""
-    return mix(span_hash(s, anchor, anchor + GRAM)) >> _U(64 - bits)
+    """The anchors' q-grams as hashes of so many bits: other hashes than those that anchors are the
+    smallest of, which would crowd the first buckets."""
+    return mix(mix(span_hash(s, anchor, anchor + GRAM)) + _U(0x632BE59BD9B4E019)) >> _U(64 - bits)
 
 
 def _block_grams(t: pa.Table, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
