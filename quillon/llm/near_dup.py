@@ -55,7 +55,7 @@ def _signature(h: np.ndarray) -> bytes:
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in by_bytes(batch, 1, 2_000_000):
+            for b in by_bytes(batch, 1, 1_000_000):
                 g, off = shingles(*utf8(b.column(1)), words)
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -93,8 +93,8 @@ class Members:
         """Whether pairs are similar: exactly if both sets are whole, else by the union's sketch."""
         out = self.near_size(i, j)
         todo = np.flatnonzero(out)
-        for at in range(0, len(todo), 20_000):
-            k = todo[at : at + 20_000]
+        for at in range(0, len(todo), 3000):
+            k = todo[at : at + 3000]
             both = np.sort(np.concatenate([self.s[i[k]], self.s[j[k]]], 1), 1)
             twice = np.zeros(both.shape, bool)
             twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
@@ -208,12 +208,12 @@ def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
         for k, x in enumerate(t["firsts"]):
             own[k, : len(x)] = np.asarray(x, np.int64).view(_U)
         keep = np.ones(len(u), bool)
-        for at in range(0, len(u), 50_000):
-            x, y = u[at : at + 50_000], v[at : at + 50_000]
+        for at in range(0, len(u), 10_000):
+            x, y = u[at : at + 10_000], v[at : at + 10_000]
             both = np.sort(np.concatenate([own[x], own[y]], 1), 1)
             twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
             first = np.where(twice.any(1), both[np.arange(len(x)), twice.argmax(1)], NONE)
-            keep[at : at + 50_000] = (first == NONE) | (first >= value[x].view(_U))
+            keep[at : at + 10_000] = (first == NONE) | (first >= value[x].view(_U))
         u, v = u[keep], v[keep]
     # The same documents stand in several lists of the bucket.
     code, names = pd.factorize(t["sig"])
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> Da
     firsts = F.transform(F.filter("lists", lambda x: x["df"] <= BLOCK), lambda x: x["value"])
     listed = listed.select("sig", "n", weight.alias("weight"), firsts.alias("firsts"), F.explode("lists").alias("x"))
     listed = settle(listed.select("sig", "n", "weight", "firsts", F.col("x.value").alias("value"), F.col("x.df").alias("df")))
-    deal = buckets(spark, listed.count(), 10_000)
+    deal = buckets(spark, listed.count(), 5_000)
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("sig"), blocks).cast("int")
     sets = _full_sets(base, reps, listed.select("sig").distinct(), words)
@@ -324,7 +324,7 @@ def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in by_bytes(batch, 0, 2_000_000):
+            for b in by_bytes(batch, 0, 1_000_000):
                 g, off = shingles(*utf8(b.column("text")), words)
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 fits = [_signature(s) == x for s, x in zip(sets, b.column("sig").to_pylist())]
