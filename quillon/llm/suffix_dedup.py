@@ -9,9 +9,9 @@ documents have; the other stretches stay where they are.
 
 In a bucket the stretches' prefix polynomial hashes give the hash of any substring at once, and a
 binary search over them the common extension of two suffixes. Stretches that are equal in whole
-collapse first. The windows of the rest, grouped by anchor q-gram and place, are sorted by
-mergesort with that comparison, so equal windows stand side by side; equality by hash is
-verified on the bytes. What is removed returns to the documents as spans, in blocks of documents.
+collapse first. Of the rest, the texts from the anchor on, and those before it read backwards,
+are sorted by mergesort with that comparison; neighbours' common extensions, verified on the
+bytes, say which windows are equal. What is removed returns to the documents as spans, in blocks of documents.
 
 A stretch that repeats within a chunk of documents is sent once, so text that very many
 documents share does not gather in one bucket.
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import buckets, texts_columns
+from quillon.llm._common import parts, texts_columns, trim
 from quillon.llm._shingle import by_bytes, mix, prefix_hash, span_hash, utf8
 
 _U = np.uint64
@@ -64,11 +64,12 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether data[a:a+size] equals data[b:b+size], for each entry."""
     out = np.ones(len(a), bool)
-    for at in range(0, len(a), 50_000):
-        x, y, n = a[at : at + 50_000], b[at : at + 50_000], size[at : at + 50_000]
-        if len(n):
-            wrong = data[ranges(x, n)] != data[ranges(y, n)]
-            out[at : at + 50_000] = ~np.logical_or.reduceat(wrong, np.cumsum(n) - n)
+    some = np.flatnonzero(size > 0)
+    for at in range(0, len(some), 50_000):
+        i = some[at : at + 50_000]
+        n = size[i].astype(np.int64)
+        wrong = data[ranges(a[i], n)] != data[ranges(b[i], n)]
+        out[i] = ~np.logical_or.reduceat(wrong, np.cumsum(n) - n)
     return out
 
 
@@ -241,64 +242,79 @@ def _cut(least: int, bits: int, deal: int):
             kind = np.uint32 if place[x].max() < 1 << 32 else np.int64
             out.append(packed(own[:, 0].copy(), own[:, 1].copy(), np.full(len(own), block, np.int32), inv.ravel().astype(np.uint32), place[x].astype(kind), size[x], anchor[x], twin[x], text[ranges(begin[x], length[x])]))
             numbers.append(bucket[x[0]])
+        trim()
         return pa.table({"bucket": pa.array(numbers, pa.int32()), "data": pa.array(out, pa.binary())})
 
     return run
 
 
 class Suffixes:
-    """Comparison of suffixes of one byte array, up to `most` bytes, by prefix hashes."""
+    """Suffixes at the places `at`, of `size` characters each, compared by prefix hashes."""
 
-    def __init__(self, data: np.ndarray, s: np.ndarray, most: int):
-        self.data, self.s, self.most = data, s, most
+    def __init__(self, data: np.ndarray, s: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.data, self.s, self.at, self.size = data, s, at, size
 
-    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension of the suffixes at a and b, by binary search."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.most)
+    def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the common extension of suffixes i and j, by binary search."""
+        a, b = self.at[i], self.at[j]
+        lo, hi = np.zeros(len(a), np.int64), np.minimum(self.size[i], self.size[j])
         while len(lo) and (lo < hi).any():
             mid = (lo + hi + 1) // 2
             eq = span_hash(self.s, a, a + mid) == span_hash(self.s, b, b + mid)
             lo, hi = np.where(eq, mid, lo), np.where(eq, hi, mid - 1)
         return lo
 
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        n = self.extension(a, b)
-        at = np.minimum(n, self.most - 1)
-        return np.where(n == self.most, or_equal, self.data[a + at] < self.data[b + at])
+    def less(self, i: np.ndarray, j: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        """Whether suffix i comes before j; one that j continues does."""
+        n = self.extension(i, j)
+        a, b = self.size[i], self.size[j]
+        at_end = n == np.minimum(a, b)
+        last = len(self.data) - 1
+        differ = self.data[np.minimum(self.at[i] + n, last)] < self.data[np.minimum(self.at[j] + n, last)]
+        return np.where(at_end, np.where(a == b, or_equal, a < b), differ)
 
-    def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """An order of `at` that keeps the (sorted) groups and sorts the suffixes in each.
+    def sorted(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes' order within the (sorted) groups, and each one's verified extension in
+        common with the one before it (-1 for a group's first).
 
         A bottom-up mergesort of all groups at once: an element's place in a merge is its place
         in its own run and the number of the other run's elements before it.
         """
-        n = len(at)
+        n = len(self.at)
         order = np.arange(n)
         head = np.searchsorted(group, group, "left")
         tail = np.searchsorted(group, group, "right")
         largest = int((tail - head).max()) if n else 0
         width = 1
         while width < largest:
-            # Places in groups that are one run already stay.
-            todo = np.flatnonzero(tail - head > width)
+            todo = np.flatnonzero(tail - head > width)  # groups that are one run already stay
             h, t = head[todo], tail[todo]
             run = (todo - h) // width
             left = run % 2 == 0
             base = h + (run - run % 2) * width
             lo = np.minimum(np.where(left, base + width, base), t)
             hi = np.minimum(lo + width, t)
-            first, mine = lo.copy(), at[order[todo]]
+            first, mine = lo.copy(), order[todo]
             while (open_ := lo < hi).any():
                 i = np.flatnonzero(open_)
                 mid = (lo[i] + hi[i]) // 2
-                before = self.less(at[order[mid]], mine[i], ~left[i])
+                before = self.less(order[mid], mine[i], ~left[i])
                 lo[i[before]] = mid[before] + 1
                 hi[i[~before]] = mid[~before]
             new = order.copy()
             new[base + (todo - h - run * width) + (lo - first)] = order[todo]
             order = new
             width *= 2
-        return order
+        common = np.full(n, -1, np.int64)
+        inside = np.flatnonzero(head < np.arange(n))
+        i, j = order[inside], order[inside - 1]
+        found = self.extension(i, j)
+        wrong = np.flatnonzero(~same_bytes(self.data, self.at[i], self.at[j], found))
+        for k in wrong:  # a collision of hashes: count the bytes themselves
+            x, y = (self.data[self.at[m] : self.at[m] + found[k]] for m in (i[k], j[k]))
+            found[k] = int((x != y).argmax())
+        common[inside] = found
+        return order, common
 
 
 def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,14 +345,20 @@ def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.nd
     several = np.minimum.reduceat(ids[rest], edges) < np.maximum.reduceat(ids[rest], edges) if len(g) else np.zeros(0, bool)
     rest = rest[np.repeat(several, np.diff(np.append(edges, len(g))))]
     led, followers = lead[follow], o[follow]
-    suffix = Suffixes(data, s, least)
+    backward = data[::-1].copy()
+    sb = prefix_hash(backward)
     count = size[rest] - least + 1
     # Slices of about WINDOWS windows, cut between groups.
     starts = np.flatnonzero(np.append(True, gram[rest][1:] != gram[rest][:-1])) if len(rest) else np.zeros(0, int)
     turn = (np.cumsum(count) - count)[starts] // WINDOWS if len(rest) else starts
     cuts = starts[np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))] if len(rest) else starts
     for lo, hi in zip(cuts, np.append(cuts[1:], len(rest))):
-        of, a, z = _windows(rest[lo:hi], count[lo:hi], start, anchor, gram, ids, suffix, least)
+        x = rest[lo:hi]
+        at = start[x] + anchor[x]
+        forth = Suffixes(data, s, at, size[x] - anchor[x])
+        back = Suffixes(backward, sb, len(data) - at, anchor[x].astype(np.int64))
+        k, a, z = _windows(forth, back, count[lo:hi], anchor[x].astype(np.int64), gram[x], ids[x], least)
+        of = x[k]
         found.append((of, a, z))
         by = np.argsort(of, kind="stable")
         lo, hi = np.searchsorted(of[by], led), np.searchsorted(of[by], led, "right")
@@ -345,23 +367,34 @@ def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.nd
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _windows(rest: np.ndarray, count: np.ndarray, start: np.ndarray, anchor: np.ndarray, gram: np.ndarray, ids: np.ndarray, suffix: Suffixes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of the stretches `rest` (sorted by gram) that a smaller doc_id has too."""
-    of = np.repeat(rest, count)
-    x = ranges(np.zeros(len(rest), np.int64), count)
-    # Windows that can be equal have the anchor's q-gram in common, and its place in them.
-    key = gram[of] * _U(0xC2B2AE3D27D4EB4F) + (anchor[of] - x).astype(_U)
-    by = np.argsort(key, kind="stable")
-    of, x, key = of[by], x[by], key[by]
-    at = start[of] + x
-    by = suffix.sort(at, key)
-    of, x, key, at = of[by], x[by], key[by], at[by]
-    eq = (key[1:] == key[:-1]) & (suffix.extension(at[1:], at[:-1]) == least)
-    eq[eq] = same_bytes(suffix.data, at[1:][eq], at[:-1][eq], np.full(eq.sum(), least))
-    edges = np.flatnonzero(np.append(True, ~eq))
-    smallest = np.repeat(np.minimum.reduceat(ids[of], edges), np.diff(np.append(edges, len(of))))
-    gone = ids[of] > smallest
-    of, x = of[gone], x[gone]
+def _windows(forth: Suffixes, back: Suffixes, count: np.ndarray, anchor: np.ndarray, gram: np.ndarray, ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that a smaller doc_id has too: (stretch, from, to).
+
+    `forth` are the stretches' texts from their anchors on, `back` those before, read backwards;
+    both are sorted within a gram. A window reaches `rel` bytes back and the rest forth; so two
+    are equal if no neighbours between them share less, in one order and in the other.
+    """
+    n = len(count)
+    one, two = forth.sorted(gram), back.sorted(gram)
+    own = np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for rel in range(int(anchor.max(initial=-1)) + 1):
+        x = anchor - rel
+        use = np.flatnonzero((x >= 0) & (x < count))
+        if not len(use):
+            continue
+        kind = []
+        for (order, common), size in ((one, least - rel), (two, rel)):
+            k = np.empty(n, np.int64)
+            k[order] = np.cumsum(common < size)
+            kind.append(k[use])
+        key = kind[0] * (n + 1) + kind[1]
+        by = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+        smallest = np.repeat(np.minimum.reduceat(ids[use][by], edges), np.diff(np.append(edges, len(by))))
+        gone = use[by[ids[use][by] > smallest]]
+        found.append((own[gone], x[gone]))
+    of, x = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
     by = np.lexsort((x, of))
     of, x = of[by], x[by]
     new = np.ones(len(of), bool)
@@ -388,6 +421,7 @@ def _reduce(least: int):
         block = block[by]
         edges = np.flatnonzero(np.diff(block, prepend=-1))
         rows = [packed(doc[x], key[x], at[x], n[x].astype(np.uint16)) for x in np.split(by, edges[1:])] if len(edges) else []
+        trim()
         return pa.table({"block": pa.array(block[edges], pa.int32()), "spans": pa.array(rows, pa.binary())})
 
     return run
@@ -445,7 +479,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     own = [F.col(f"`{c}`").alias(f"own_{c}") for c in carry]
     base = docs.select(*texts_columns(docs), *own)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ways, deal = buckets(spark, total, BLOCK), buckets(spark, total, BUCKET)
+    ways, deal = (max(parts(spark), -(-total // each)) for each in (BLOCK, BUCKET))
     bits = min(60, int(total).bit_length() + 12)  # few q-grams share a hash by chance
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ways)).cast("int"))
     offers = base.groupBy("block").applyInArrow(_offer(least, bits, deal), "bucket int, block int, data binary")
