@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import bounded, buckets, settle, texts
+from quillon.llm._common import bounded, buckets, settle, texts, trim
 from quillon.llm._shingle import by_bytes, mix, shingles, utf8
 from quillon.llm.components import components
 
 _U = np.uint64
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Retained values; values by which pairs within a list are estimated; documents in a block.
-K, WIDE, BLOCK = 32, 256, 2048
+K, WIDE, BLOCK = 32, 256, 1024
 
 
 @lru_cache
@@ -113,7 +113,7 @@ class Members:
         column = np.cumsum(count > 1) - 1
         use = count[inverse] > 1
         row, col = row[use], column[inverse[use]]
-        width, step = int((count > 1).sum()), 4096
+        width, step = int((count > 1).sum()), 2048
         parts = []
         for c in range(0, width, step):
             m = np.zeros((b - a, min(step, width - c)), np.float32)
@@ -221,6 +221,7 @@ def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
     low, high = np.minimum(x, y), np.maximum(x, y)
     pair = np.unique(low * len(names) + high)
     x, y = names[pair // max(1, len(names))], names[pair % max(1, len(names))]
+    trim()
     swap = x > y
     return pd.DataFrame({"u": np.where(swap, y, x), "v": np.where(swap, x, y)})
 
