@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import settle
+from quillon.llm._common import settle, trim
 from quillon.llm._shingle import by_bytes, mix, utf8
 
 _U = np.uint64
@@ -118,6 +118,7 @@ def identify(rows: DataFrame, model: TextModel, *, least: float = 0.3) -> DataFr
                 logs = (scores - scores.max(1, keepdims=True)) * TEMPER
                 best = np.where(count > 0, scores.argmax(1), -1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(logs.tolist(), pa.list_(pa.float64())), pa.array(best, pa.int32())], names=["key", "declared", "host", "logs", "best"])
+        trim()
 
     text = F.coalesce("text", F.lit(""))
     plain = rows.select(F.col("key").cast("long").alias("key"), text.alias("text"), F.lower(F.coalesce("declared", F.lit(""))).alias("declared"), F.lower(F.coalesce("host", F.lit(""))).alias("host"))

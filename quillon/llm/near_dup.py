@@ -62,6 +62,7 @@ def _sketch(words: int):
                     [b.column(0), pa.array(np.diff(off)), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary())],
                     names=["doc_id", "n", "sig", "sketch"],
                 )
+        trim()
 
     return run
 
@@ -241,6 +242,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([u, v, pa.array(ok)], names=["u", "v", "ok"])
+        trim()
 
     return joined.mapInArrow(run, "u binary, v binary, ok boolean")
 
@@ -330,6 +332,7 @@ def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 fits = [_signature(s) == x for s, x in zip(sets, b.column("sig").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("sig").filter(pa.array(fits, pa.bool_())), pa.array([s.tobytes() for s, ok in zip(sets, fits) if ok], pa.binary())], names=["sig", "hashes"])
+        trim()
 
     picked = base.join(bounded(need), F.col("doc_id").eqNullSafe(F.col("wanted")))
     return settle(picked.select("text", "sig").mapInArrow(run, "sig binary, hashes binary").dropDuplicates(["sig"]))

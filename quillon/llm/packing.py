@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._common import settle, texts
+from quillon.llm._common import settle, texts, trim
 from quillon.llm.bpe import PATTERN, Automaton, Codec, Vocabulary, byte_chars
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -147,9 +147,10 @@ def slots(packing: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit numbers."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, tokenizer: str):
         import tiktoken
 
+        spec = json.loads(tokenizer)
         to_byte = byte_chars()
         vocab = spec["model"]["vocab"]
         ranks = {bytes(to_byte[c] for c in s): i for s, i in vocab.items()}
@@ -159,14 +160,14 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-        self.spec, self.codec = spec, None
+        self.tokenizer, self.codec = tokenizer, None
 
     def ids(self, text: str) -> np.ndarray:
         try:
             return np.asarray(self.coder.encode_to_numpy(text, allowed_special="all"), "<u4")
         except (ValueError, RuntimeError):  # a run of white space beyond its regex engine's stack
             if self.codec is None:
-                self.codec = Codec(Automaton(Vocabulary.of(self.spec)))
+                self.codec = Codec(Automaton(Vocabulary.of(json.loads(self.tokenizer))))
             return np.array(self.codec.encode(text), "<u4")
 
 
@@ -180,7 +181,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end: int = 0, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(json.loads(spec.value))
+            _encoders[tokenizer] = Encoder(spec.value)
+            trim()
         encode, seen, me = _encoders[tokenizer].ids, np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import bounded, settle, texts
+from quillon.llm._common import bounded, settle, texts, trim
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -86,6 +86,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             uid.append(me + row)
             row += 1
         yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), batch.column(0), batch.column(2), batch.column(3), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(found, pa.list_(item))], names=["uid", "doc_id", "source", "text_key", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+    trim()
 
 
 def scan(docs: DataFrame, *, with_key: bool = False) -> DataFrame:

@@ -461,6 +461,7 @@ def _keep(texts_too: bool, carry: tuple[str, ...]):
         }
         if texts_too:
             out["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
+        trim()
         return pa.table(out | {f"own_{c}": t.column(f"own_{c}") for c in carry})
 
     return run
