@@ -1,0 +1,69 @@
+"""Structure of booklets: contents entries, votes, part page ranges, recommendation boxes.
+
+Set-based: each rule is a filter or a running sum over line or page order, so that one unreadable
+part loses that part alone. Works on lines (doc, page, line_no, line) of the contents pages and
+on any labels given as patterns.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.functions.text import plain
+
+#: A page reference at the end of a contents line; digits may carry a space.
+PAGES = r"^(.*?)[\s.…]*?(\d ?\d?\d?)(?:\s*[-–]\s*(\d ?\d?\d?))?$"
+
+
+def entries(lines: DataFrame, labels: Mapping[str, str]) -> DataFrame:
+    """(doc, line_no, label, start, stop): lines that begin with a label's pattern and end with a page."""
+    flat = plain(F.col("line"))
+    label = None
+    for name, pattern in labels.items():
+        hit = flat.rlike(f"(?U)^(?:{pattern})")
+        label = F.when(hit, name) if label is None else label.when(hit, name)
+    number = lambda i: F.replace(F.regexp_extract(flat, PAGES, i), F.lit(" "), F.lit("")).try_cast("int")
+    got = lines.select("doc", "line_no", "line", label.alias("label"), number(2).alias("start"), number(3).alias("stop"))
+    return got.where("label IS NOT NULL AND start IS NOT NULL")
+
+
+def votes(lines: DataFrame, found: DataFrame, opening: str) -> DataFrame:
+    """(doc, vote_no, title, label, start, stop): an `opening` entry begins a vote; the other lines
+    before it, since the last entry, are its title."""
+    marked = lines.join(found.select("doc", "line_no", "label", "start", "stop"), ["doc", "line_no"], "left")
+    order = Window.partitionBy("doc").orderBy("line_no")
+    marked = marked.withColumn("entry", F.col("label").isNotNull())
+    marked = marked.withColumn("run", F.sum(F.lag("entry", 1, False).over(order).cast("int")).over(order))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.trim(x["line"])), " ")
+    title = marked.where("NOT entry").groupBy("doc", "run").agg(F.trim(text).alias("title"))
+    opened = marked.where("entry").withColumn("vote_no", F.sum((F.col("label") == opening).cast("int")).over(order)).where("vote_no > 0")
+    named = opened.where(F.col("label") == opening).join(title, ["doc", "run"], "left").select("doc", "vote_no", F.coalesce("title", F.lit("")).alias("title"))
+    return opened.join(named, ["doc", "vote_no"]).select("doc", "vote_no", "title", "label", "start", "stop")
+
+
+def parts(parsed: DataFrame, last_page: int) -> DataFrame:
+    """(doc, vote_no, label, page, valid): each part's pages, up to the one before the next part.
+
+    A part is valid if its start lies after the part before it and before the next; a vote's
+    wrong entry leaves its other parts valid.
+    """
+    order = Window.partitionBy("doc").orderBy("vote_no", "start")
+    listed = Window.partitionBy("doc", "vote_no").orderBy("place")
+    place = parsed.withColumn("place", F.monotonically_increasing_id()) if "place" not in parsed.columns else parsed
+    ok = F.coalesce(F.col("start") > F.lag("start").over(listed), F.lit(True)) & (F.col("start") <= last_page)
+    nxt = F.lead("start").over(order)
+    stop = F.coalesce("stop", nxt - 1, F.lit(last_page))
+    got = place.withColumn("valid", ok).withColumn("until", F.greatest(stop, F.col("start")))
+    return got.where("valid").select("doc", "vote_no", "label", F.explode(F.sequence("start", "until")).alias("page"), "valid")
+
+
+def containing(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Ranges (doc, page) with the block (doc, lo, hi, block) that holds their page, else the last
+    block before it: one pass over both in page order instead of a join of all pairs."""
+    a = ranges.select("doc", "page", F.lit(1).alias("side"), F.lit(None).cast("int").alias("block"))
+    b = blocks.select("doc", F.col("lo").alias("page"), F.lit(0).alias("side"), "block")
+    w = Window.partitionBy("doc").orderBy("page", "side").rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).withColumn("block", F.last("block", ignorenulls=True).over(w)).where("side = 1").drop("side")
