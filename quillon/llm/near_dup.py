@@ -55,7 +55,7 @@ def _signature(h: np.ndarray) -> bytes:
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in by_bytes(batch, 1, 1_000_000):
+            for b in by_bytes(batch, 1, 500_000):
                 g, off = shingles(*utf8(b.column(1)), words)
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -94,8 +94,8 @@ class Members:
         """Whether pairs are similar: exactly if both sets are whole, else by the union's sketch."""
         out = self.near_size(i, j)
         todo = np.flatnonzero(out)
-        for at in range(0, len(todo), 3000):
-            k = todo[at : at + 3000]
+        for at in range(0, len(todo), 1000):
+            k = todo[at : at + 1000]
             both = np.sort(np.concatenate([self.s[i[k]], self.s[j[k]]], 1), 1)
             twice = np.zeros(both.shape, bool)
             twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
@@ -115,17 +115,14 @@ class Members:
         use = count[inverse] > 1
         row, col = row[use], column[inverse[use]]
         width, step = int((count > 1).sum()), 2048
-        parts = []
+        got = np.zeros((b - a, b - a), np.float32)
         for c in range(0, width, step):
             m = np.zeros((b - a, min(step, width - c)), np.float32)
             ok = (col >= c) & (col < c + step)
             m[row[ok], col[ok] - c] = 1
-            parts.append(m)
+            got += m @ m.T
         for at in range(0, b - a, 256):
-            got = np.zeros((min(256, b - a - at), b - a), np.float32)
-            for m in parts:
-                got += m[at : at + 256] @ m.T
-            yield np.arange(a + at, min(b, a + at + 256)), got.astype(np.int64)
+            yield np.arange(a + at, min(b, a + at + 256)), got[at : at + 256].astype(np.int32)
 
 
 def _forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> Da
     firsts = F.transform(F.filter("lists", lambda x: x["df"] <= BLOCK), lambda x: x["value"])
     listed = listed.select("sig", "n", weight.alias("weight"), firsts.alias("firsts"), F.explode("lists").alias("x"))
     listed = settle(listed.select("sig", "n", "weight", "firsts", F.col("x.value").alias("value"), F.col("x.df").alias("df")))
-    deal = buckets(spark, listed.count(), 5_000)
+    deal = buckets(spark, listed.count(), 2_500)
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("sig"), blocks).cast("int")
     sets = _full_sets(base, reps, listed.select("sig").distinct(), words)
@@ -302,8 +299,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> Da
         # blocks, the documents outside the main component meet every block. Any two documents
         # that still lie apart are then compared, so no third round can find more.
         rooted = listed.drop("weight").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        apart = rooted.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
-        apart = apart.groupBy("value").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1").drop("roots")
+        apart = rooted.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("largest"))
+        apart = apart.groupBy("value").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("largest").alias("largest"), F.sum("c").alias("members"))
+        # A list of one block whose sets are all whole is through: the first round was exact there.
+        apart = apart.where((F.col("roots") > 1) & ((F.col("largest") > WIDE) | (F.col("members") > BLOCK))).select("value", "main")
         rooted = settle(rooted.join(apart, "value").withColumn("asked", F.lit(False)).withColumn("block", block))
         out = rooted.where((F.col("df") > BLOCK) & (F.col("root") != F.col("main"))).withColumn("asked", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
         more = settle(candidates(out.unionByName(rooted), True).join(pairs, ["u", "v"], "left_anti"))
@@ -327,7 +326,7 @@ def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in by_bytes(batch, 0, 1_000_000):
+            for b in by_bytes(batch, 0, 500_000):
                 g, off = shingles(*utf8(b.column("text")), words)
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 fits = [_signature(s) == x for s, x in zip(sets, b.column("sig").to_pylist())]
