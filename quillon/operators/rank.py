@@ -25,7 +25,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str =
     before they are shuffled; what a pair shares is a sum of its terms' weights.
     """
     terms = queries.select(query, *scope, F.explode(F.array_distinct(stem_tokens(F.col(text)))).alias("term")).distinct()
-    asked = small(terms.select(*scope, "term").distinct())
+    n_terms = terms.count()
+    near = F.broadcast if n_terms <= BROADCAST_ROWS else lambda df: df  # as many rows at most, each
+    asked = near(terms.select(*scope, "term").distinct())
     tokens = docs.select(doc, *scope, stem_tokens(F.col(text)).alias("tokens")).withColumn("len", F.size("tokens"))
     whole = tokens.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     tf = tokens.select(doc, *scope, "len", F.explode("tokens").alias("term")).join(asked, [*scope, "term"]).groupBy(doc, *scope, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -33,10 +35,10 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str =
     if scope:
         tf = tf.join(df, [*scope, "term"]).join(whole, list(scope))
     else:
-        tf = tf.join(small(df), "term").crossJoin(F.broadcast(whole))  # one row
+        tf = tf.join(near(df), "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    got = tf.select(doc, *scope, "term", weight.alias("w")).join(small(terms), [*scope, "term"])
+    got = tf.select(doc, *scope, "term", weight.alias("w")).join(near(terms), [*scope, "term"])
     return got.groupBy(query, doc).agg(F.sum("w").alias("score"))
 
 

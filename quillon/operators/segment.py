@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import plain
+from quillon.functions.text import let, plain
 
 #: Fixed values of the paragraph rule.
 LONG_LINE, HEADING, CLOSING, LEAST = 30, 40, 0.85, 40
@@ -84,8 +84,14 @@ def packs(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
 
 def windows(text: Column, size: int, step: int, least: int) -> Column:
     """Windows of `size` characters every `step`, those with `least` at least."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(step))
-    return F.filter(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))), lambda w: F.length(w) >= least)
+    if size % step:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(step))
+        found = F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+    else:
+        # Pieces of one step in a single pass; a window is a few of them.
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), 0)
+        found = pieces if size == step else let(pieces, lambda p: F.transform(p, lambda x, i: F.array_join(F.slice(p, i + 1, F.lit(size // step)), "")))
+    return F.filter(found, lambda w: F.length(w) >= least)
 
 
 def lines(pages: DataFrame, *keys: str, text: str = "text") -> DataFrame:

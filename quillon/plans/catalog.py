@@ -12,7 +12,18 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions than there are cores.
+
+    Texts cost far more to work on than to move, and only small inputs have so few partitions;
+    larger ones are left as their files deal them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
