@@ -35,7 +35,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str =
     if scope:
         tf = tf.join(df, [*scope, "term"]).join(whole, list(scope))
     else:
-        tf = tf.join(near(df), "term").crossJoin(F.broadcast(whole))  # one row
+        n, mean = whole.first()
+        tf = tf.join(near(df), "term").withColumn("n", F.lit(n)).withColumn("mean", F.lit(mean))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     got = tf.select(doc, *scope, "term", weight.alias("w")).join(near(terms), [*scope, "term"])

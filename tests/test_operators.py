@@ -193,3 +193,16 @@ def test_order_does_not_matter(spark, sf):
     a = segment.paragraphs(docs, "doc_id").agg(F.sum(F.xxhash64("doc_id", "para_no", "paragraph").cast("decimal(38,0)"))).first()
     b = segment.paragraphs(docs.orderBy(F.rand(3)).repartition(8), "doc_id").agg(F.sum(F.xxhash64("doc_id", "para_no", "paragraph").cast("decimal(38,0)"))).first()
     assert a == b
+
+
+def test_contexts(spark):
+    from quillon.operators import context
+
+    pages = spark.createDataFrame([("b", i, f"{i} Steuern und Abgaben\n" + ("solar power " if i == 3 else "other words ") * 5) for i in range(1, 5)] + [("c", 1, "solar power")], "doc string, page int, text string")
+    claims = spark.createDataFrame([(1, "b", "Solar power wins")], "claim int, doc string, text string")
+    got = {name: sorted({r.page for r in context.select(name, pages, claims).collect()}) for name in context.VARIANTS}
+    assert got["full"] == [1, 2, 3, 4] and got["closed-book"] == []
+    first = context._bm25(context.pieces(pages), claims).orderBy(F.desc("score")).first()
+    assert (first.doc, first.place) == ("b", 3) and 3 in got["bm25"] and 3 in got["hybrid"] and got["vote-section"] == [3, 4]
+    with pytest.raises(ValueError, match="unknown context"):
+        context.select("none such", pages, claims)
