@@ -54,21 +54,40 @@ def macro_f1_fixed(pairs: DataFrame, classes: tuple[int, ...] = (0, 1, 2)) -> Da
     return pairs.agg((sum(f1[1:], f1[0]) / len(classes)).alias("macro_f1"))
 
 
-def nearest_rank(c: Column, p: float) -> Column:
-    """The value at rank ceil(p * n); null for none."""
-    return F.percentile_disc(F.lit(p), c) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c._jc.toString()})")
+def at_index(values: DataFrame, group: str, value: str, index: Column, name: str, cells: int = 4096) -> DataFrame:
+    """(group, name): the value at a 0-based index of the group's sorted values; nulls don't count.
 
-
-def at_index(values: DataFrame, group: str, value: str, index: Column, name: str) -> DataFrame:
-    """(group, name): the value at a 0-based index of the group's sorted values.
-
-    index may use `n`, the group's size. Values combine to counts first, so that a group is as
-    large as its distinct values; the running count finds the one that spans the index.
+    index may use `n`, the group's size. Values are counted in cells between the group's least
+    and largest; the running count over cells finds the one that holds the index, and only that
+    cell's values are sorted. So a group is never sorted as a whole.
     """
-    each = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(group).orderBy(value)
-    run = each.withColumn("to", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(group)))
-    return run.where((index < F.col("to")) & (index >= F.col("to") - F.col("c"))).select(group, F.col(value).alias(name))
+    got = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    range_ = got.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).withColumn("index", index.cast("long"))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1))).otherwise(0)
+    celled = got.join(range_, "g").withColumn("cell", place.cast("int"))
+    counts = celled.groupBy("g", "cell", "index").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("g").orderBy("cell")) - F.col("c")
+    holds = counts.withColumn("before", before).where((F.col("index") >= F.col("before")) & (F.col("index") < F.col("before") + F.col("c"))).select("g", "cell", "before")
+    inside = celled.join(holds, ["g", "cell"])
+    w = Window.partitionBy("g").orderBy("v")
+    return inside.withColumn("r", F.row_number().over(w) - 1 + F.col("before")).where("r = index").select(F.col("g").alias(group), F.col("v").alias(name))
+
+
+def nearest_rank(values: DataFrame, group: str, value: str, percent: int, name: str) -> DataFrame:
+    """(group, name): the value at rank ceil(percent * n / 100)."""
+    return at_index(values, group, value, F.floor((percent * F.col("n") + 99) / 100) - 1, name)
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with their 1-based place in key order, counted by range partitions first."""
+    part = rows.repartitionByRange(key).withColumn("__part", F.spark_partition_id()).persist()
+    sizes = {r["__part"]: r["n"] for r in part.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
+    before, offset = 0, F.lit(0)
+    for p in sorted(sizes):
+        offset = F.when(F.col("__part") == p, F.lit(before)).otherwise(offset) if before else offset
+        before += sizes[p]
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return part.withColumn(name, (within + offset).cast("int")).drop("__part")
 
 
 def bootstrap(rows: DataFrame, key: str, correct: str, rounds: int, seed: int = 42) -> DataFrame:
@@ -78,7 +97,7 @@ def bootstrap(rows: DataFrame, key: str, correct: str, rounds: int, seed: int =
     draws the same. Rows are numbered in key order; the draws join them by number.
     """
     n = rows.count()
-    at = rows.select(F.row_number().over(Window.orderBy(key)).alias("at"), F.col(correct).cast("double").alias("x"))
+    at = numbered(rows, key, "at").select("at", F.col(correct).cast("double").alias("x"))
     draws = rows.sparkSession.range(n * rounds).select((F.col("id") % rounds).alias("round"), F.floor(F.col("id") / rounds).alias("draw"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("draw").cast("string")).cast("binary"))
     index = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1) + 1).cast("int")

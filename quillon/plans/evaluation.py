@@ -68,7 +68,7 @@ def breakdowns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def p95_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").cast("double").alias("p95"))
+    return metrics.nearest_rank(table(spark, d, "events"), "event_type", "value", 95, "p95")
 
 
 _AT = "SELECT event_type, list_sort(list(value))[CAST({i} AS INTEGER) + 1] AS {name} FROM events GROUP BY 1"
