@@ -21,7 +21,20 @@ def texts(docs: DataFrame, *more: str, key: str = "doc_id", text: str = "text")
     return docs.select(*cols)
 
 
+#: Rows that go to a Python worker at once: whole texts in batches of the default 10,000 take
+#: hundreds of megabytes, on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def texts_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[Column]:
+    small_batches(docs.sparkSession)
     return [F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")]
 
 

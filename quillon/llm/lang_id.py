@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import settle, trim
+from quillon.llm._common import settle, small_batches, trim
 from quillon.llm._shingle import by_bytes, mix, utf8
 
 _U = np.uint64
@@ -107,6 +107,7 @@ def identify(rows: DataFrame, model: TextModel, *, least: float = 0.3) -> DataFr
     row for each input row; repeated rows count each.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # SLOTS times the languages, whatever the data
     n = len(model.languages)
 
