@@ -46,6 +46,20 @@ def least_shared(k: int, percent: int) -> int:
         t += 1
 
 
+@lru_cache
+def least_retained(n: int, percent: int) -> int:
+    """How many retained values a set of n <= K shares at least with any set that is similar enough.
+
+    A partner of more than K hashes drops all but its K smallest; each one dropped may be shared.
+    Where that leaves less than least_shared(), its chance of 1e-8 holds as for larger sets.
+    """
+    least = -(-n * percent // 100)
+    for m in range(K + 1, 100 * n // percent + 1):
+        common = -(-percent * (n + m) // (100 + percent))
+        least = min(least, max(common - (m - K), least_shared(K, percent)))
+    return least
+
+
 def _signature(h: np.ndarray) -> bytes:
     """128 bits that equal sets share."""
     with np.errstate(over="ignore"):
@@ -265,7 +279,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> Da
     often = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = held.join(often, "value").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("lists"))
     size = F.least("n", F.lit(K))
-    least = F.when(F.col("n") <= K, F.ceil(F.col("n") * percent / 100).cast("int")).otherwise(least_shared(K, percent))
+    small = F.array(*(F.lit(least_retained(n, percent)) for n in range(1, K + 1)))
+    least = F.when(F.col("n") <= K, F.element_at(small, size.cast("int"))).otherwise(least_shared(K, percent))
     # Values without a list are rarest of all and count first.
     take = size - least + 1 - (size - F.size("lists"))
     listed = own.join(reps, "sig").withColumn("take", take).where("take > 0")

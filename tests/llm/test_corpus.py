@@ -141,6 +141,18 @@ def test_near_duplicates(spark, percent):
     assert got == brute.components(rows, percent)
 
 
+@pytest.mark.parametrize("percent, sizes", [(85, (37,)), (80, (37, 39, 40))])
+def test_near_duplicates_where_one_retains_all(spark, percent, sizes):
+    """32 shingles against partners that retain 32 of more: the dropped ones may be shared ones."""
+    rows = []
+    for size in sizes:
+        for k in range(40):
+            words = [f"w{size}x{k}x{i}" for i in range(size + 4)]
+            rows += [(len(rows), " ".join(words[:36])), (len(rows) + 1, " ".join(words))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), percent=percent).collect()}
+    assert got == brute.components(rows, percent) and len({c for _, c in got.values()}) == len(rows) // 2
+
+
 def test_near_duplicates_of_odd_tables(spark):
     same = "a b c d e f g"
     docs = spark.createDataFrame([(5, same), (5, same), (None, same), (3, same + " "), (None, None), (9, "")], DOCS)
