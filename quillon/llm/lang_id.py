@@ -20,7 +20,7 @@ from quillon.llm._common import settle, small_batches, trim
 from quillon.llm._shingle import by_bytes, mix, utf8
 
 _U = np.uint64
-#: Labelled rows that the text model is fitted on at most, drawn by a hash of their key.
+#: Labelled rows that the text model is fitted on at most, drawn for each label by a hash.
 SAMPLE = 2000
 SLOTS = 1 << 16
 #: The class of what fits no known language: bytes as likely as any other.
@@ -76,13 +76,38 @@ class TextModel:
         return out, np.diff(ends)
 
 
+def _quotas(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Rows to draw of each label, `total` in all: as many of each, where it has them, and one at least."""
+    out: dict[str, int] = {}
+    left = total
+    for k, x in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[x] = max(1, min(counts[x], left // (len(counts) - k)))
+        left -= out[x]
+    return out
+
+
 def fit_text(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> TextModel:
-    """The text model of at most `sample` labelled rows, the first by a hash of their key."""
-    rows = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h"))
-    # Hashes first: tasks send those alone, and texts only of the rows drawn.
-    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    got = rows.where(F.col("h") <= F.lit(last)).limit(2 * sample).collect() if last is not None else []
-    return TextModel.fit([r.text for r in got], [r.label for r in got])
+    """The text model of at most `sample` labelled rows, dealt evenly over all labels there are.
+
+    Of each label the first by a hash of key and text. Every label has a row, whatever its share:
+    more labels than `sample` give one row each.
+    """
+    rows = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(key, text).alias("h"))
+    # Hashes first: tasks send those alone, and texts only of about the rows drawn.
+    seen = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("distinct"), F.min("h").alias("least")).collect()
+    if not seen:
+        return TextModel.fit([], [])
+    quota = _quotas({r.label: r.n for r in seen}, sample)
+    most = (1 << 63) - 1
+    upto = {r.label: max(r.least, min(most, int((1 << 64) * 1.5 * (quota[r.label] + 20) / max(1, r.distinct)) - (1 << 63))) for r in seen}
+    limits = labelled.sparkSession.createDataFrame(list(upto.items()), "label string, upto long")
+    got = rows.join(F.broadcast(limits), "label").where("h <= upto").dropDuplicates(["label", "h"]).select("label", "h", "text").collect()
+    drawn: dict[str, list] = {}
+    for r in sorted(got, key=lambda r: (r.label, r.h)):
+        mine = drawn.setdefault(r.label, [])
+        if len(mine) < quota[r.label]:
+            mine.append(r.text)
+    return TextModel.fit([t for x in drawn.values() for t in x], [k for k, x in drawn.items() for _ in x])
 
 
 def visible(html: Column) -> Column:

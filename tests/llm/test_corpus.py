@@ -11,6 +11,7 @@ from math import comb
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -296,6 +297,22 @@ def test_language_of_held_out_and_odd_rows(spark):
     assert lang_id.identify(odd.limit(0), model).count() == 0
 
 
+def test_rare_labels_have_a_class(spark):
+    """Labels of one row in hundreds, repeated keys and null keys: each is learnt."""
+    rare = {"rm": "Il cussegl federal ha approvà la nova lescha davart ils lieus", "fi": "Hallitus hyväksyi uuden lain metsien ja järvien suojelusta", "hu": "A kormány elfogadta az erdők védelméről szóló új törvényt"}
+    rows = [(i, f"the council has approved bill number {i} on forests and lakes", "en") for i in range(900)]
+    rows += [(5, "the same words in a row that stands here often", "en")] * 300 + [(None, "eine Zeile ohne Nummer", "de")] * 300
+    rows += [(2000 + k, t, x) for k, (x, t) in enumerate(rare.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit_text(docs, "doc_id", "text", "lang", sample=20)
+    assert model.languages == ["de", "en", "fi", "hu", "rm", "und"]
+    scores, _ = model.score(pa.array(list(rare.values())))
+    assert [model.languages[k] for k in scores.argmax(1)] == list(rare)
+    assert lang_id._quotas({"a": 10_000, "b": 3, "c": 900}, 100) == {"b": 3, "c": 48, "a": 49}
+    assert lang_id._quotas({"a": 5, "b": 5, "c": 5}, 2) == {"a": 1, "b": 1, "c": 1}
+    assert lang_id.fit_text(docs.limit(0), "doc_id", "text", "lang").languages == ["und"]
+
+
 def test_sharding(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}" * 50 if i % 9 else None, "s") for i in range(400)], "doc_id long, text string, shard string").repartition(10)
     data = sharding.ShardedDataset(spark, str(tmp_path / "d"), target=60_000, small=2_000, fan_in=4)
