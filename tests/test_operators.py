@@ -161,6 +161,24 @@ def test_fuzzy():
         assert fuzzy.partial_ratio(a, b) == pytest.approx(max([100.0 * (a in b), *(fuzzy.similarity(a, w) for w in spans)]))
 
 
+def test_fuzzy_pairs_are_all_pairs(spark):
+    """Passages within the other text, on either side, with edits, short and repetitive ones."""
+    r = random.Random(5)
+    say = lambda n: "".join(r.choice("abcdefgh ijklmnop") for _ in range(n))
+
+    def edited(t, step):
+        return "".join("#" if i % step == step - 1 else c for i, c in enumerate(t))
+
+    left = [(i, say(r.choice([60, 200, 390]))) for i in range(12)] + [(20, "abcde"), (21, "ab" * 30), (22, None)]
+    right = [(f"in{i}", t[7:52]) for i, t in left[:12]] + [(f"ed{i}", say(40) + edited(t, 11) + say(30)) for i, t in left[:12]]
+    right += [(f"cut{i}", t[: len(t) * 9 // 10]) for i, t in left[:12]] + [("abc", "xxabcde"), ("ba", "ba" * 28 + "xab"), ("far", say(300)), ("null", None), ("end", left[0][1][: 52] + say(9))]
+    got = fuzzy.fuzzy_pairs(spark.createDataFrame(left, "i long, t string"), spark.createDataFrame(right, "p string, s string"), ("i", "t"), ("p", "s")).collect()
+    want = {(i, p): fuzzy.partial_ratio(t, s) for i, t in left for p, s in right if t is not None and s is not None}
+    want = {k: x for k, x in want.items() if x >= 90}
+    assert {(x.i, x.p): x.ratio for x in got} == pytest.approx(want)
+    assert {k[1][:2] for k in want} >= {"in", "ed", "cu"}
+
+
 def test_tolerant_lines(spark, tmp_path):
     (tmp_path / "in.jsonl").write_bytes(b'\xef\xbb\xbf{"id": 1, "booklet": {}}\r\n\r{"id": "1", "reference": {}}\nnot json\n{"id": 1, "reference": {}}\r{"x": 1}\n{"id": {"b": 1, "a": 2}, "t": "\xff"}')
     got = jsonl.json_lines(spark, str(tmp_path)).orderBy("line_no").collect()
