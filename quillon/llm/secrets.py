@@ -29,9 +29,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Forms that are added to the base ones, by kind.
 FORMS = {
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{10,4000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,}"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{38,}"),  # a maximal run; see tokens()
     "prefixed": re.compile(r"(?:gh[pousr]_|xox[baprs]-|sk_live_|glpat-)[A-Za-z0-9_-]{16,}"),
-    "entropy": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,200}(?![A-Za-z0-9+/_=-])"),
+    "entropy": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])"),
 }
 KINDS = ("assign", "access", "hex", *FORMS)
 #: From so many distinct owners, or repositories, on a value counts as widely copied.
@@ -53,21 +53,45 @@ def _random_looking(word: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(word).values()) >= 3.5
 
 
+def tokens(run: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the JWTs in a run of parts and dots, of any length, in one pass."""
+    parts, starts, at = run.split("."), [], 0
+    for p in parts:
+        starts.append(at)
+        at += len(p) + 1
+    i = 0
+    while i + 2 < len(parts):
+        head, payload, mark = parts[i : i + 3]
+        first = head.find("eyJ")
+        if first >= 0 and len(head) - first >= 13 and payload.startswith("eyJ") and len(payload) >= 13 and len(mark) >= 10:
+            yield starts[i] + first, starts[i + 2] + len(mark)
+            i += 3
+        else:
+            i += 1
+
+
+def found_by(kind: str, form: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    for m in form.finditer(text):
+        if kind == "jwt":
+            for s, e in tokens(m[0]):
+                yield m.start() + s, m.start() + e
+        elif kind != "entropy" or _random_looking(m[0]):
+            yield m.start(), m.end()
+
+
 def more(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Further candidates that overlap no span found before."""
     out: list[tuple[int, int, int, str]] = []
     taken: bytearray | None = None
     for k, (kind, form) in enumerate(FORMS.items(), 3):
-        for m in form.finditer(text):
-            if kind == "entropy" and not _random_looking(m[0]):
-                continue
+        for s, e in found_by(kind, form, text):
             if taken is None:
                 taken = bytearray(len(text))
-                for s, _, e, _ in spans:
-                    taken[s:e] = b"\1" * (e - s)
-            if taken.find(1, m.start(), m.end()) < 0:
-                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                out.append((m.start(), k, m.end(), m[0]))
+                for x, _, y, _ in spans:
+                    taken[x:y] = b"\1" * (y - x)
+            if taken.find(1, s, e) < 0:
+                taken[s:e] = b"\1" * (e - s)
+                out.append((s, k, e, text[s:e]))
     return out
 
 

@@ -224,6 +224,19 @@ def test_secrets(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_long_secrets():
+    """Words and tokens beyond any length have a span; the short ones keep theirs."""
+    old = re.compile(r"eyJ[A-Za-z0-9_-]{10,4000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,}")
+    r = random.Random(3)
+    for _ in range(2000):
+        t = "".join(r.choice(["eyJ", "a" * 10, "bcdefghij", ".", ".", ".eyJ", "-", " "]) for _ in range(r.randint(3, 16)))
+        assert list(secrets.found_by("jwt", secrets.FORMS["jwt"], t)) == [m.span() for m in old.finditer(t)]
+    word = "Xy7Kp2Qw9Zt4Lm8Nb3Vc6RdE1f" * 10
+    jwt = f"eyJ{'ab1' * 2000}.eyJ{'Cd2' * 3000}.{'e' * 43}"
+    assert secrets.more(f"a {word} b", []) == [(2, 6, 2 + len(word), word)]
+    assert secrets.more(f"a {jwt} b", [])[0] == (2, 4, 2 + len(jwt), jwt)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_repeats(spark, seed):
     rows = brute.corpus(120, seed)
