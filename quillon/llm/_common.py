@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -38,38 +39,71 @@ def texts_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> l
     return [F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")]
 
 
-#: Up to so many rows of a few numbers each are broadcast.
-BROADCAST_ROWS = 500_000
+#: Up to so many rows of a few numbers each, and bytes of a longer column, are broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
 
-def bounded(small: DataFrame) -> DataFrame:
-    """small (narrow rows, computed already), marked for broadcast if its counted rows allow."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+def bounded(small: DataFrame, long: str | None = None) -> DataFrame:
+    """small (computed already), marked for broadcast if its counted rows allow, and the bytes of
+    its column `long` if it has one of no fixed size."""
+    r = small.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.octet_length(long)) if long else F.lit(0)).alias("b")).first()
+    return F.broadcast(small) if r.n <= BROADCAST_ROWS and (r.b or 0) <= BROADCAST_BYTES else small
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage through a checkpoint in the cluster's shared folder.
-
-    The folder is the session's spark.checkpoint.dir; only where it is unset (tests on one
-    machine) a temporary folder of the driver is used.
-    """
+    """Computes df once and cuts its lineage through a checkpoint in shared_folder()."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (see settle)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset, on one machine (a local master, as in tests), a temporary folder; elsewhere
+    an error, since a driver's own folder is none that executors see.
+    """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffles and checkpoints that nothing refers to any more.
+
+    It acts when the driver's JVM collects its garbage, which a driver with little to do puts off
+    for half an hour (spark.cleaner.periodicGC.interval), while disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have yet, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(*more: Column, text: str = "text") -> Column:
+    """With the doc_id, tells rows apart: a hash of the text (null is not empty here) and more."""
+    return F.xxhash64(F.col(f"`{text}`").cast("string"), *more)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows that gone (doc_id, row_key) names; `key` is docs' row_key()."""
+    a, b = fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    named = bounded(settle(gone.select(F.col("doc_id").cast("long").alias(a), F.col("row_key").alias(b)).distinct()))
+    return docs.join(named, (key == F.col(b)) & F.col("doc_id").cast("long").eqNullSafe(F.col(a)), "left_anti")
+
+
 def trim() -> None:
     """Gives freed memory back to the system: Python workers live on from task to task."""
     pa.default_memory_pool().release_unused()

@@ -3,8 +3,7 @@
 The text gives a likelihood for each language (hashed byte n-grams, fitted on a bounded sample
 of labelled rows). The declared markup language and the address suffix each give a likelihood
 from grouped counts over the corpus. The host gives a prior, smoothed level by level: a host's
-counts toward its domain's, that toward its suffix's, that toward the whole corpus. The
-posterior is their product.
+counts toward its domain's, those toward the whole corpus's. The posterior is their product.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import settle, small_batches, trim
+from quillon.llm._common import row_key, settle, small_batches, trim
 from quillon.llm._shingle import by_bytes, mix, utf8
 
 _U = np.uint64
@@ -25,7 +24,7 @@ SAMPLE = 2000
 SLOTS = 1 << 16
 #: The class of what fits no known language: bytes as likely as any other.
 UNKNOWN = "und"
-#: Weight of a parent level, in documents, for host, domain and suffix; and of the text's n-grams,
+#: Weight of a parent level, in documents, for host and domain; and of the text's n-grams,
 #: which overlap and so count less than independent evidence would.
 PARENT = 20.0
 TEMPER = 1 / 3
@@ -121,15 +120,28 @@ def declared(html: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})\b""", 1)), F.lit(""))
 
 
+def evidence_key(docs: DataFrame) -> Column:
+    """row_key() of documents with what else is judged: the source."""
+    return row_key(F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string"))
+
+
+def suffix_of(host: Column) -> Column:
+    """The last label of an address of several labels that isn't a number, without a port; else empty."""
+    last = F.regexp_extract(host, r"\.([^.:@]*[^.:@0-9][^.:@]*)(?::\d*)?$", 1)
+    return F.coalesce(last, F.lit(""))
+
+
 def identify(rows: DataFrame, model: TextModel, *, least: float = 0.3) -> DataFrame:
     """Fuses the evidence of rows (key, text, declared, host): (key, lang, confidence, accepted).
 
     `declared` is the markup's language and `host` the host's name; either may be null or empty
-    and then says nothing. The counts behind their likelihoods and priors come from all rows, by
-    what their texts alone say. A null or empty text, or one without letters, is judged by the
-    other evidence. lang is 'und' where no known language explains the text better than bytes
-    drawn evenly; accepted says that lang is known and its posterior is `least` at least. One
-    row for each input row; repeated rows count each.
+    and then says nothing, as does a host without a suffix of its suffix. The counts behind their
+    likelihoods and priors come from all rows, by what their texts alone say. A null or empty
+    text, or one without letters, is judged by the other evidence. lang is 'und' where no known
+    language explains the text better than bytes drawn evenly: that is so for languages that no
+    labelled row has, unless a known one is close. Equal posteriors go to the language first by
+    name. accepted says that lang is known and its posterior is `least` at least. One row for each
+    input row; repeated rows count each. A column row_key of rows goes through.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -143,15 +155,17 @@ def identify(rows: DataFrame, model: TextModel, *, least: float = 0.3) -> DataFr
                 scores, count = m.score(b.column(1))
                 logs = (scores - scores.max(1, keepdims=True)) * TEMPER
                 best = np.where(count > 0, scores.argmax(1), -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(logs.tolist(), pa.list_(pa.float64())), pa.array(best, pa.int32())], names=["key", "declared", "host", "logs", "best"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(2), b.column(3), b.column(4), pa.array(logs.tolist(), pa.list_(pa.float64())), pa.array(best, pa.int32())],
+                    names=["key", "declared", "host", "row_key", "logs", "best"],
+                )
         trim()
 
     text = F.coalesce("text", F.lit(""))
-    plain = rows.select(F.col("key").cast("long").alias("key"), text.alias("text"), F.lower(F.coalesce("declared", F.lit(""))).alias("declared"), F.lower(F.coalesce("host", F.lit(""))).alias("host"))
-    read = settle(plain.mapInArrow(run, "key long, declared string, host string, logs array<double>, best int"))
-    host = F.col("host")
-    levels = {"suffix": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2), "host": host}
-    seen = read.where("best >= 0").select("declared", *(c.alias(k) for k, c in levels.items()), "best")
+    through = F.col("row_key") if "row_key" in rows.columns else F.lit(0).cast("long")
+    plain = rows.select(F.col("key").cast("long").alias("key"), text.alias("text"), F.lower(F.coalesce("declared", F.lit(""))).alias("declared"), F.lower(F.coalesce("host", F.lit(""))).alias("host"), through.alias("row_key"))
+    read = settle(plain.mapInArrow(run, "key long, declared string, host string, row_key long, logs array<double>, best int").withColumn("suffix", suffix_of(F.col("host"))))
+    seen = read.where("best >= 0").select("declared", "suffix", F.substring_index("host", ".", -2).alias("domain"), "host", "best")
     # One pass makes the finest counts; every coarser table sums those.
     fine = settle(seen.groupBy("suffix", "domain", "host", "declared", "best").agg(F.count(F.lit(1)).alias("n")))
 
@@ -165,40 +179,49 @@ def identify(rows: DataFrame, model: TextModel, *, least: float = 0.3) -> DataFr
         total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x) + PARENT
         return F.zip_with(c, parent, lambda x, p: (x + p * PARENT) / total)
 
-    flat = F.array(*[F.lit(1.0 / n)] * n)
     whole = fine.agg(F.array(*(F.coalesce(F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(0)), F.lit(0)).cast("double") for k in range(n))).alias("c")).first().c
     total = sum(whole) + PARENT
     base = F.array(*(F.lit((x + PARENT / n) / total) for x in whole))
-    prior = counts("suffix").select("suffix", smoothed(F.col("c"), base).alias("p_suffix"))
-    prior = counts("suffix", "domain").join(prior, "suffix").select("domain", smoothed(F.col("c"), F.col("p_suffix")).alias("p_domain"))
-    prior = counts("domain", "host").join(prior, "domain").select("host", smoothed(F.col("c"), F.col("p_domain")).alias("prior"))
-    # How often documents of each language declare this: the likelihood of the declaration.
-    said = counts("declared").where("declared <> ''").select("declared", smoothed(F.col("c"), base).alias("p_said"))
-    said = said.select("declared", F.zip_with("p_said", base, lambda x, p: x / p).alias("said"))
-    joined = read.join(prior, "host", "left").join(said, "declared", "left")
-    prior_or = F.coalesce("prior", base)
-    said_or = F.coalesce("said", flat)
-    post = F.zip_with(F.zip_with(prior_or, said_or, lambda a, b: F.log(a) + F.log(b)), "logs", lambda a, b: a + b)
+    prior = counts("domain").select("domain", smoothed(F.col("c"), base).alias("p_domain"))
+    prior = counts("domain", "host").join(prior, "domain").select("host", F.when(F.col("host") == F.col("domain"), F.col("p_domain")).otherwise(smoothed(F.col("c"), F.col("p_domain"))).alias("prior"))
+    joined = read.join(prior, "host", "left")
+    post = F.transform(F.coalesce("prior", base), lambda x: F.log(x))
+    # How often documents of each language declare this, or have this suffix, against all: what a
+    # declaration or a suffix of its own says, whatever else is known.
+    for by in ("declared", "suffix"):
+        said = counts(by).where(F.col(by) != "").select(by, smoothed(F.col("c"), base).alias("p"))
+        joined = joined.join(said.select(by, F.zip_with("p", base, lambda x, p: F.log(x / p)).alias(f"says_{by}")), by, "left")
+        post = F.zip_with(post, F.coalesce(f"says_{by}", F.array(*[F.lit(0.0)] * n)), lambda a, b: a + b)
+    post = F.zip_with(post, "logs", lambda a, b: a + b)
     top = F.array_max("post")
     names = F.array(*map(F.lit, model.languages))
     out = joined.withColumn("post", post).withColumn("at", F.array_position("post", top).cast("int"))
     mass = F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    out = out.select("key", F.element_at(names, F.col("at")).alias("lang"), (F.lit(1.0) / mass).alias("confidence"))
-    return out.withColumn("accepted", (F.col("lang") != UNKNOWN) & (F.col("confidence") >= least))
+    out = out.select("key", F.element_at(names, F.col("at")).alias("lang"), (F.lit(1.0) / mass).alias("confidence"), "row_key")
+    out = out.withColumn("accepted", (F.col("lang") != UNKNOWN) & (F.col("confidence") >= least))
+    return out.select("key", "lang", "confidence", "accepted", *(["row_key"] if "row_key" in rows.columns else []))
 
 
-def identify_documents(docs: DataFrame, *, least: float = 0.3) -> DataFrame:
+def identify_documents(docs: DataFrame, *, least: float = 0.3, with_key: bool = False) -> DataFrame:
     """identify() for documents: the source is the host, and nothing is declared.
 
-    The model is fitted on the documents' own labels (lang); without any, all is 'und'.
+    The model is fitted on the documents' own labels (lang); without any, all is 'und'. A table
+    without `source` has one unknown host. with_key adds row_key, the evidence_key() of the row.
     """
-    model = fit_text(docs, "doc_id", "text", "lang")
-    rows = docs.select(F.col("doc_id").alias("key"), "text", F.lit("").alias("declared"), F.col("source").cast("string").alias("host"))
+    null = F.lit(None).cast("string")
+    plain = docs.select("doc_id", "text", (F.col("lang") if "lang" in docs.columns else null).alias("lang"), (F.col("source").cast("string") if "source" in docs.columns else null).alias("source"))
+    model = fit_text(plain, "doc_id", "text", "lang")
+    key = [evidence_key(plain).alias("row_key")] if with_key else []
+    rows = plain.select(F.col("doc_id").alias("key"), "text", F.lit("").alias("declared"), F.col("source").alias("host"), *key)
     return identify(rows, model, least=least).withColumnRenamed("key", "doc_id")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, *, least: float = 0.3) -> DataFrame:
-    """identify() for raw pages, with the text model of labelled documents."""
+    """identify() for raw pages, with the text model of labelled documents.
+
+    Null or empty html has no text and declares nothing; a null url has no host; such a page has
+    the other evidence alone, or the whole corpus's prior.
+    """
     from quillon.llm.urls import host_of
 
     model = fit_text(labelled, "doc_id", "text", "lang")

@@ -4,11 +4,14 @@ One hash function orders all shingles; a document retains its k smallest (its sk
 with equal shingle sets are one from here on. Each retained value has an inverted list. Of a
 document's values only its rarest stand in lists: documents that are similar enough share at
 least `shared` of k values (but for a chance below 1e-8), so they meet in a list even if each
-leaves out all but its k - shared + 1 rarest. A list is dealt into blocks of bounded size, with
-one member in each. Within a block, documents of nearly one size are compared by the estimate
+leaves out all but its k - shared + 1 rarest. Documents that meet in a list longer than a block
+meet by the rarest of WIDE retained values instead, so that a passage that very many documents
+hold lists only those it makes up almost whole. A list that is still longer is dealt into blocks
+of bounded size, with one member in each. Within a block, documents of nearly one size are compared by the estimate
 from the union's sketch, in memory, and a spanning set of the pairs that pass goes on to be
 verified on the full shingle sets. A second round compares all that the verified links have
-left apart: a list's documents outside its main component meet every block. Links end as
+left apart: a list's documents outside its main component meet every block, in turns of a
+block's size. Links end as
 connected components.
 """
 
@@ -24,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import bounded, buckets, settle, texts, trim
+from quillon.llm._common import bounded, buckets, release, row_key, settle, texts_columns, trim
 from quillon.llm._shingle import by_bytes, mix, shingles, utf8
-from quillon.llm.components import components
+from quillon.llm.components import stars
 
 _U = np.uint64
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -47,16 +50,16 @@ def least_shared(k: int, percent: int) -> int:
 
 
 @lru_cache
-def least_retained(n: int, percent: int) -> int:
-    """How many retained values a set of n <= K shares at least with any set that is similar enough.
+def least_retained(n: int, percent: int, k: int = K) -> int:
+    """How many retained values a set of n <= k shares at least with any set that is similar enough.
 
-    A partner of more than K hashes drops all but its K smallest; each one dropped may be shared.
+    A partner of more than k hashes drops all but its k smallest; each one dropped may be shared.
     Where that leaves less than least_shared(), its chance of 1e-8 holds as for larger sets.
     """
     least = -(-n * percent // 100)
-    for m in range(K + 1, 100 * n // percent + 1):
+    for m in range(k + 1, 100 * n // percent + 1):
         common = -(-percent * (n + m) // (100 + percent))
-        least = min(least, max(common - (m - K), least_shared(K, percent)))
+        least = min(least, max(common - (m - k), least_shared(k, percent)))
     return least
 
 
@@ -73,8 +76,8 @@ def _sketch(words: int):
                 g, off = shingles(*utf8(b.column(1)), words)
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.diff(off)), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "n", "sig", "sketch"],
+                    [b.column(0), b.column(2), pa.array(np.diff(off)), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "row_key", "n", "sig", "sketch"],
                 )
         trim()
 
@@ -82,13 +85,13 @@ def _sketch(words: int):
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each retained value: (sig, value)."""
+    """A row for each retained value: (sig, n, value)."""
     for batch in batches:
-        for at in range(0, len(batch), 4096):
-            b = batch.slice(at, 4096)
-            v = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-            n = np.array([len(x) for x in v])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(b)), n))), pa.array(np.concatenate([np.zeros(0, np.int64), *v]))], names=["sig", "value"])
+        for at in range(0, len(batch), 512):
+            b = batch.slice(at, 512)
+            v = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(b)), [len(x) for x in v]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate([np.zeros(0, np.int64), *v]))], names=["sig", "n", "value"])
 
 
 class Members:
@@ -155,19 +158,22 @@ def _forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> tuple[np.ndarray
 
 
 def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
-    """Candidate pairs of the lists in a bucket.
+    """Candidate pairs of the lists in a bucket; `sure` where both sets were compared in whole.
 
     At first, for each list, links enough to span what looks alike. Once components are known
     (settled), every pair that passes across components; of whole sets, which are compared
     exactly, only those of documents that are asked in a further block.
     """
+    keys = ["value", "block"]
     if settled:
+        keys += ["turn"]
         t = t.sort_values("asked", ascending=False)
-    t = t.sort_values(["value", "block", "sig"], kind="stable").drop_duplicates(["value", "block", "sig"])
+    t = t.sort_values([*keys, "sig"], kind="stable").drop_duplicates([*keys, "sig"])
     m = Members(t["n"].to_numpy(np.int64), t["sketch"].tolist(), percent)
-    value, block = t["value"].to_numpy(), t["block"].to_numpy()
+    key = t[keys].to_numpy()
+    value = key[:, 0]
     new = np.ones(len(t), bool)
-    new[1:] = (value[1:] != value[:-1]) | (block[1:] != block[:-1])
+    new[1:] = (key[1:] != key[:-1]).any(1)
     start = np.flatnonzero(new)
     end = np.append(start[1:], len(t))
     label = pd.factorize(t["root"])[0] if settled else np.arange(len(t))
@@ -214,33 +220,39 @@ def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
             hit = m.passes(x, y)
             found.append(_forest(x[hit], y[hit], label))
     u, v = (np.concatenate([np.zeros(0, np.int64), *w]).astype(np.int64) for w in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-    if settled:
+    if settled and len(u):
         # A pair that lists of one block bring together several times goes out from the first.
-        own = np.full((len(t), K), NONE, _U)
-        for k, x in enumerate(t["firsts"]):
-            own[k, : len(x)] = np.asarray(x, np.int64).view(_U)
+        firsts = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in t["firsts"]]
+        own = np.full((len(t), max(map(len, firsts), default=0)), NONE, _U)
+        for k, x in enumerate(firsts):
+            own[k, : len(x)] = x.view(_U)
         keep = np.ones(len(u), bool)
         for at in range(0, len(u), 10_000):
             x, y = u[at : at + 10_000], v[at : at + 10_000]
             both = np.sort(np.concatenate([own[x], own[y]], 1), 1)
             twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
-            first = np.where(twice.any(1), both[np.arange(len(x)), twice.argmax(1)], NONE)
-            keep[at : at + 10_000] = (first == NONE) | (first >= value[x].view(_U))
+            if twice.shape[1]:
+                first = np.where(twice.any(1), both[np.arange(len(x)), twice.argmax(1)], NONE)
+                keep[at : at + 10_000] = (first == NONE) | (first >= value[x].astype(np.int64).view(_U))
         u, v = u[keep], v[keep]
     # The same documents stand in several lists of the bucket.
     code, names = pd.factorize(t["sig"])
+    whole = np.zeros(len(names), bool)
+    whole[code] = m.whole
     x, y = code[u], code[v]
     low, high = np.minimum(x, y), np.maximum(x, y)
     pair = np.unique(low * len(names) + high)
-    x, y = names[pair // max(1, len(names))], names[pair % max(1, len(names))]
+    low, high = pair // max(1, len(names)), pair % max(1, len(names))
+    x, y = names[low], names[high]
     trim()
     swap = x > y
-    return pd.DataFrame({"u": np.where(swap, y, x), "v": np.where(swap, x, y)})
+    return pd.DataFrame({"u": np.where(swap, y, x), "v": np.where(swap, x, y), "sure": whole[low] & whole[high]})
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    joined = pairs.join(sets.select(F.col("sig").alias("u"), F.col("hashes").alias("a")), "u")
+    """The pairs (u, v) that are similar enough: those that are sure, and of the others those whose
+    full shingle sets say so."""
+    joined = pairs.where("NOT sure").join(sets.select(F.col("sig").alias("u"), F.col("hashes").alias("a")), "u")
     joined = joined.join(sets.select(F.col("sig").alias("v"), F.col("hashes").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,89 +267,115 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([u, v, pa.array(ok)], names=["u", "v", "ok"])
         trim()
 
-    return joined.mapInArrow(run, "u binary, v binary, ok boolean")
+    return pairs.where("sure").select("u", "v").unionAll(joined.mapInArrow(run, "u binary, v binary, ok boolean").where("ok").select("u", "v"))
+
+
+def _lists(kept: DataFrame, k: int, percent: int) -> DataFrame:
+    """(sig, n, weight, value, df): of sets (sig, n, sketch of their k smallest hashes), the inverted
+    lists that each must stand in: those of its rarest values, as many as similar sets could leave
+    unshared and one more. Values that no other set retains have no list."""
+    held = kept.select("sig", "n", "sketch").mapInArrow(_values, "sig binary, n long, value long")
+    often = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = held.join(often, "value").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("lists"))
+    size = F.least("n", F.lit(k))
+    small = F.array(*(F.lit(least_retained(n, percent, k)) for n in range(1, k + 1)))
+    least = F.when(F.col("n") <= k, F.element_at(small, size.cast("int"))).otherwise(least_shared(k, percent))
+    # Values without a list are rarest of all and count first.
+    take = size - least + 1 - (size - F.size("lists"))
+    listed = own.withColumn("take", take.cast("int")).where("take > 0")
+    weight = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    listed = listed.select("sig", "n", weight.alias("weight"), F.explode(F.slice("lists", F.lit(1), F.col("take"))).alias("x"))
+    return listed.select("sig", "n", "weight", F.col("x.value").alias("value"), F.col("x.df").alias("df"))
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5, with_key: bool = False) -> DataFrame:
     """Links documents with 100 * shared shingles >= percent * shingles in their union.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself
-    included) and kept (doc_id = component_id). Words are runs of other than white space with
-    A-Z in lower case; a document with fewer than `words` has its whole sequence as one shingle.
-    A null, empty or blank text has no shingles and links with nothing, so it is kept. Repeated
-    texts and repeated rows link as equal sets; rows that repeat a doc_id share its component.
-    A null doc_id takes its component's smallest doc_id (null if there is none).
+    included) and kept (doc_id = component_id); with_key also row_key (see _common) and `first`,
+    true for the rows of one doc_id and text of each component. Words are runs of other than
+    white space with A-Z in lower case; a document with fewer than `words` has its whole sequence
+    as one shingle. A null, empty or blank text has no shingles and links with nothing, so it is
+    kept. Repeated texts and repeated rows link as equal sets; rows that repeat a doc_id with
+    other texts are linked by their texts alone and may lie in different components. A null
+    doc_id takes its component's smallest doc_id (null if there is none).
     """
     spark = docs.sparkSession
-    base = texts(docs)
-    rows = settle(base.mapInArrow(_sketch(words), "doc_id long, n long, sig binary, sketch binary"))
-    reps = rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"))
-    reps = settle(reps)
+    base = docs.select(*texts_columns(docs), row_key().alias("row_key"))
+    rows = settle(base.mapInArrow(_sketch(words), "doc_id long, row_key long, n long, sig binary, sketch binary"))
+    lead = F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "row_key"))
+    reps = settle(rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), lead.alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")))
 
-    # Inverted lists of more than one document, and of them those of a document's rarest values.
-    held = reps.select("sig", "sketch").mapInArrow(_values, "sig binary, value long")
-    often = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    own = held.join(often, "value").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("lists"))
-    size = F.least("n", F.lit(K))
-    small = F.array(*(F.lit(least_retained(n, percent)) for n in range(1, K + 1)))
-    least = F.when(F.col("n") <= K, F.element_at(small, size.cast("int"))).otherwise(least_shared(K, percent))
-    # Values without a list are rarest of all and count first.
-    take = size - least + 1 - (size - F.size("lists"))
-    listed = own.join(reps, "sig").withColumn("take", take).where("take > 0")
-    weight = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    # The lists of one block that a document stands in, so that a pair's first one is known.
-    listed = listed.withColumn("lists", F.expr("slice(lists, 1, greatest(take, 0))"))
-    firsts = F.transform(F.filter("lists", lambda x: x["df"] <= BLOCK), lambda x: x["value"])
-    listed = listed.select("sig", "n", weight.alias("weight"), firsts.alias("firsts"), F.explode("lists").alias("x"))
-    listed = settle(listed.select("sig", "n", "weight", "firsts", F.col("x.value").alias("value"), F.col("x.df").alias("df")))
+    listed = settle(_lists(reps, K, percent))
+    sets = _full_sets(base, reps, listed.select("sig").distinct(), words)
+    sketches = sets.select("sig", F.substring("hashes", 1, 8 * WIDE).alias("sketch"))
+    release(spark)
+    # Documents that meet in a list of several blocks share a passage at least; they meet again by
+    # the rarest of their WIDE values, counted among such documents, instead.
+    crowded = listed.where(F.col("df") > BLOCK).select("sig").distinct()
+    crowded = settle(reps.select("sig", "n").join(crowded, "sig", "left_semi").join(sketches, "sig"))
+    if not crowded.isEmpty():
+        again = _lists(crowded, WIDE, percent).withColumn("value", F.xxhash64("value", F.lit(WIDE)))
+        listed = settle(listed.where(F.col("df") <= BLOCK).unionByName(again))
     deal = buckets(spark, listed.count(), 2_500)
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("sig"), blocks).cast("int")
-    sets = _full_sets(base, reps, listed.select("sig").distinct(), words)
-    sketches = sets.select("sig", F.substring("hashes", 1, 8 * WIDE).alias("sketch"))
 
     # One member of a list that has several blocks stands in each.
     top = listed.where(F.col("df") > BLOCK).groupBy("value").agg(F.max_by(F.struct("sig", "n", "df"), F.struct("weight", "sig")).alias("p"))
     top = top.select("p.sig", "p.n", "value", "p.df").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    first = listed.drop("weight", "firsts").withColumn("block", block).unionByName(top)
+    first = listed.drop("weight").withColumn("block", block).unionByName(top)
 
     def candidates(t: DataFrame, settled: bool) -> DataFrame:
-        more = ["root", "asked", "firsts"] if settled else []
-        t = t.join(sketches, "sig").select("value", "block", "sig", "n", "sketch", *more).withColumn("bucket", F.pmod(F.xxhash64("value", "block"), F.lit(deal)))
-        return t.groupBy("bucket").applyInPandas(lambda x: _block(x, percent, settled), "u binary, v binary").distinct()
+        more = ["root", "asked", "turn", "firsts"] if settled else []
+        keys = ["value", "block", *(["turn"] if settled else [])]
+        t = t.join(sketches, "sig").select("value", "block", "sig", "n", "sketch", *more).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(deal)))
+        return t.groupBy("bucket").applyInPandas(lambda x: _block(x, percent, settled), "u binary, v binary, sure boolean").distinct()
 
     pairs, roots = settle(candidates(first, False)), None
+    release(spark)
     if not pairs.isEmpty():
-        links = settle(_verify(pairs, sets, percent).where("ok").select("u", "v"))
-        roots = settle(components(links))
+        links = settle(_verify(pairs, sets, percent))
+        roots = settle(stars(links))
         # Only lists that the links leave in more than one component; of those that have several
-        # blocks, the documents outside the main component meet every block. Any two documents
-        # that still lie apart are then compared, so no third round can find more.
+        # blocks, the documents outside the main component meet every block, in turns of a bounded
+        # number. Any two documents that still lie apart are then compared, so no third round can
+        # find more.
         rooted = listed.drop("weight").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         apart = rooted.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("largest"))
-        apart = apart.groupBy("value").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("largest").alias("largest"), F.sum("c").alias("members"))
+        apart = apart.groupBy("value").agg(F.count(F.lit(1)).alias("roots"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("largest").alias("largest"), F.sum("c").alias("members"))
         # A list of one block whose sets are all whole is through: the first round was exact there.
-        apart = apart.where((F.col("roots") > 1) & ((F.col("largest") > WIDE) | (F.col("members") > BLOCK))).select("value", "main")
+        apart = apart.where((F.col("roots") > 1) & ((F.col("largest") > WIDE) | (F.col("members") > BLOCK)))
+        apart = apart.select("value", "main", F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("turns"))
         rooted = settle(rooted.join(apart, "value").withColumn("asked", F.lit(False)).withColumn("block", block))
-        out = rooted.where((F.col("df") > BLOCK) & (F.col("root") != F.col("main"))).withColumn("asked", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        more = settle(candidates(out.unionByName(rooted), True).join(pairs, ["u", "v"], "left_anti"))
-        good = settle(_verify(more, sets, percent).where("ok").select("u", "v"))
-        if not good.isEmpty():
-            roots = settle(components(links.unionAll(good)))
-
-    if roots is None:
-        named = rows.join(reps.select("sig", "least"), "sig", "left")
-    else:
-        group = reps.select("sig", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        least = group.groupBy("root").agg(F.min("least").alias("lowest"))
-        named = rows.join(group.join(least, "root").select("sig", F.col("lowest").alias("least")), "sig", "left")
-    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        if not rooted.isEmpty():
+            firsts = listed.where(F.col("df") <= BLOCK).groupBy("sig").agg(F.collect_list("value").alias("firsts"))
+            rooted = rooted.join(firsts, "sig", "left")
+            several = F.col("df") > BLOCK
+            out = rooted.where(several & (F.col("root") != F.col("main"))).withColumn("asked", F.lit(True))
+            out = out.withColumn("turn", F.pmod(F.xxhash64("sig", F.lit(1)), "turns").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            every = rooted.withColumn("turn", F.explode(F.when(several, F.sequence(F.lit(0), F.col("turns") - 1)).otherwise(F.array(F.lit(0)))))
+            more = settle(candidates(out.unionByName(every), True).join(pairs, ["u", "v"], "left_anti"))
+            good = settle(_verify(more, sets, percent))
+            if not good.isEmpty():
+                roots = settle(stars(links.unionAll(good)))
+    release(spark)
+
+    group = reps.select("sig", "lead")
+    if roots is not None:
+        group = group.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        group = group.join(group.groupBy("root").agg(F.min("lead").alias("lowest")), "root").select("sig", F.col("lowest").alias("lead"))
+    named = rows.drop("sketch").join(group, "sig", "left")
+    component = F.when(F.col("n") > 0, F.col("lead.doc_id")).otherwise(F.col("doc_id"))
+    out = [F.col("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")]
+    chosen = (F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("row_key") == F.col("lead.row_key"))
+    return named.select(*out, *([F.col("row_key"), chosen.alias("first")] if with_key else []))
 
 
 def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """The full shingle sets behind the signatures asked for: (sig, hashes)."""
-    need = settle(reps.join(asked, "sig", "left_semi").select(F.col("least").alias("wanted"), "sig"))
+    several = F.col("copies") > 1
+    need = settle(reps.join(asked, "sig", "left_semi").select(F.col("lead.doc_id").alias("wanted"), F.col("lead.row_key").alias("wanted_key"), "sig", several.alias("several")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,8 +383,12 @@ def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -
                 g, off = shingles(*utf8(b.column("text")), words)
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 fits = [_signature(s) == x for s, x in zip(sets, b.column("sig").to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column("sig").filter(pa.array(fits, pa.bool_())), pa.array([s.tobytes() for s, ok in zip(sets, fits) if ok], pa.binary())], names=["sig", "hashes"])
+                mask = pa.array(fits, pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("sig").filter(mask), b.column("several").filter(mask), pa.array([s.tobytes() for s, ok in zip(sets, fits) if ok], pa.binary())], names=["sig", "several", "hashes"])
         trim()
 
-    picked = base.join(bounded(need), F.col("doc_id").eqNullSafe(F.col("wanted")))
-    return settle(picked.select("text", "sig").mapInArrow(run, "sig binary, hashes binary").dropDuplicates(["sig"]))
+    picked = base.join(bounded(need), (F.col("row_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted")))
+    made = settle(picked.select("text", "sig", "several").mapInArrow(run, "sig binary, several boolean, hashes binary"))
+    # Only rows that repeat both doc_id and text can come out twice.
+    again = settle(made.where("several").select("sig", "hashes").dropDuplicates(["sig"]))
+    return made.where("NOT several").select("sig", "hashes").unionAll(again)

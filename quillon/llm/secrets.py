@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import bounded, settle, texts, trim
+from quillon.llm._common import bounded, fresh, settle, small_batches, texts, trim
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -158,13 +158,20 @@ def masked(text: str, spans: str, mark: str) -> str:
 
 
 def redact(docs: DataFrame, *, mark: str = "[SECRET]") -> DataFrame:
-    """docs with all spans of scan() replaced by `mark` in their texts; other columns stay."""
-    spans = settle(scan(docs, with_key=True).where("spans <> ''").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    """docs with all spans of scan() replaced by `mark` in their texts; other columns stay.
+
+    Rows are found again by doc_id (null is one more id) and a hash of their text; a null text
+    stays null.
+    """
+    doc, key, to = (fresh(docs, x) for x in ("span_doc", "span_key", "span_list"))
+    spans = settle(scan(docs, with_key=True).where("spans <> ''").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(to)).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([masked(t, s, mark) if s else t for t, s in zip(text, spans)])
 
-    joined = docs.join(bounded(spans), same, "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), replaced("text", "__spans")).otherwise(F.col("text"))).select(*docs.columns)
+    joined = docs.join(bounded(spans, to), same, "left")
+    columns = (F.when(F.col(to).isNotNull(), replaced("text", to)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns)
+    return joined.select(*columns)
