@@ -1,20 +1,23 @@
 """Sharding by size-tiered compaction with a versioned manifest (operator 10).
 
 A dataset is a folder of immutable Parquet shards and manifests. Arrivals are appended as small
-shards; compaction merges shards of one size tier into the next, up to a target size; every
-change writes the next manifest under a temporary name and commits it by a rename that fails if
-that version exists. Readers take the newest manifest and read the shards it names, so they see
-whole versions only; files that no manifest names are swept later. The folder lies wherever
-Hadoop's file system API reaches.
+shards; compaction merges shards of one size tier into the next, up to a target size, and splits
+those far beyond it; every change writes the next manifest under a temporary name and commits it
+by a rename that fails if that version exists. Readers take the newest manifest and read the
+shards it names, so they see whole versions only. The folder lies wherever Hadoop's file system
+API reaches; that the rename is one step is a property of HDFS and of local disks. On an object
+store without it, writers must take turns.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,16 +69,24 @@ class ShardedDataset:
             out.write(bytearray(json.dumps(new).encode()))
         finally:
             out.close()
-        # rename() reports an existing target or, on some stores, replaces it; so ask as well.
-        if self.fs.exists(final) or not self.fs.rename(temporary, final):
+        hadoop = self.jvm.org.apache.hadoop.fs
+        strict = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        strict[0] = getattr(hadoop, "Options$Rename").NONE
+        context = hadoop.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:  # unlike FileSystem's rename, this one never replaces a file
+            context.rename(temporary, final, strict)
+        except Py4JJavaError as e:
             self.fs.delete(temporary, False)
-            raise Conflict(f"version {new['version']} exists")
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                raise Conflict(f"version {new['version']} exists") from e
+            raise
         return new
 
     def _write(self, df: DataFrame) -> list[Shard]:
         """Writes df's partitions as shards of a new subfolder; failed attempts leave none there."""
         run = uuid.uuid4().hex
-        df.write.parquet(f"{self.folder}/{run}")
+        # Row groups are what a shard that turns out too long can be split at.
+        df.write.option("parquet.block.size", str(max(1 << 16, self.target // 2))).parquet(f"{self.folder}/{run}")
         return [Shard(f"{run}/{s.getPath().getName()}", s.getLen()) for s in self.fs.listStatus(self._path(run)) if s.getPath().getName().endswith(".parquet") and s.getLen()]
 
     def append(self, df: DataFrame) -> dict:
@@ -93,29 +104,36 @@ class ShardedDataset:
         return t
 
     def compact(self) -> dict:
-        """Merges full tiers, smallest first, until none is full; each merge is a version.
+        """Merges full tiers, smallest first, until none is full or can shrink, and splits shards of
+        twice the target and more; each merge is a version.
 
         The shards of a tier are read with partitions of the merged size, so a merge moves no
-        rows between executors: a task reads a few shards and writes one.
+        rows between executors: a task reads a few shards and writes one. A shard is split between
+        its row groups, likewise.
         """
-        now = self.manifest()
+        now, done = self.manifest(), set()
         while True:
             tiers: dict[int, list[Shard]] = {}
             for s in (Shard(**s) for s in now["shards"]):
-                if s.bytes < self.target // 2:
+                if s.bytes >= 2 * self.target:
+                    tiers.setdefault(-1, []).append(s)
+                elif s.bytes < self.target // 2:
                     tiers.setdefault(self.tier(s.bytes), []).append(s)
-            full = [t for t in sorted(tiers) if len(tiers[t]) >= self.fan_in]
+            full = [t for t in sorted(tiers) if t not in done and (t < 0 or len(tiers[t]) >= self.fan_in)]
             if not full:
                 return now
-            runs = tiers[full[0]]
-            size = min(self.target, max(self.fan_in * max(s.bytes for s in runs), self.small))
+            t, runs = full[0], tiers[full[0]]
+            size = self.target if t < 0 else min(self.target, max(self.fan_in * max(s.bytes for s in runs), self.small))
             made = self._write(self._read(runs, now["schema"], size))
-            if len(made) >= len(runs):  # the session's own partition size forbids larger ones
-                for s in made:
-                    self.fs.delete(self._path(s.name), False)
-                return now
-            rest = [s for s in (Shard(**s) for s in now["shards"]) if s not in runs]
-            now = self._commit(now, rest + made, now["schema"])
+            if t < 0:
+                done.add(t)
+            if len(made) <= len(runs) if t < 0 else len(made) >= len(runs):
+                # One row group each, or the session's own partition size forbids larger ones.
+                self.fs.delete(self._path(made[0].name.split("/")[0]), True)
+                done.add(t)
+                continue
+            gone = {s.name for s in runs}
+            now = self._commit(now, [s for s in (Shard(**s) for s in now["shards"]) if s.name not in gone] + made, now["schema"])
 
     def _read(self, shards: list[Shard], schema: dict | None, size: int | None = None) -> DataFrame:
         kind = StructType.fromJson(schema) if schema else StructType()
@@ -133,19 +151,28 @@ class ShardedDataset:
         m = self.manifest(version)
         return self._read([Shard(**s) for s in m["shards"]], m["schema"])
 
-    def sweep(self, keep: int = 1) -> int:
-        """Deletes all manifests but the newest `keep`, and the shards that those don't name."""
+    def sweep(self, keep: int = 2, orphan_seconds: int = 86_400) -> int:
+        """Deletes all manifests but the newest `keep` and the shards that only those deleted name.
+
+        Shards that no manifest names go once they are `orphan_seconds` old: younger ones may be a
+        writer's that has not committed yet. Readers of older versions than those kept lose them.
+        Returns how many shards went.
+        """
         known = self.versions()
-        for v in known[:-keep]:
-            self.fs.delete(self._path(f"_manifests/v{v:010d}.json"), False)
-        named = {s["name"] for v in known[-keep:] for s in self.manifest(v)["shards"]}
-        gone = 0
+        expired, kept = known[:-keep], known[-keep:]
+        named = {s["name"] for v in kept for s in self.manifest(v)["shards"]}
+        past = {s["name"] for v in expired for s in self.manifest(v)["shards"]}
+        gone, young = 0, int(time.time() * 1000) - 1000 * orphan_seconds
         for run in self.fs.listStatus(self._path("")):
-            if run.isDirectory() and run.getPath().getName() != "_manifests":
-                files = [f"{run.getPath().getName()}/{s.getPath().getName()}" for s in self.fs.listStatus(run.getPath())]
-                if not named.intersection(files):
-                    self.fs.delete(run.getPath(), True)
-                    gone += len(files)
+            name = run.getPath().getName()
+            if not run.isDirectory() or name == "_manifests":
+                continue
+            files = {f"{name}/{s.getPath().getName()}" for s in self.fs.listStatus(run.getPath()) if s.getPath().getName().endswith(".parquet")}
+            if not named & files and (past & files or run.getModificationTime() < young):
+                self.fs.delete(run.getPath(), True)
+                gone += len(files)
+        for v in expired:
+            self.fs.delete(self._path(f"_manifests/v{v:010d}.json"), False)
         return gone
 
 
@@ -154,12 +181,13 @@ def shard(docs: DataFrame, folder: str, *, target: int = 128 << 20, small: int =
 
     Returns for each row doc_id, n_bytes (of its text; a null text has none), text_sha256 (of
     the stored text in UTF-8; null for a null one), shard and version. All columns of docs are
-    stored as they are, whatever their names; an empty table commits a version without rows.
+    stored as they are, whatever their names; null ids and repeated rows stay; an empty table
+    commits a version without rows.
     """
     data = ShardedDataset(docs.sparkSession, folder, target=target, small=small, fan_in=fan_in)
     data.append(docs)
     now = data.compact()
-    data.sweep()
+    data.sweep(keep=1)  # a new folder, so nobody reads the versions before
     name = F.concat_ws("/", F.element_at(F.split(F.input_file_name(), "/"), -2), F.element_at(F.split(F.input_file_name(), "/"), -1))
     return data.read().select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -13,8 +13,8 @@ collapse first. Of the rest, the texts from the anchor on, and those before it r
 are sorted by mergesort with that comparison; neighbours' common extensions, verified on the
 bytes, say which windows are equal. What is removed returns to the documents as spans, in blocks of documents.
 
-A stretch that repeats within a chunk of documents is sent once, so text that very many
-documents share does not gather in one bucket.
+A stretch that repeats within a block of documents is sent once and its copies are dealt by their
+blocks, so of text that very many documents share a bucket gets one copy for each block.
 """
 
 from __future__ import annotations
@@ -35,9 +35,19 @@ _U = np.uint64
 #: Bytes of text in a chunk, in a block of documents, and for each bucket of stretches; windows
 #: that are sorted at a time (a group of windows is never split).
 BATCH, BLOCK, BUCKET, WINDOWS = 1_000_000, 4_000_000, 2_000_000, 250_000
+#: Bytes of a q-gram, where the strings looked for are three times as long at least.
 GRAM = 16
 
 
+def gram(least: int) -> int:
+    return max(1, min(GRAM, least // 3))
+
+
+def narrow(most: int) -> type:
+    """The smallest type of numbers from 0 to most."""
+    return next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if most <= np.iinfo(t).max)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block."""
     head = np.array([x for a in arrays for x in (ord(a.dtype.char), len(a))], "<i8")
@@ -75,7 +85,7 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
 
 def stretches(data: np.ndarray, off: np.ndarray, least: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and anchor of the stretches of all texts laid end to end; s is prefix_hash(data)."""
-    n, q = len(data), GRAM
+    n, q = len(data), gram(least)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
     at = np.arange(n - q + 1)
@@ -134,17 +144,17 @@ def _chunks(t: pa.Table, least: int) -> Iterator[tuple]:
                 yield data, s, start, end, anchor, number[row], begins[row] + start - off[row], ids, keys
 
 
-def _grams(s: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
+def _grams(s: np.ndarray, anchor: np.ndarray, bits: int, q: int) -> np.ndarray:
     """The anchors' q-grams as hashes of so many bits: other hashes than those that anchors are the
     smallest of, which would crowd the first buckets."""
-    return mix(mix(span_hash(s, anchor, anchor + GRAM)) + _U(0x632BE59BD9B4E019)) >> _U(64 - bits)
+    return mix(mix(span_hash(s, anchor, anchor + q)) + _U(0x632BE59BD9B4E019)) >> _U(64 - bits)
 
 
 def _block_grams(t: pa.Table, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct q-gram hashes of a block, sorted, and whether several documents have them."""
     found, last = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for k, (_, s, _, _, anchor, doc, _, ids, _) in enumerate(_chunks(t, least)):
-        found.append(_grams(s, anchor, bits))
+        found.append(_grams(s, anchor, bits, gram(least)))
         last.append(ids[doc])
     g, d = np.concatenate(found), np.concatenate(last)
     by = np.argsort(g, kind="stable")
@@ -154,9 +164,10 @@ def _block_grams(t: pa.Table, least: int, bits: int) -> tuple[np.ndarray, np.nda
     return g[edges], several
 
 
-def _bounds(deal: int, bits: int) -> np.ndarray:
-    """First hash of each bucket."""
-    return np.array([(i << bits) // deal for i in range(deal)], _U)
+def _bucket(g: np.ndarray, deal: int, bits: int) -> np.ndarray:
+    """Each hash's bucket, in the hashes' order."""
+    high = g >> _U(bits - 32) if bits > 32 else g << _U(32 - bits)
+    return (high * _U(deal) >> _U(32)).astype(np.int64)
 
 
 def _offer(least: int, bits: int, deal: int):
@@ -165,9 +176,9 @@ def _offer(least: int, bits: int, deal: int):
     def run(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         g, several = _block_grams(t, least, bits)
-        at = np.searchsorted(g, _bounds(deal, bits))
-        ends = np.append(at[1:], len(g))
-        out = [(i, packed(*_steps(g[a:z]), np.packbits(several[a:z]))) for i, (a, z) in enumerate(zip(at, ends)) if z > a]
+        of = _bucket(g, deal, bits)
+        at = np.flatnonzero(np.diff(of, prepend=-1))
+        out = [(of[a], packed(*_steps(g[a:z]), np.packbits(several[a:z]))) for a, z in zip(at, np.append(at[1:], len(g)))]
         return pa.table({"bucket": pa.array([i for i, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.int32()), "data": pa.array([x for _, x in out], pa.binary())})
 
     return run
@@ -204,43 +215,39 @@ def _cut(least: int, bits: int, deal: int):
         contents: list[np.ndarray] = []
         block = t.column("block")[0].as_py()
         grams, _ = _block_grams(t, least, bits)
-        shared = np.zeros(len(grams), bool)
-        at = np.append(np.searchsorted(grams, _bounds(deal, bits)), len(grams))
+        shared, of = np.zeros(len(grams), bool), _bucket(grams, deal, bits)
         for i, b in zip(answers.column("bucket").to_pylist(), answers.column("data")):
-            shared[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(b.as_py(), np.uint8))[: at[i + 1] - at[i]]
+            a, z = np.searchsorted(of, [i, i + 1])
+            shared[a:z] = np.unpackbits(np.frombuffer(b.as_py(), np.uint8))[: z - a]
         for data, s, start, end, anchor, doc, place, ids, keys in _chunks(t, least):
-            g = _grams(s, anchor, bits)
+            g = _grams(s, anchor, bits, gram(least))
             use = shared[np.searchsorted(grams, g)]
             start, end, anchor, doc, place, g = (x[use] for x in (start, end, anchor, doc, place, g))
             size = end - start
-            # Equal stretches of the chunk: the smallest doc_id's goes on, later ones' bytes go at once.
             same = mix(span_hash(s, start, end) + size.astype(_U))
-            order = np.lexsort((start, ids[doc], same))
-            head = np.ones(len(order), bool)
-            head[1:] = same[order][1:] != same[order][:-1]
-            lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-            twin = np.zeros(len(order), bool)
-            later = (ids[doc[order]] > ids[doc[lead]]) & (size[order] == size[lead])
-            o, led = order[later], lead[later]
-            twin[o[same_bytes(data, start[o], start[led], size[o])]] = True
+            twin = _twins(data, start, size, same, ids[doc])
             sent = ~twin
-            parts.append((g, ids[doc], keys[doc], place, size.astype(np.uint16), (anchor - start).astype(np.uint8), twin))
+            parts.append((g, ids[doc], keys[doc], place, size, anchor - start, same, twin))
             contents.append(data[ranges(start[sent], size[sent])])
         if not parts:
             return nothing
-        g, ids, keys, place, size, anchor, twin = (np.concatenate(c) for c in zip(*parts))
+        g, ids, keys, place, size, anchor, same, twin = (np.concatenate(c) for c in zip(*parts))
         text = np.concatenate(contents)
-        length = np.where(twin, 0, size).astype(np.int64)
+        length = np.where(twin, 0, size)
         begin = np.cumsum(length) - length
-        bucket = np.searchsorted(_bounds(deal, bits), g, "right") - 1
+        # The chunks of the block hold equal stretches, too.
+        rest = np.flatnonzero(~twin)
+        twin[rest] = _twins(text, begin[rest], size[rest], same[rest], ids[rest])
+        length = np.where(twin, 0, size)
+        bucket = np.where(twin, block % deal, _bucket(g, deal, bits))
         by = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
         out, numbers = [], []
         for a, z in zip(edges, np.append(edges[1:], len(by))):
             x = by[a:z]
             own, inv = np.unique(np.stack([ids[x], keys[x]], 1), axis=0, return_inverse=True)
-            kind = np.uint32 if place[x].max() < 1 << 32 else np.int64
-            out.append(packed(own[:, 0].copy(), own[:, 1].copy(), np.full(len(own), block, np.int32), inv.ravel().astype(np.uint32), place[x].astype(kind), size[x], anchor[x], twin[x], text[ranges(begin[x], length[x])]))
+            columns = (inv.ravel().astype(narrow(len(own))), place[x].astype(narrow(int(place[x].max()))), size[x].astype(narrow(2 * least)), anchor[x].astype(narrow(least)))
+            out.append(packed(own[:, 0].copy(), own[:, 1].copy(), np.full(len(own), block, np.int32), *columns, twin[x], text[ranges(begin[x], length[x])]))
             numbers.append(bucket[x[0]])
         trim()
         return pa.table({"bucket": pa.array(numbers, pa.int32()), "data": pa.array(out, pa.binary())})
@@ -248,6 +255,21 @@ def _cut(least: int, bits: int, deal: int):
     return run
 
 
+def _twins(data: np.ndarray, start: np.ndarray, size: np.ndarray, same: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of stretches of data, those whose bytes a stretch of a smaller doc_id has (same: their hashes):
+    the smallest doc_id's goes on, later ones' bytes go at once."""
+    twin = np.zeros(len(start), bool)
+    if len(start):
+        order = np.lexsort((start, ids, same))
+        head = np.ones(len(order), bool)
+        head[1:] = same[order][1:] != same[order][:-1]
+        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        later = (ids[order] > ids[lead]) & (size[order] == size[lead])
+        o, led = order[later], lead[later]
+        twin[o[same_bytes(data, start[o], start[led], size[o])]] = True
+    return twin
+
+
 class Suffixes:
     """Suffixes at the places `at`, of `size` characters each, compared by prefix hashes."""
 
@@ -320,9 +342,9 @@ class Suffixes:
 def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What a smaller doc_id has too, of stretches that lie in data: (stretch, from, to) in it."""
     s = prefix_hash(data)
-    gram = span_hash(s, start + anchor, start + anchor + GRAM)
-    order = np.argsort(gram, kind="stable")
-    edges = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])) if len(order) else np.zeros(0, int)
+    g = span_hash(s, start + anchor, start + anchor + gram(least))
+    order = np.argsort(g, kind="stable")
+    edges = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1])) if len(order) else np.zeros(0, int)
     shared = np.minimum.reduceat(ids[order], edges) < np.maximum.reduceat(ids[order], edges) if len(order) else np.zeros(0, bool)
     use = np.sort(order[np.repeat(shared, np.diff(np.append(edges, len(order))))])
     # Whole stretches that are equal: all but the smallest document's are repeats.
@@ -339,17 +361,17 @@ def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.nd
     # Equal stretches within one document share their leader's fate.
     follow = equal & (ids[o] == ids[lead]) & (o != lead)
     rest = o[~whole & ~follow]
-    rest = rest[np.argsort(gram[rest], kind="stable")]
-    g = gram[rest]
-    edges = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
-    several = np.minimum.reduceat(ids[rest], edges) < np.maximum.reduceat(ids[rest], edges) if len(g) else np.zeros(0, bool)
-    rest = rest[np.repeat(several, np.diff(np.append(edges, len(g))))]
+    rest = rest[np.argsort(g[rest], kind="stable")]
+    own = g[rest]
+    edges = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+    several = np.minimum.reduceat(ids[rest], edges) < np.maximum.reduceat(ids[rest], edges) if len(own) else np.zeros(0, bool)
+    rest = rest[np.repeat(several, np.diff(np.append(edges, len(own))))]
     led, followers = lead[follow], o[follow]
     backward = data[::-1].copy()
     sb = prefix_hash(backward)
     count = size[rest] - least + 1
     # Slices of about WINDOWS windows, cut between groups.
-    starts = np.flatnonzero(np.append(True, gram[rest][1:] != gram[rest][:-1])) if len(rest) else np.zeros(0, int)
+    starts = np.flatnonzero(np.append(True, g[rest][1:] != g[rest][:-1])) if len(rest) else np.zeros(0, int)
     turn = (np.cumsum(count) - count)[starts] // WINDOWS if len(rest) else starts
     cuts = starts[np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))] if len(rest) else starts
     for lo, hi in zip(cuts, np.append(cuts[1:], len(rest))):
@@ -357,7 +379,7 @@ def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.nd
         at = start[x] + anchor[x]
         forth = Suffixes(data, s, at, size[x] - anchor[x])
         back = Suffixes(backward, sb, len(data) - at, anchor[x].astype(np.int64))
-        k, a, z = _windows(forth, back, count[lo:hi], anchor[x].astype(np.int64), gram[x], ids[x], least)
+        k, a, z = _windows(forth, back, count[lo:hi], anchor[x].astype(np.int64), g[x], ids[x], least)
         of = x[k]
         found.append((of, a, z))
         by = np.argsort(of, kind="stable")
@@ -420,7 +442,7 @@ def _reduce(least: int):
         by = np.lexsort((at, doc, block))
         block = block[by]
         edges = np.flatnonzero(np.diff(block, prepend=-1))
-        rows = [packed(doc[x], key[x], at[x], n[x].astype(np.uint16)) for x in np.split(by, edges[1:])] if len(edges) else []
+        rows = [packed(doc[x], key[x], at[x], n[x].astype(narrow(2 * least))) for x in np.split(by, edges[1:])] if len(edges) else []
         trim()
         return pa.table({"block": pa.array(block[edges], pa.int32()), "spans": pa.array(rows, pa.binary())})
 
@@ -474,8 +496,10 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     remaining bytes), with_text kept_text (without characters that were cut within), and the
     columns of docs named by carry as own_<name>. One row for each input row. A null text is empty; a text shorter than `least` loses nothing; a
     row with a null doc_id neither loses bytes nor takes them from others; rows that repeat a
-    doc_id are no smaller than each other.
+    doc_id are no smaller than each other. least is 1 at least.
     """
+    if least < 1:
+        raise ValueError(f"strings of {least} bytes")
     spark = docs.sparkSession
     own = [F.col(f"`{c}`").alias(f"own_{c}") for c in carry]
     base = docs.select(*texts_columns(docs), *own)

@@ -50,19 +50,43 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _fitting(rules: Sequence[tuple[str, str, str]]):
+    """A function from host and path to (rule, verdict) of the longest rule that fits, else (None, None)."""
+    by_host: dict[str, list[tuple[int, int, str, str]]] = {}
+    for i, (said, host, path) in enumerate(rules):
+        by_host.setdefault(host, []).append((len(host + path), i, path, said))
+
+    def find(host: str, path: str) -> tuple[str | None, str | None]:
+        best, at = None, 0
+        while True:
+            name = host[at:]
+            for size, i, start, said in by_host.get(name, ()):
+                if path.startswith(start) and (best is None or (size, i) > best[:2]):
+                    best = (size, i, name + start, said)
+            at = host.find(".", at) + 1
+            if not at:
+                return best[2:] if best else (None, None)
+
+    return find
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, patterns: Sequence[str] = PATTERNS) -> DataFrame:
     """The verdict on each URL: that of the longest rule that fits, else that of the patterns.
 
     Returns page_id, host, path, rule (like `net/`; null if none fits), verdict (allow or block)
-    and pattern (the first that matched, else null). One row for each input row; a null URL or
-    one without :// has an empty host and path and falls to the patterns, which allow what they
-    don't match. Both lists are configuration: their size doesn't grow with the pages.
+    and pattern (the first that matched, else null). Of rules of one length the last listed wins.
+    One row for each input row, repeated rows and null ids included; a null URL or one without
+    :// has an empty host and path and falls to the patterns, which allow what they don't match.
+    Both lists are configuration: their size doesn't grow with the pages. A URL meets the rules of
+    its host and of the domains above it, and the patterns filed under one of its tokens.
     """
+    spark = pages.sparkSession
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     low = F.translate(F.coalesce("url", F.lit("")), *_AZ)
     words = F.array_distinct(F.regexp_extract_all(low, F.lit("([0-9a-z]+)"), 1))
     known = sorted({t for p in patterns for t in tokens(p)})
-    counted = urls.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, known)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    asked = F.broadcast(spark.createDataFrame([(t,) for t in known], "token string"))
+    counted = urls.select(F.explode(words).alias("token")).join(asked, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     often = {r.token: r.n for r in counted.collect()}  # a row for each token of the patterns at most
     index: dict[str, list[int]] = {}
     for i, p in enumerate(patterns):
@@ -70,23 +94,21 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, patte
         index.setdefault(min(found, key=lambda t: (often.get(t, 0), t)) if found else "", []).append(i)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [re.compile(compiled(p)) for p in patterns]
+        tests, rule_of = [re.compile(compiled(p)) for p in patterns], _fitting(rules)
         split = re.compile("[0-9a-z]+").findall
         for batch in batches:
-            hits = []
-            for url in batch.column(batch.num_columns - 1).to_pylist():
+            hits, fits = [], []
+            for host, path, url in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 asked = sorted({i for t in {"", *split(url)} for i in index.get(t, ())})
                 found = [patterns[i] for i in asked if tests[i].search(url)]
                 hits.append(next((p for p in found if p.startswith("@@")), found[0] if found else None))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, pa.string())], names=["page_id", "host", "path", "pattern"])
+                rule, said = rule_of(host, path)
+                fits.append((rule, said or ("allow" if hits[-1] is None or hits[-1].startswith("@@") else "block")))
+            rule, said = (pa.array([x[k] for x in fits], pa.string()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], rule, said, pa.array(hits, pa.string())], names=["page_id", "host", "path", "rule", "verdict", "pattern"])
 
     made = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), low.alias("low"))
-    made = made.mapInArrow(match, "page_id long, host string, path string, pattern string")
-    rule, verdict = F.lit(None).cast("string"), F.when(F.col("pattern").startswith("@@") | F.col("pattern").isNull(), "allow").otherwise("block")
-    for said, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
-        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
-        rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, said).otherwise(verdict)
-    return made.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "pattern")
+    return made.mapInArrow(match, "page_id long, host string, path string, rule string, verdict string, pattern string")
 
 
 def judge_sql(rules: Sequence[tuple[str, str, str]] = RULES, patterns: Sequence[str] = PATTERNS) -> str:

@@ -258,6 +258,35 @@ def test_repeats_of_long_and_odd_rows(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 2, 12, 300])
+def test_repeats_of_other_lengths(spark, least):
+    r = random.Random(least)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(1000))
+    rows = [(1, "x" + shared + "y"), (2, "abc" * 7), (3, shared), (4, "q" + shared[:310] + "r" + shared[500:850]), (5, None)]
+    got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS), least=least).collect()}
+    assert got == brute.repeats(rows, least)
+    with pytest.raises(ValueError, match="0 bytes"):
+        suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS), least=0)
+
+
+def test_text_that_every_document_has(spark, monkeypatch):
+    """Copies within a block stay there; what blocks share goes once for each to a bucket."""
+    monkeypatch.setattr(suffix_dedup, "BATCH", 2_000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 20_000)
+    r = random.Random(4)
+    notice = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "".join(r.choice("ijklmnop ") for _ in range(r.randint(0, 90))) + notice) for i in range(400)]
+    got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.repeats(rows)
+
+
+def test_buckets_follow_the_order_of_hashes():
+    for bits in (24, 32, 40, 60):
+        g = np.sort(np.random.default_rng(1).integers(0, 1 << bits, 5000).astype(np.uint64))
+        b = suffix_dedup._bucket(g, 977, bits)
+        assert (np.diff(b) >= 0).all() and 0 <= b[0] and b[-1] < 977 and len(np.unique(b)) > 900
+
+
 def test_suffix_order():
     data = np.frombuffer(b"banana$bandana$banana", np.uint8)
     at, size = np.arange(len(data) - 3), np.full(len(data) - 3, 3)
@@ -277,6 +306,21 @@ def test_urls(spark):
     assert [got[i][3] for i in (10, 11, 12)] == ["allow", "block", "allow"] and got[13][:2] == ("h", "")
 
 
+def test_many_url_rules(spark):
+    """Thousands of rules and odd tables: as by trying every rule on every URL."""
+    r = random.Random(5)
+    hosts = ["com", "org", "a.com", "b.a.com", "c.org", "x.c.org", ""]
+    rules = [(r.choice(["allow", "block"]), r.choice(hosts), "/" + "".join(r.choice("ab/") for _ in range(r.randint(0, 6)))) for _ in range(3000)]
+    rows = [(i % 50, f"http://{r.choice(['', 'w.', 'x.'])}{r.choice(hosts)}/{''.join(r.choice('ab/') for _ in range(r.randint(0, 9)))}") for i in range(300)]
+    rows += [(None, "http://a.com/" + "a" * 100_000), (None, None), (7, "http://.com/a"), (7, "http://com./a")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit(1)), rules).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        fit = [(len(h + p), i, h + p, v) for i, (v, h, p) in enumerate(rules) if (x.host == h or x.host.endswith("." + h)) and x.path.startswith(p)]
+        assert (x.rule, x.verdict) == (max(fit)[2:] if fit else (None, "allow"))
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_oracles(spark, sf):
     c = duckdb.connect()
     for t in ("pages", "embeddings"):
@@ -338,12 +382,33 @@ def test_sharding(spark, tmp_path):
     assert data.read().count() == data.read(old["version"]).count() == 800
     with pytest.raises(sharding.Conflict):
         data._commit(old, [], old["schema"])
+    assert [f for f in (tmp_path / "d/_manifests").iterdir() if f.name.startswith(".") and f.suffix != ".crc"] == []
     with pytest.raises(ValueError, match="schema"):
         data.append(docs.drop("shard"))
-    assert data.sweep() > 0 and data.versions() == [new["version"]] and data.read().count() == 800
+    assert data.sweep() >= 0 and data.versions()[-1] == new["version"] and len(data.versions()) == 2
+    assert data.sweep(keep=1) > 0 and data.versions() == [new["version"]] and data.read().count() == 800
     got = {r.doc_id: r for r in sharding.shard(docs, str(tmp_path / "e"), small=2_000).collect()}
     assert len(got) == 400 and got[0].text_sha256 is None and got[1].text_sha256 == hashlib.sha256(("text 1" * 50).encode()).hexdigest()
     assert sharding.shard(docs.limit(0), str(tmp_path / "f")).count() == 0
+    odd = spark.createDataFrame([(None, "a", "x"), (7, "b", "x"), (7, "b", "x")], "doc_id long, text string, version string")
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in sharding.shard(odd, str(tmp_path / "g")).collect()) == [(0, 1), (7, 1), (7, 1)]
+
+
+def test_shards_in_flight_and_beyond_the_target(spark, tmp_path):
+    """A sweep leaves what a writer has not committed yet; a shard far too long is split."""
+    docs = spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1)
+    data = sharding.ShardedDataset(spark, str(tmp_path / "d"), target=400_000, small=10_000)
+    first = data.append(docs)
+    assert len(first["shards"]) == 1 and first["shards"][0]["bytes"] > 4_000_000
+    flying = data._write(docs.limit(50))
+    assert data.sweep(keep=1) == 0
+    new = data.compact()
+    assert max(s["bytes"] for s in new["shards"]) < 800_000 and data.read().count() == 40_000
+    late = data._commit(new, [sharding.Shard(**s) for s in new["shards"]] + flying, new["schema"])
+    assert data.read(late["version"]).count() == 40_050
+    lost = data._write(docs.limit(5))
+    assert data.sweep(keep=1) == 1 and data.sweep(keep=1, orphan_seconds=-5) == len(lost)
+    assert data.read().count() == 40_050
 
 
 def test_pipeline(spark, tmp_path, tokenizer):
@@ -373,3 +438,83 @@ def test_pipeline(spark, tmp_path, tokenizer):
     got = p.run(spark, str(tmp_path / "in")).toPandas()
     size = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in seen["secret_scan"].items()}
     assert got.groupby("doc_id").length.sum().to_dict() == size
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null and repeated ids, null texts, repeated rows, clashing names, missing columns, no rows."""
+    import corpus_pipeline as p
+
+    a, b = ("the quick brown fox jumps over the lazy dog and runs far away from here today " * 3).strip(), ("quite another text about forests and lakes that nobody has read until this very day " * 3).strip()
+    rows = [(3, a), (5, a), (5, b), (6, b), (None, b), (3, a), (None, None), (None, None), (8, ""), (9, "zzz " + b[:40])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, gone_id int, span_list int, `own_x.y` int")
+    kept = p.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(3, a), (5, b), (0, ""), (0, ""), (8, ""), (9, "zzz " + b[:40])])
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        assert got.count() == {"language": 10, "near_dedup": 6, "suffix_dedup": 10, "secret_scan": 10}[name], name
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+    bare = spark.createDataFrame([(1, a, "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    assert all(stage(spark, bare, "").count() == 2 for _, stage in p.STAGES)
+
+
+def test_language_decisions_follow_the_row(spark):
+    """A row that shares its doc_id with a rejected one stays."""
+    import corpus_pipeline as p
+
+    en = "the council has approved the bill on forests and lakes and will publish it today"
+    rows = [(i, en + f" {i}", "en") for i in range(30)] + [(5, "Это другой язык, не из известных. " * 8, None)]
+    docs = spark.createDataFrame([(i, t, x, "s") for i, t, x in rows], "doc_id long, text string, lang string, source string")
+    got = p.language(spark, docs, "").collect()
+    assert len(got) == 30 and sum(r.doc_id == 5 for r in got) == 1
+
+
+def test_posterior_by_hand(spark):
+    """Prior, suffix, declaration and text as one computes them from the counts."""
+    model = lang_id.TextModel.fit(["aaaa bbbb " * 9, "cccc dddd " * 9], ["x", "y"])
+    rows = [(i, "aaaa bbbb " * 5, "", "h.one.aa") for i in range(8)] + [(20 + i, "cccc dddd " * 5, "q", "g.two.bb") for i in range(4)] + [(40, None, "q", "new.two.bb"), (41, "", "", "h.one.aa"), (42, None, None, None), (43, "1234", "", "10.0.0.1")]
+    got = {r.key: r for r in lang_id.identify(spark.createDataFrame(rows, "key long, text string, declared string, host string"), model).collect()}
+    n, w = 3, lang_id.PARENT
+    smooth = lambda c, p: [(x + w * q) / (sum(c) + w) for x, q in zip(c, p)]
+    whole = smooth([8, 4, 0], [1 / n] * n)
+    two = smooth([0, 4, 0], whole)
+
+    def posterior(prior, *likes):
+        post = [p * np.prod([s[k] / whole[k] for s in likes]) for k, p in enumerate(prior)]
+        return max(post) / sum(post), model.languages[int(np.argmax(post))]
+
+    for key, want in ((40, posterior(whole, two, two)), (41, posterior(smooth([8, 0, 0], smooth([8, 0, 0], whole)), smooth([8, 0, 0], whole))), (42, posterior(whole)), (43, posterior(whole))):
+        assert (got[key].confidence, got[key].lang) == (pytest.approx(want[0], rel=1e-9), want[1]), key
+    assert got[0].lang == "x" and got[20].lang == "y"
+    assert lang_id.identify_pages(spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://", "")], "page_id long, url string, html string"), spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 3
+
+
+def test_crowded_lists(spark, monkeypatch):
+    """Documents that share a passage of more than half their words, but no more, end apart."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"w{r.randint(0, 10**6)}" for _ in range(r.randint(14, 40)))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(40)]
+    rows += [(300 + i, passage + f" x{i}") for i in range(20)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.components(rows, 85)
+
+
+def test_components_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(components, "EDGES", 50)
+    r = random.Random(2)
+    edges = [(r.randint(0, 900), r.randint(0, 900)) for _ in range(700)] + [(i, i + 1) for i in range(2000, 2300)] + [(3000, 3001 + i) for i in range(300)]
+    root = {n: n for e in edges for n in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
