@@ -449,7 +449,7 @@ def _reduce(least: int):
     return run
 
 
-def _keep(texts_too: bool, carry: tuple[str, ...]):
+def _keep(texts_too: bool, carried: int):
     def run(t: pa.Table, spans: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         rows = t.num_rows
@@ -484,7 +484,7 @@ def _keep(texts_too: bool, carry: tuple[str, ...]):
         if texts_too:
             out["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
         trim()
-        return pa.table(out | {f"own_{c}": t.column(f"own_{c}") for c in carry})
+        return pa.table(out | {f"carried_{k}": t.column(f"carried_{k}") for k in range(carried)})
 
     return run
 
@@ -501,7 +501,8 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     if least < 1:
         raise ValueError(f"strings of {least} bytes")
     spark = docs.sparkSession
-    own = [F.col(f"`{c}`").alias(f"own_{c}") for c in carry]
+    # By number, as grouped maps take no column with a dot in its name.
+    own = [F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(carry)]
     base = docs.select(*texts_columns(docs), *own)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ways, deal = (max(parts(spark), -(-total // each)) for each in (BLOCK, BUCKET))
@@ -512,5 +513,6 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     sent = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut(least, bits, deal), "bucket int, data binary")
     spans = sent.groupBy("bucket").applyInArrow(_reduce(least), "block int, spans binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    schema += "".join(f", own_{c} {dict(docs.dtypes)[c]}" for c in carry)
-    return base.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_keep(with_text, carry), schema)
+    schema += "".join(f", carried_{k} {dict(docs.dtypes)[c]}" for k, c in enumerate(carry))
+    out = base.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_keep(with_text, len(carry)), schema)
+    return out.withColumnsRenamed({f"carried_{k}": f"own_{c}" for k, c in enumerate(carry)})
