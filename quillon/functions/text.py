@@ -1,6 +1,6 @@
 """Text as Column expressions: normal forms, tokens, grams, numbers, tags.
 
-Everything here runs inside generated code but nfkc(), for which Spark has no built-in.
+Everything here runs inside the JVM but what nfkc() changes, for which Spark has no built-in.
 """
 
 from __future__ import annotations
@@ -23,10 +23,25 @@ STOPWORDS: dict[str, tuple[str, ...]] = {
 }
 
 
+#: Characters that stand in compatibility form already, whatever stands beside them.
+PLAIN = (
+    "^[\\x00-\\x7f\\u00a1-\\u00a7\\u00a9\\u00ab\\u00ac\\u00ae\\u00b0\\u00b1\\u00b6\\u00b7\\u00bb\\u00bf-\\u0131"
+    "\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u2010\\u2012-\\u2016\\u2018-\\u2022\\u2030\\u2039\\u203a\\u20ac]*$"
+)
+
+
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility form, without soft hyphens; null stays null."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).replace("­", ""))
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).replace("\xad", ""))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility form, without soft hyphens; null stays null.
+
+    Texts that are in it already, as nearly all in Latin scripts are, never reach Python.
+    """
+    done = text.rlike(PLAIN)
+    return F.when(done, text).otherwise(_nfkc(F.when(~done, text)))
 
 
 def join_hyphens(text: Column, *, spaced: bool = True) -> Column:
@@ -40,17 +55,29 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[\\s\u00a0]+", " "))
 
 
-def plain(text: Column) -> Column:
-    """Lower case, typewriter apostrophes, single spaces: the norm of headings."""
+def folded(text: Column) -> Column:
+    """plain() of a text in compatibility form."""
     return F.lower(squeeze(F.replace(text, F.lit("’"), F.lit("'"))))
 
 
+def plain(text: Column) -> Column:
+    """Compatibility form, lower case, typewriter apostrophes, single spaces: the norm of headings."""
+    return folded(nfkc(text))
+
+
 def retrieval_form(text: Column) -> Column:
+    """Lower case, single spaces, words joined over line breaks."""
     return F.lower(squeeze(join_hyphens(text, spaced=False)))
 
 
 def evidence_form(text: Column) -> Column:
-    return F.lower(squeeze(join_hyphens(text)))
+    """Compatibility form, lower case, single spaces, words joined over line breaks."""
+    return F.lower(squeeze(join_hyphens(nfkc(text))))
+
+
+def loose(text: Column) -> Column:
+    """Compatibility form, lower case, single spaces; line breaks split words as they do."""
+    return F.lower(squeeze(nfkc(text)))
 
 
 def display(text: Column) -> Column:
@@ -142,6 +169,18 @@ def cell(text: Column) -> Column:
     return F.replace(out, F.lit("`"), F.lit("'"))
 
 
+def page_markers(pages: Column) -> Column:
+    """Pages [(page, text)] as one text in page order, each under its marker."""
+    return F.array_join(F.transform(F.array_sort(pages), lambda x: F.concat(F.lit("=== PAGE "), x["page"].cast("string"), F.lit(" ===\n"), x["text"])), "\n\n")
+
+
+def row_of(name: Column) -> Column:
+    """The number and task in a row's name like v1.1-row-123-B: (row, task); null where it has none."""
+    form = r"-row-(\d+)(?:-([A-Za-z]+))?$"
+    task = F.regexp_extract(name, form, 2)
+    return F.struct(F.regexp_extract(name, form, 1).try_cast("int").alias("row"), F.when(task != "", task).alias("task"))
+
+
 def numbered(texts: Column) -> Column:
     return F.array_join(F.transform(texts, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)), "\n\n")
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable, Iterator
-from typing import Protocol
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: The labels' names by number; the label where all else fails.
 NAMES = ("entailment", "neutral", "contradiction")
@@ -39,6 +39,16 @@ class StubJudge:
         return requests.withColumn("answer", F.concat(F.lit('{"label":'), self.label.cast("string"), F.lit("}")))
 
 
+class SaidJudge:
+    """An answer text by a Column expression over the request; null where the call fails."""
+
+    def __init__(self, answer: Column):
+        self.answer = answer
+
+    def ask(self, requests: DataFrame) -> DataFrame:
+        return requests.withColumn("answer", self.answer)
+
+
 class ReplayJudge:
     """Saved answers (request, answer) by request hash; the first kept on a clash, else a default."""
 
@@ -61,32 +71,88 @@ def wait_before(status: int | str, tries: int, retry_after: float | None = None)
     return None
 
 
+class Reply(NamedTuple):
+    """What an endpoint sent: status (a number, "timeout" or "lost"), text, tokens and headers."""
+
+    status: int | str
+    text: str = ""
+    input_tokens: int = 0
+    output_tokens: int = 0
+    retry_after: float | None = None
+    headers: Mapping[str, str] = {}
+
+
+#: Requests that a run may add for endpoint fallbacks; headers that tell who answered.
+EXTRA = 3
+IDENTITY = ("server", "x-backend", "x-model", "via")
+
+
+def identity(headers: Column, names: Sequence[str] = IDENTITY) -> Column:
+    """Of headers (a map) those that tell who answered, by names in lower case."""
+    low = F.transform_keys(headers, lambda k, v: F.lower(k))
+    return F.map_filter(low, lambda k, v: k.isin(*names))
+
+
+class Pace:
+    """At least so many seconds between the starts of two requests of a partition."""
+
+    def __init__(self, seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.seconds, self.clock, self.sleep, self.last = seconds, clock, sleep, None
+
+    def wait(self) -> None:
+        now = self.clock()
+        if self.last is not None and now - self.last < self.seconds:
+            self.sleep(self.seconds - (now - self.last))
+        self.last = self.clock()
+
+
 class HttpJudge:
-    """Sends prompts by `post(prompt) -> (status, text, retry_after)`, a partition at a time."""
+    """Sends prompts by `post(prompt, options) -> Reply`, a partition at a time.
+
+    Retries by wait_before(); the tokens of all attempts count. An endpoint that refuses the
+    response format gets the request without it, one that refuses the model's name the next of
+    `models`; what worked stays for the partition, which adds EXTRA requests so at most.
+    """
 
-    def __init__(self, post: Callable[[str], tuple[int | str, str, float | None]], sleep: Callable[[float], None] = time.sleep):
-        self.post, self.sleep = post, sleep
+    def __init__(self, post: Callable[[str, dict], Reply], sleep: Callable[[float], None] = time.sleep, *, models: Sequence[str] = ("default",), schema: dict | None = None, pace: Pace | None = None):
+        self.post, self.sleep, self.models, self.schema, self.pace = post, sleep, list(models), schema, pace
 
-    def one(self, prompt: str) -> tuple[str | None, int]:
-        tries = 0
+    def start(self) -> dict:
+        return {"model": self.models[0], "others": self.models[1:], "format": self.schema, "extra": EXTRA}
+
+    def one(self, prompt: str, state: dict | None = None) -> tuple[str | None, int, int, int]:
+        """(text, attempts, input tokens, output tokens); no text where all failed."""
+        state = self.start() if state is None else state
+        tries = tokens_in = tokens_out = attempts = 0
         while True:
+            if self.pace:
+                self.pace.wait()
+            attempts += 1
+            got = self.post(prompt, {"model": state["model"], "response_format": state["format"]})
+            tokens_in, tokens_out = tokens_in + got.input_tokens, tokens_out + got.output_tokens
+            if got.status == 200:
+                return got.text, attempts, tokens_in, tokens_out
+            if got.status == 400 and state["format"] is not None and "response_format" in got.text and state["extra"]:
+                state["format"], state["extra"] = None, state["extra"] - 1
+                continue
+            if got.status in (400, 404) and "model" in got.text and state["others"] and state["extra"]:
+                state["model"], state["others"], state["extra"] = state["others"][0], state["others"][1:], state["extra"] - 1
+                continue
             tries += 1
-            status, text, after = self.post(prompt)
-            if status == 200:
-                return text, tries
-            wait = wait_before(status, tries, after)
+            wait = wait_before(got.status, tries, got.retry_after)
             if wait is None:
-                return None, tries
+                return None, attempts, tokens_in, tokens_out
             self.sleep(wait)
 
     def ask(self, requests: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            state = self.start()
             for b in batches:
-                got = [self.one(p) for p in b["prompt"]]
-                yield b.assign(answer=[t for t, _ in got], attempts=[n for _, n in got])
+                got = [self.one(p, state) for p in b["prompt"]]
+                yield b.assign(answer=[x[0] for x in got], attempts=[x[1] for x in got], input_tokens=[x[2] for x in got], output_tokens=[x[3] for x in got])
 
         schema = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
-        return requests.mapInPandas(run, f"{schema}, answer string, attempts int")
+        return requests.mapInPandas(run, f"{schema}, answer string, attempts int, input_tokens int, output_tokens int")
 
 
 def first_object(text: str | None) -> dict | None:
@@ -134,6 +200,59 @@ def parsed(answer: Column) -> Column:
     return F.when(usual != "", usual.try_cast("int")).otherwise(_parsed(answer))
 
 
+def numbers_of(text: str | None, key: str) -> list[int]:
+    """The numbers listed under a key of an answer's JSON: whole numbers and digits in quotes; true and false are none."""
+    found = first_object(text)
+    given = found.get(key) if found else None
+    if not isinstance(given, list):
+        return []
+    out = []
+    for x in given:
+        if isinstance(x, int) and not isinstance(x, bool):
+            out.append(x)
+        elif isinstance(x, str) and x.strip().isdigit():
+            out.append(int(x.strip()))
+    return out
+
+
+def numbers(answer: Column, key: str) -> Column:
+    """numbers_of() of a column; a plain list of numbers is read without Python."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(answers: pd.Series) -> pd.Series:
+        return answers.map(lambda t: numbers_of(t, key) if t is not None else None)
+
+    plain = rf'^\s*\{{[^{{}}\[\]]*"{key}":\s*\[([\d,\s]*)\][^{{}}\[\]]*\}}\s*$'
+    inside = F.regexp_extract(answer, plain, 1)
+    usual = F.transform(F.filter(F.split(inside, r"\s*,\s*"), lambda x: F.trim(x) != ""), lambda x: F.trim(x).try_cast("int"))
+    return F.when(answer.rlike(plain), usual).otherwise(run(F.when(~answer.rlike(plain), answer)))
+
+
+def word_label(answer: Column, field: str, words: Mapping[str, int]) -> Column:
+    """The label that a word in a field of the answer's JSON stands for; null for any other word."""
+    said = F.lower(F.trim(F.get_json_object(_object(answer), f"$.{field}")))
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in words.items() for x in kv)), said)
+
+
+def boolean(answer: Column, field: str) -> Column:
+    """true or false as a field of the answer's JSON says it, not in quotes; else null."""
+    value = F.regexp_extract(_object(answer), rf'"{field}"\s*:\s*(true|false)\b', 1)
+    return F.when(value == "true", True).when(value == "false", False)
+
+
+def texts_of(answer: Column, field: str) -> Column:
+    """The text or texts in a field of the answer's JSON, trimmed, without empty ones."""
+    given = F.get_json_object(_object(answer), f"$.{field}")
+    many = F.from_json(given, "array<string>")
+    one = F.when(~given.startswith("["), F.array(given))
+    return F.filter(F.transform(F.coalesce(one, many, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _object(answer: Column) -> Column:
+    """The first flat JSON object in a text: as far as its fields are plain values or lists."""
+    return F.regexp_extract(answer, r"(?s)\{[^{}]*\}", 0)
+
+
 def valid(label: Column, name: Column | None = None) -> Column:
     """A label given as JSON text: 0, 1 or 2 as a number, with its own name if one is given; else null."""
     got = F.when(label.rlike("^[012]$"), label).try_cast("int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.settled import settle
+
 #: Fixed values of the score: weights of F1, evidence, tokens and time; of the tasks; least scores.
 WEIGHTS_A, WEIGHTS_B, TASKS, LEAST_A, LEAST_B = (0.5, 0.2, 0.15, 0.15), (0.7, 0.15, 0.15), (0.6, 0.4), 0.60, 0.75
 
@@ -32,7 +34,11 @@ def confusion(pairs: DataFrame, *by: str) -> DataFrame:
 
 def class_scores(pairs: DataFrame, *by: str) -> DataFrame:
     """(by, class, tp, fp, fn, precision, recall, f1) of each class in gold or predictions."""
-    n = confusion(pairs, *by)
+    return scores_of(confusion(pairs, *by), *by)
+
+
+def scores_of(n: DataFrame, *by: str) -> DataFrame:
+    """class_scores() of a confusion (by, gold, pred, n)."""
     hit = F.col("gold") == F.col("pred")
     sides = n.select(*by, F.explode(F.array(F.struct(F.col("gold").alias("class"), F.lit(1).alias("side")), F.struct(F.col("pred").alias("class"), F.lit(2).alias("side")))).alias("x"), hit.alias("hit"), "n")
     sides = sides.select(*by, F.col("x.class").alias("class"), F.col("x.side").alias("side"), "hit", "n").where("class <> 'invalid'")
@@ -78,32 +84,32 @@ def nearest_rank(values: DataFrame, group: str, value: str, percent: int, name:
     return at_index(values, group, value, F.floor((percent * F.col("n") + 99) / 100) - 1, name)
 
 
-def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """rows with their 1-based place in key order, counted by range partitions first."""
-    part = rows.repartitionByRange(key).withColumn("__part", F.spark_partition_id()).persist()
-    sizes = {r["__part"]: r["n"] for r in part.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
-    before, offset = 0, F.lit(0)
-    for p in sorted(sizes):
-        offset = F.when(F.col("__part") == p, F.lit(before)).otherwise(offset) if before else offset
-        before += sizes[p]
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(key))
-    return part.withColumn(name, (within + offset).cast("int")).drop("__part")
-
+def bootstrap(pairs: DataFrame, rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """(low, high): the 95 % interval of Macro-F1 over `rounds` resamples of (gold, pred).
 
-def bootstrap(rows: DataFrame, key: str, correct: str, rounds: int, seed: int = 42) -> DataFrame:
-    """(low, high): the 95 % interval of a mean over `rounds` resamples drawn with hashed indexes.
-
-    Each round draws as many rows as there are, by md5 of (seed, round, draw), so that any engine
-    draws the same. Rows are numbered in key order; the draws join them by number.
+    Each round draws as many rows as there are, with hashed indexes, so that any engine draws the
+    same: four draws of 32 bits from the md5 of (seed, round, number). Rows of one gold label and
+    prediction are alike, so a draw only finds its cell among their running counts, of which there
+    are no more than classes squared; draws are counted where they are made and no row moves.
     """
-    n = rows.count()
-    at = numbered(rows, key, "at").select("at", F.col(correct).cast("double").alias("x"))
-    draws = rows.sparkSession.range(n * rounds).select((F.col("id") % rounds).alias("round"), F.floor(F.col("id") / rounds).alias("draw"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("draw").cast("string")).cast("binary"))
-    index = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1) + 1).cast("int")
-    means = draws.select("round", index.alias("at")).join(at, "at").groupBy("round").agg(F.avg("x").alias("m"))
-    place = Window.orderBy("m", "round")
-    got = means.withColumn("r", F.row_number().over(place) - 1)
+    cells = sorted((r.gold, r.pred, r.n) for r in confusion(pairs).collect())  # a row for each cell
+    n, upto, cell = sum(c[2] for c in cells), 0, F.lit(len(cells) - 1)
+    bounds = []
+    for _, _, c in cells:
+        upto += c
+        bounds.append(upto)
+    for i in range(len(cells) - 2, -1, -1):
+        cell = F.when(F.col("index") < bounds[i], i).otherwise(cell)
+    quads = -(-n // 4)
+    spark = pairs.sparkSession
+    draws = spark.range(quads * rounds).select((F.col("id") % rounds).alias("round"), F.floor(F.col("id") / rounds).alias("quad"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("quad").cast("string")).cast("binary"))
+    four = F.array(*(F.struct(F.lit(j).alias("j"), F.conv(F.substring("digest", 1 + 8 * j, 8), 16, 10).cast("long").alias("x")) for j in range(4)))
+    each = draws.withColumn("digest", digest).select("round", "quad", F.explode(four).alias("d")).where(F.col("quad") * 4 + F.col("d.j") < n)
+    counts = each.select("round", (F.col("d.x") % max(n, 1)).alias("index")).groupBy("round", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    names = spark.createDataFrame([(i, g, p) for i, (g, p, _) in enumerate(cells)], "cell int, gold string, pred string")
+    scores = scores_of(counts.join(F.broadcast(names), "cell").drop("cell"), "round").groupBy("round").agg(F.avg("f1").alias("m"))
+    got = scores.withColumn("r", F.row_number().over(Window.orderBy("m", "round")) - 1)  # a row for each round
     low, high = int(0.025 * rounds), int(0.975 * rounds) - 1
     return got.agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high"))
 
@@ -127,10 +133,17 @@ def sign_test(fixes: Column, breaks: Column) -> tuple[Column, Column]:
 
 
 def threshold_sweep(scored: DataFrame, value: str, positive: str) -> DataFrame:
-    """(threshold, right, wrong): rows at or above each distinct threshold, by class."""
+    """(threshold, right, wrong): rows at or above each distinct threshold, by class.
+
+    Thresholds are dealt by ranges; running sums within a range start from the totals of the ranges above.
+    """
     each = scored.groupBy(F.col(value).alias("threshold")).agg(count_if(F.col(positive)).alias("r"), count_if(~F.col(positive)).alias("w"))
-    order = Window.orderBy(F.desc("threshold"))
-    return each.select("threshold", F.sum("r").over(order).alias("right"), F.sum("w").over(order).alias("wrong"))
+    parted = settle(each.repartitionByRange(F.desc("threshold")).withColumn("range", F.spark_partition_id()))
+    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = parted.groupBy("range").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
+    sums = sums.select("range", F.coalesce(F.sum("r").over(above), F.lit(0)).alias("r0"), F.coalesce(F.sum("w").over(above), F.lit(0)).alias("w0"))
+    order = Window.partitionBy("range").orderBy(F.desc("threshold"))
+    return parted.join(F.broadcast(sums), "range").select("threshold", (F.sum("r").over(order) + F.col("r0")).alias("right"), (F.sum("w").over(order) + F.col("w0")).alias("wrong"))
 
 
 def capped(reference: Column, own: Column) -> Column:

@@ -6,43 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import char_grams, number_tokens, stem_tokens
+from quillon.operators.settled import settle, small
 
 #: BM25's and the fusion's constants.
 K1, B, RRF = 1.5, 0.75, 60
-#: Rows of a query table that may be broadcast: a term and two numbers each.
-BROADCAST_ROWS = 500_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df for broadcast if its counted rows allow; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def postings(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", scope: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Counts of the terms that queries ask for, and those terms: (doc, scope, len, term, tf) and (query, scope, term).
 
-
-def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
-    """(query, doc, score) of pairs that share a term, by Okapi BM25 within each scope.
-
-    A query's terms are a set. Only postings of terms that some query has are kept, counted
-    before they are shuffled; what a pair shares is a sum of its terms' weights.
+    The texts are read once: each adds a row with a null term, which carries its length. A query's
+    terms are a set; postings of other terms are dropped before they are counted and shuffled.
     """
-    terms = queries.select(query, *scope, F.explode(F.array_distinct(stem_tokens(F.col(text)))).alias("term")).distinct()
-    n_terms = terms.count()
-    near = F.broadcast if n_terms <= BROADCAST_ROWS else lambda df: df  # as many rows at most, each
-    asked = near(terms.select(*scope, "term").distinct())
-    tokens = docs.select(doc, *scope, stem_tokens(F.col(text)).alias("tokens")).withColumn("len", F.size("tokens"))
-    whole = tokens.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    tf = tokens.select(doc, *scope, "len", F.explode("tokens").alias("term")).join(asked, [*scope, "term"]).groupBy(doc, *scope, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = settle(queries.select(query, *scope, F.explode(F.array_distinct(stem_tokens(F.col(text)))).alias("term")).distinct())
+    asked = small(terms.select(*scope, "term").distinct().withColumn("asked", F.lit(True)))
+    tokens = docs.select(doc, *scope, stem_tokens(F.col(text)).alias("tokens"))
+    each = tokens.select(doc, *scope, F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    kept = each.join(asked, [*scope, "term"], "left").where("asked OR term IS NULL")
+    return settle(kept.groupBy(doc, *scope, "len", "term").agg(F.count(F.lit(1)).alias("tf"))), terms
+
+
+def bm25_of(found: tuple[DataFrame, DataFrame], doc: str, query: str, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(query, doc, score) of pairs that share a term, by Okapi BM25 of postings() within each scope."""
+    counts, terms = found
+    lengths, tf = counts.where("term IS NULL"), counts.where("term IS NOT NULL")
+    whole = lengths.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     if scope:
         tf = tf.join(df, [*scope, "term"]).join(whole, list(scope))
     else:
         n, mean = whole.first()
-        tf = tf.join(near(df), "term").withColumn("n", F.lit(n)).withColumn("mean", F.lit(mean))
+        tf = tf.join(small(df), "term").withColumn("n", F.lit(n)).withColumn("mean", F.lit(mean))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    got = tf.select(doc, *scope, "term", weight.alias("w")).join(near(terms), [*scope, "term"])
+    got = tf.select(doc, *scope, "term", weight.alias("w")).join(small(terms), [*scope, "term"])
     return got.groupBy(query, doc).agg(F.sum("w").alias("score"))
 
 
+def shared_of(found: tuple[DataFrame, DataFrame], doc: str, query: str) -> DataFrame:
+    """(query, doc, score) of pairs that share a term, by how many they share."""
+    counts, terms = found
+    return counts.where("term IS NOT NULL").select(doc, "term").join(small(terms), "term").groupBy(query, doc).agg(F.count(F.lit(1)).cast("double").alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
+    return bm25_of(postings(docs, queries, doc, query, text, scope), doc, query, scope)
+
+
 def ranked(scores: DataFrame, group: str, *order: Column | str, name: str = "rank") -> DataFrame:
     return scores.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 

@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import let, plain
+from quillon.functions.text import folded, let, nfkc, squeeze
 
 #: Fixed values of the paragraph rule.
 LONG_LINE, HEADING, CLOSING, LEAST = 30, 40, 0.85, 40
@@ -94,34 +94,58 @@ def windows(text: Column, size: int, step: int, least: int) -> Column:
     return F.filter(found, lambda w: F.length(w) >= least)
 
 
+def _clean(text: Column) -> Column:
+    """The lines of texts that aren't blank, page numbers, marks or running headers: [(no, line, s, flat)].
+
+    The compatibility form breaks lines where the text does, so both split alike.
+    """
+    both = F.zip_with(F.split(text, "\n"), F.split(nfkc(text), "\n"), lambda x, y: F.struct(F.rtrim(x).alias("line"), F.trim(F.rtrim(x)).alias("s"), folded(F.rtrim(y)).alias("flat")))
+    numbered = F.transform(both, lambda x, i: F.struct(i.alias("no"), x["line"].alias("line"), x["s"].alias("s"), x["flat"].alias("flat")))
+    junk = "|".join(f"(?:{j})" for j in JUNK)
+    return F.filter(numbered, lambda x: ~x["flat"].rlike(junk))
+
+
 def lines(pages: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys, line_no, line, s): lines without blanks, page numbers, marks and running headers."""
-    out = pages.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    out = out.withColumn("line", F.rtrim("line")).withColumn("s", F.trim("line"))
-    for junk in JUNK:
-        out = out.where(~plain(F.col("line")).rlike(junk))
-    return out
+    got = pages.select(*keys, F.explode(_clean(F.col(text))).alias("x"))
+    return got.select(*keys, F.col("x.no").alias("line_no"), F.col("x.line").alias("line"), F.col("x.s").alias("s"))
 
 
-def paragraphs(pages: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, para_no, paragraph): a page's lines grouped as sentences and headings suggest.
+def grouped(text: Column) -> Column:
+    """The paragraphs of a page: its lines grouped as sentences and headings suggest.
 
     A short line without final punctuation stands alone and closes what was open; a line that
     ends a sentence well short of the page's full line closes its paragraph. The full line is
-    the 75th percentile (by rank) of the longer lines. Set-based: running sums over line order.
+    the 75th percentile (by rank) of the longer lines. A row's arrays hold it all: no shuffle.
     """
-    page, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("line_no")
-    size = F.length("s")
-    got = lines(pages, *keys, text=text).withColumn("long", F.when(size >= LONG_LINE, size))
-    ranked = F.array_sort(F.collect_list("long").over(page))
-    at = F.floor(F.lit(0.75) * (F.size(ranked) - 1)).cast("int") + 1
-    got = got.withColumn("full", F.when(F.size(ranked) > 0, F.element_at(ranked, F.greatest(at, F.lit(1)))).otherwise(60))
-    ends = F.col("s").rlike(END)
-    got = got.withColumn("heading", (size < HEADING) & ~ends)
-    got = got.withColumn("closes", F.col("heading") | (ends & (size < CLOSING * F.col("full"))))
-    opens = F.col("heading") | F.coalesce(F.lag("closes").over(order), F.lit(True))
-    got = got.withColumn("p", F.sum(opens.cast("int")).over(order))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    got = got.groupBy(*keys, "p").agg(F.regexp_replace(joined, r"^\s+|\s+$", "").alias("paragraph"))
-    got = got.where(F.length(plain(F.col("paragraph"))) >= LEAST)
-    return got.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("p")).alias("para_no"), "paragraph")
+
+    def marked(kept: Column) -> Column:
+        sizes = F.array_sort(F.filter(F.transform(kept, lambda x: F.length(x["s"])), lambda n: n >= LONG_LINE))
+        at = F.greatest(F.floor(F.lit(0.75) * (F.size(sizes) - 1)).cast("int"), F.lit(0)) + 1
+        full = F.coalesce(F.try_element_at(sizes, at), F.lit(60))
+
+        def mark(x: Column, full: Column) -> Column:
+            n, ends = F.length(x["s"]), x["s"].rlike(END)
+            heading = (n < HEADING) & ~ends
+            return F.struct(x["line"].alias("line"), x["flat"].alias("flat"), heading.alias("heading"), (heading | ends & (n < CLOSING * full)).alias("closes"))
+
+        return let(full, lambda f: F.transform(kept, lambda x: mark(x, f)))
+
+    def cut(m: Column) -> Column:
+        places = F.when(F.size(m) > 0, F.sequence(F.lit(1), F.size(m))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: F.element_at(m, i)["heading"] | (i == 1) | F.try_element_at(m, F.greatest(i - 1, F.lit(1)))["closes"])
+
+        def take(starts: Column) -> Column:
+            pieces = F.transform(starts, lambda s, k: F.slice(m, s, F.coalesce(F.get(starts, k + 1), F.size(m) + 1) - s))
+            texts = F.transform(pieces, lambda p: F.struct(F.regexp_replace(F.array_join(p["line"], "\n"), r"^\s+|\s+$", "").alias("text"), F.length(squeeze(F.array_join(p["flat"], " "))).alias("n")))
+            return F.transform(F.filter(texts, lambda t: t["n"] >= LEAST), lambda t: t["text"])
+
+        return let(starts, take)
+
+    return let(let(_clean(text), marked), cut)
+
+
+def paragraphs(pages: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, para_no from 1, paragraph): the pages' texts by grouped()."""
+    got = pages.select(*keys, F.posexplode(grouped(F.col(text))).alias("at", "paragraph"))
+    return got.select(*keys, (F.col("at") + 1).alias("para_no"), "paragraph")

@@ -40,4 +40,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quillon.plans import documents, evaluation, ranking, relational, reports, variants  # noqa: F401
+    from quillon.plans import arms, booklets, cases, checks, documents, evaluation, ranking, relational, reports, variants  # noqa: F401

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import evidence, fuzzy, rank, route, sample, segment
+from quillon.operators.settled import in_blocks, settle
 from quillon.plans.catalog import query, table
 from quillon.sources.jsonl import page_text
 
@@ -99,20 +100,24 @@ hit AS (SELECT item_id, doc_id, lang FROM b JOIN d ON contains(d.t, b.t))"""
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a benchmark text but for white space, case and hyphens.
 
-    Blocked by content: a pair shares the benchmark text's rarest word, counted over documents.
+    Blocked by content: a pair shares the benchmark text's rarest inner word, counted over documents.
+    Words travel with their document's number alone; texts join the pairs that are left. Texts of one
+    or two words have no inner word; where there are such, they meet all documents in blocks.
     """
     docs = documents(spark, d).select("doc_id", "lang", T.evidence_form(F.col("text")).alias("t"))
-    items = table(spark, d, "benchmark").select("item_id", T.evidence_form(F.col("text")).alias("b"))
-    words = lambda t: F.array_distinct(F.filter(F.split(t, " "), lambda w: w != ""))
+    items = settle(table(spark, d, "benchmark").select("item_id", T.evidence_form(F.col("text")).alias("b")))
     # The first and last word may be parts of words there.
-    inner = lambda t: F.when(F.size(F.split(t, " ")) > 2, F.slice(F.split(t, " "), 2, F.size(F.split(t, " ")) - 2)).otherwise(F.array().cast("array<string>"))
-    asked = items.select("item_id", "b", F.explode(F.array_distinct(inner(F.col("b")))).alias("w"))
-    found = docs.select("doc_id", "lang", "t", F.explode(words(F.col("t"))).alias("w")).join(rank.small(asked.select("w").distinct()), "w", "left_semi")
+    words = F.split("b", " ")
+    asked = settle(items.where(F.size(words) > 2).select("item_id", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).alias("w")))
+    found = settle(docs.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).join(rank.small(asked.select("w").distinct()), "w", "left_semi"))
     df = found.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rarest = asked.join(df, "w", "left").groupBy("item_id", "b").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), F.col("w"))).alias("w"))
-    short = rank.small(items.where(F.size(F.split("b", " ")) <= 2))
-    blocked = found.join(rank.small(rarest), "w").where(F.contains("t", F.col("b"))).select("item_id", "doc_id", "lang")
-    return blocked.unionByName(docs.join(short, F.contains("t", F.col("b"))).select("item_id", "doc_id", "lang"))
+    rarest = asked.join(df, "w", "left").groupBy("item_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), F.col("w"))).alias("w"))
+    pairs = settle(found.join(rank.small(rarest), "w").select("doc_id", "item_id").join(rank.small(items), "item_id"))
+    got = docs.join(rank.small(pairs), "doc_id").where(F.contains("t", F.col("b"))).select("item_id", "doc_id", "lang")
+    short = items.where(F.size(words) <= 2)
+    if short.isEmpty():
+        return got
+    return got.unionByName(in_blocks(docs, short, "item_id").where(F.contains("t", F.col("b"))).select("item_id", "doc_id", "lang"))
 
 
 @query(f"WITH {HITS_SQL} SELECT item_id, doc_id, lang FROM hit")
@@ -142,24 +147,47 @@ def langid_confusion(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("lang", T.language(F.col("text")).alias("found")).groupBy("lang", "found").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Features of a claim by words of three languages; the last pattern of each adds English.
 TAGS = {
     "number": r"\d",
-    "date": r"\b(19|20)\d\d\b|\b(januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember|janvier|février|mars|avril|juin|juillet|août)\b",
-    "negation": r"\b(nicht|kein|keine|keinen|ne|pas|jamais|non|nessun|nessuna|not|never)\b",
-    "qualifier": r"\b(nur|alle|mindestens|höchstens|seulement|tous|toutes|au moins|solo|tutti|almeno|only|all|every)\b",
+    "date": r"\b(1[89]|20)\d\d\b|\b(januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember)\b|\b(janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre)\b|\b(gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre)\b",
+    "negation": r"\b(nicht|kein\w*|nie|niemals|weder|ohne)\b|\b(ne|n['’]|pas|aucun\w*|jamais|ni|sans)\b|\b(non|nessun\w*|mai|né|senza)\b|\b(not|never)\b",
+    "qualifier": r"\b(nur|alle|allen|immer|mindestens|höchstens|ausschliesslich|ausschließlich|sämtliche|einzig\w*|mehr als|weniger als|über|unter)\b|\b(seulement|uniquement|tous|toutes|toujours|au moins|au plus|exclusivement|plus de|moins de)\b|\b(solo|soltanto|solamente|tutti|tutte|sempre|almeno|al massimo|esclusivamente|più di|meno di)\b|\b(only|all|every)\b",
 }
 
 
-@query("SELECT conv_id, turn, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{r}') THEN '{k}' END" for k, r in TAGS.items()) + "], lambda x: x IS NOT NULL)::VARCHAR AS tags FROM conversations")
+def holding(rules: dict[str, str]) -> dict[str, str]:
+    """The rules in RE2's dialect, whose word edges and word characters know ASCII only: other letters are named."""
+    out = {}
+    for k, r in rules.items():
+        r = re.sub(r"\\b(?=\()", lambda _: r"(?:^|[^\p{L}\p{N}_])", r).replace(r"\w", r"[\p{L}\p{N}_]")
+        # After n' an edge is a letter, as n' ends in none.
+        r = r.replace(r"(ne|n['’]|", r"(n['’][\p{L}\p{N}_]|ne|")
+        out[k] = re.sub(r"\\b(?=$|\||\))", lambda _: r"(?:$|[^\p{L}\p{N}_])", r).replace("'", "''")
+    return out
+
+
+@query("SELECT conv_id, turn, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{r}') THEN '{k}' END" for k, r in holding(TAGS).items()) + "], lambda x: x IS NOT NULL)::VARCHAR AS tags FROM conversations")
 def claim_tags(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.concat_ws(", ", T.tags(F.col("text"), TAGS)), F.lit("]")).alias("tags"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.concat_ws(", ", T.tags(F.col("text"), {k: f"(?U){r}" for k, r in TAGS.items()})), F.lit("]")).alias("tags"))
 
 
+#: Openings that name a source, with the part they mean; claims on the table's texts begin with them in turn.
 OPENINGS = (
-    "Laut der Zusammenfassung sinken die Kosten.", "«Der Bundesrat ist laut Zusammenfassung dafür.»", "Le comité d'initiative le veut.", "Secondo il Consiglio federale non serve.",
-    "Wird die Vorlage angenommen, steigt der Beitrag.", "Si la loi est acceptée, rien ne change.", "Il testo della votazione parla di 5 anni.", "Dem Abstimmungstext zufolge gilt dies.",
-    "Niemand weiss es.", "– Das Komitee sagt nein.", "En bref, tout va bien.", "Bei einem Ja ändert sich viel.",
+    ("summary", "Laut der Zusammenfassung gilt: "), ("summary", "«Der Bundesrat ist laut Zusammenfassung dafür:» "), ("committee", "Le comité d'initiative le veut, car "), ("council", "Secondo il Consiglio federale "),
+    ("detail", "Wird die Vorlage angenommen, so "), ("detail", "Si la loi est acceptée, "), ("law", "Il testo della votazione dice: "), ("law", "Dem Abstimmungstext zufolge "),
+    (None, "Niemand weiss es, doch "), ("committee", "– Das Komitee sagt: "), ("summary", "En bref, "), ("detail", "Bei einem Ja "), ("council", "Die Landesregierung meint: "), (None, "Selon le résumé, "),
 )
+_OPENED = "[" + ", ".join("'" + t.replace("'", "''") + "'" for _, t in OPENINGS) + "]"
+_MEANT = "[" + ", ".join(f"'{p}'" if p else "NULL" for p, _ in OPENINGS) + "]"
+OPENED_SQL = f"SELECT item_id, {_MEANT}[item_id % {len(OPENINGS)} + 1] AS meant, {_OPENED}[item_id % {len(OPENINGS)} + 1] || text AS text FROM benchmark"
+
+
+def opened(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, meant, text): the benchmark's texts as claims that name a source."""
+    turn = (F.col("item_id") % len(OPENINGS) + 1).cast("int")
+    meant, text = (F.element_at(F.array(*(F.lit(x[k]).cast("string") for x in OPENINGS)), turn) for k in (0, 1))
+    return table(spark, d, "benchmark").select("item_id", meant.alias("meant"), F.concat(text, "text").alias("text"))
 
 
 def _route_sql(rows: str) -> str:
@@ -170,13 +198,24 @@ def _route_sql(rows: str) -> str:
     edge = lambda p: re.sub(r"\\b(?=$|\)|\|)", lambda _: r"(?:$|[^\p{L}\p{N}_])", p)
     cases = " ".join(f"WHEN regexp_matches(o, '^(?:{esc(edge(p))})') THEN '{part}'" for part, p in RULES)
     norm = "regexp_replace(lower(trim(regexp_replace(replace(replace(text, '`', ''''), '’', ''''), '[\\s\u00a0]+', ' ', 'g'))), '^[\\s\"''«»„“”‚‘’‹›–—-]+', '')"
-    return f"WITH t AS (SELECT text, {norm} AS o FROM ({rows})) SELECT text, CASE {cases} END AS part FROM t"
+    return f"WITH t AS (SELECT *, {norm} AS o FROM ({rows})), rt AS (SELECT *, CASE {cases} END AS part FROM t)"
 
 
-@query(_route_sql("SELECT unnest([" + ", ".join("'" + o.replace("'", "''") + "'" for o in OPENINGS) + "]) AS text"))
+ROUTE_SQL = _route_sql(OPENED_SQL)
+
+
+@query(ROUTE_SQL + " SELECT item_id, part FROM rt")
 def route_openings(spark: SparkSession, d: str) -> DataFrame:
-    claims = spark.createDataFrame([(o,) for o in OPENINGS], "text string")
-    return route.route(claims)
+    """The part that each claim's opening names."""
+    return route.route(opened(spark, d)).select("item_id", "part")
+
+
+@query(ROUTE_SQL + """ SELECT meant, CASE WHEN meant IS NULL AND part IS NULL THEN 'right to fall back' WHEN meant IS NULL THEN 'wrongly routed' WHEN part IS NULL THEN 'fallback' WHEN part = meant THEN 'right' ELSE 'wrong part' END AS outcome, count(*) AS n FROM rt GROUP BY 1, 2""")
+def router_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What the router makes of openings, by the part they mean."""
+    meant, part = F.col("meant"), F.col("part")
+    outcome = F.when(meant.isNull() & part.isNull(), "right to fall back").when(meant.isNull(), "wrongly routed").when(part.isNull(), "fallback").when(part == meant, "right").otherwise("wrong part")
+    return route.route(opened(spark, d)).groupBy("meant", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH x AS (SELECT text, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1) SELECT first, n FROM x WHERE n > 1")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import header, stem_tokens, title_words
+from quillon.functions.text import header, title_words
 from quillon.functions.vectors import cosine
 from quillon.operators import rank
+from quillon.operators.settled import in_blocks
 from quillon.plans.catalog import query, table
 
 STEMS = "list_transform(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda x: x[1:7])"
@@ -25,8 +26,16 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", "text")
 
 
+def found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return rank.postings(table(spark, d, "documents").select("doc_id", "text"), claims(spark, d), "doc_id", "item_id")
+
+
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rank.bm25(table(spark, d, "documents").select("doc_id", "text"), claims(spark, d), "doc_id", "item_id")
+    return rank.bm25_of(found(spark, d), "doc_id", "item_id")
+
+
+def shared_terms(spark: SparkSession, d: str) -> DataFrame:
+    return rank.shared_of(found(spark, d), "doc_id", "item_id")
 
 
 def best(scores: DataFrame, k: int = 8) -> DataFrame:
@@ -49,10 +58,8 @@ SELECT item_id, doc_id, CAST(r AS INTEGER) AS rank, round(CAST(score AS DOUBLE),
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM f) WHERE r <= 8""")
 def rrf_hybrid_top8(spark: SparkSession, d: str) -> DataFrame:
     """BM25 fused with the number of shared terms."""
-    terms = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(stem_tokens(F.col("text")))).alias("term"))
-    asked = claims(spark, d).select("item_id", F.explode(F.array_distinct(stem_tokens(F.col("text")))).alias("term"))
-    shared = terms.join(rank.small(asked), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return best(rank.fused(bm25_scores(spark, d), shared, "item_id", "doc_id")).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    got = found(spark, d)
+    return best(rank.fused(rank.bm25_of(got, "doc_id", "item_id"), rank.shared_of(got, "doc_id", "item_id"), "item_id", "doc_id")).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 COSINE_SQL = """c AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -62,10 +69,10 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 
 
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each query row (id divisible by 50) with every other row, in blocks of broadcast queries."""
+    """Each query row (id divisible by 50) with every other row, in blocks of queries."""
     vectors = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    queries = rank.small(vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q")))
-    return vectors.join(queries, F.col("vec_id") != F.col("query_id")).withColumn("score", cosine(F.col("q"), F.col("embedding"))).drop("q", "embedding")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q"))
+    return in_blocks(vectors, queries, "query_id").where("vec_id <> query_id").withColumn("score", cosine(F.col("q"), F.col("embedding"))).drop("q", "embedding")
 
 
 def cosine_best(spark: SparkSession, d: str, k: int = 8) -> DataFrame:
@@ -121,8 +128,8 @@ SELECT a AS claim_id, b AS item_id, CAST(r AS INTEGER) AS rank, round(score, 6)
 def lexical_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The four benchmark texts nearest to each by shared 4-grams and numbers."""
     texts = claims(spark, d).repartition("item_id").select("item_id", rank.lexical_form(F.col("text")).alias("form"))
-    other = rank.small(texts.select(F.col("item_id").alias("claim_id"), F.col("form").alias("claim")))
-    pairs = texts.join(other, F.col("item_id") != F.col("claim_id")).withColumn("score", rank.lexical(F.col("claim"), F.col("form")))
+    other = texts.select(F.col("item_id").alias("claim_id"), F.col("form").alias("claim"))
+    pairs = in_blocks(texts, other, "claim_id").where("item_id <> claim_id").withColumn("score", rank.lexical(F.col("claim"), F.col("form")))
     return rank.top_k(pairs, "claim_id", 4, F.round("score", 9).desc(), "item_id").select("claim_id", "item_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -134,10 +141,9 @@ c AS (SELECT item_id, count(b.doc_id) AS shared FROM a LEFT JOIN b USING (item_i
 SELECT count(*) AS cases, round(avg(shared), 6) AS mean_shared, round(avg(CASE WHEN shared = 8 THEN 1.0 ELSE 0.0 END), 6) AS all_equal FROM c""")
 def topk_overlap(spark: SparkSession, d: str) -> DataFrame:
     """How many of BM25's eight best are among the eight with the most shared terms."""
-    terms = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(stem_tokens(F.col("text")))).alias("term"))
-    asked = claims(spark, d).select("item_id", F.explode(F.array_distinct(stem_tokens(F.col("text")))).alias("term"))
-    shared = terms.join(rank.small(asked), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    a = best(bm25_scores(spark, d)).groupBy("item_id").agg(F.collect_set("doc_id").alias("a"))
+    got = found(spark, d)
+    shared = rank.shared_of(got, "doc_id", "item_id")
+    a = best(rank.bm25_of(got, "doc_id", "item_id")).groupBy("item_id").agg(F.collect_set("doc_id").alias("a"))
     b = best(shared).groupBy("item_id").agg(F.collect_set("doc_id").alias("b"))
     both = a.join(b, "item_id", "left").select(F.size(F.array_intersect("a", F.coalesce("b", F.array().cast("array<long>")))).alias("shared"))
     return both.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg("shared"), 6).alias("mean_shared"), F.round(F.avg(F.when(F.col("shared") == 8, 1.0).otherwise(0.0)), 6).alias("all_equal"))
@@ -156,10 +162,15 @@ sc AS (SELECT title, source, page, sum(w) AS score FROM hd JOIN tt USING (word)
 kp AS (SELECT title, source, page FROM (SELECT *, max(score) OVER (PARTITION BY title, source) AS best FROM sc) WHERE best > 0 AND round(score, 9) >= round(0.5 * best, 9))"""
 
 
+def page_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, page): a source's documents as its pages, numbered without their texts."""
+    order = Window.partitionBy("source").orderBy("doc_id")
+    return table(spark, d, "documents").select("doc_id", "source", F.row_number().over(order).alias("page"))
+
+
 def sections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(kept pages, pages): documents of a source as a booklet's pages, benchmark texts as titles."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    pages = table(spark, d, "documents").select("source", F.row_number().over(order).alias("page"), title_words(header(F.col("text"))).alias("words"))
+    pages = table(spark, d, "documents").select("doc_id", title_words(header(F.col("text"))).alias("words")).join(page_numbers(spark, d), "doc_id").drop("doc_id")
     titles = claims(spark, d).select(F.col("item_id").alias("title"), title_words(F.col("text")).alias("words"))
     got = rank.section_scores(pages, titles, "source")
     top = F.max("score").over(Window.partitionBy("title", "source"))

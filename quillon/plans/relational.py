@@ -15,9 +15,11 @@ def equi_join(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS o ON o_custkey = c_custkey")
 def anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order that is done."""
+    done = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    return table(spark, d, "customer").join(done, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT count(*) AS customers FROM customer SEMI JOIN orders ON o_custkey = c_custkey")

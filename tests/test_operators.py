@@ -65,8 +65,42 @@ def test_retries():
     assert judge.wait_before(500, 1) == 2.0 and judge.wait_before(500, 2) is None
     assert [judge.wait_before(429, n) for n in (1, 2, 3)] == [2.0, 4.0, None]
     assert judge.wait_before(429, 1, 60) == 10.0 and judge.wait_before(404, 1) is None
-    answers, slept = [(429, "", None), (200, "ok", None)], []
-    assert judge.HttpJudge(lambda p: answers.pop(0), slept.append).one("x") == ("ok", 2) and slept == [2.0]
+    answers, slept = [judge.Reply(429, "", 3, 1), judge.Reply(200, "ok", 5, 2)], []
+    assert judge.HttpJudge(lambda p, o: answers.pop(0), slept.append).one("x") == ("ok", 2, 8, 3) and slept == [2.0]
+
+
+def test_endpoint_fallbacks():
+    """A refused format and a refused name cost a request each, and are remembered."""
+    seen = []
+
+    def post(prompt, options):
+        seen.append((options["model"], options["response_format"]))
+        if options["response_format"]:
+            return judge.Reply(400, "unknown field response_format")
+        return judge.Reply(404, "no such model") if options["model"] == "a" else judge.Reply(200, prompt)
+
+    asked = judge.HttpJudge(post, lambda s: None, models=["a", "b"], schema={"type": "object"})
+    state = asked.start()
+    assert asked.one("x", state)[:2] == ("x", 3) and asked.one("y", state)[:2] == ("y", 1)
+    assert seen == [("a", {"type": "object"}), ("a", None), ("b", None), ("b", None)] and state["extra"] == 1
+    refuse = judge.HttpJudge(lambda p, o: judge.Reply(404, "no such model"), lambda s: None, models=list("abcdefg"))
+    assert refuse.one("x")[:2] == (None, 4)
+    slept, times = [], iter([0.0, 0.0, 1.0, 3.0, 9.0, 9.0])
+    pace = judge.Pace(3.0, lambda: next(times), slept.append)
+    for _ in range(3):
+        pace.wait()
+    assert slept == [2.0]
+
+
+def test_answer_fields(spark):
+    rows = ['{"finding": "Same", "paragraphs": [1, "2", true, 3.5]}', 'so {"same_ballot":false,"claims":["a "," ",  "b"]}', '{"claim":"x","paragraphs":[4,5]}', "nothing", '{"same_ballot":"true"}', None]
+    df = spark.createDataFrame([(x,) for x in rows], "a string")
+    a = F.col("a")
+    got = df.select(judge.word_label(a, "finding", {"same": 0, "different": 2}), judge.numbers(a, "paragraphs"), judge.boolean(a, "same_ballot"), judge.texts_of(a, "claims"), judge.texts_of(a, "claim")).collect()
+    assert [r[0] for r in got] == [0, None, None, None, None, None] and [r[1] for r in got] == [[1, 2], [], [4, 5], [], [], None]
+    assert [r[2] for r in got] == [None, False, None, None, None, None] and got[1][3] == ["a", "b"] and got[2][4] == ["x"]
+    heads = spark.sql("SELECT map('X-Backend', 'b1', 'Date', 'now') AS h").select(judge.identity(F.col("h"))).first()[0]
+    assert heads == {"x-backend": "b1"}
 
 
 def test_bm25_order(spark):
