@@ -107,10 +107,10 @@ def second_looks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("label").alias("first"), last.cast("int").alias("label")).groupBy("first", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT item_id AS id, md5('REFERENCE TEXT:{chr(10)}' || text || '{chr(10)}{chr(10)}CLAIM:{chr(10)}' || upper(substr(text, 1, 40))) AS prompt, md5('{dispatch.PROMPTS['passage'][0]}') AS system, CAST({dispatch.PROMPTS['passage'][2]} AS INTEGER) AS budget FROM benchmark")
+@query(f"SELECT item_id AS id, md5('REFERENCE TEXT:{chr(10)}' || text || '{chr(10)}{chr(10)}CLAIM:{chr(10)}' || substr(text, 1, 40)) AS prompt, md5('{dispatch.PROMPTS['passage'][0]}') AS system, CAST({dispatch.PROMPTS['passage'][2]} AS INTEGER) AS budget FROM benchmark")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """Requests as they would be sent, by their hashes."""
-    text = dispatch.passage_prompt(F.col("text"), F.upper(F.substring("text", 1, 40)))
+    text = dispatch.passage_prompt(F.col("text"), F.substring("text", 1, 40))
     h = lambda c: F.md5(F.encode(c, "UTF-8"))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), h(text).alias("prompt"), h(dispatch.system(F.lit("passage"))).alias("system"), dispatch.budget(F.lit("passage")).alias("budget"))
 

@@ -31,6 +31,6 @@ def test_same_rows(spark, sf, duck, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"fuzzy_hits"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0

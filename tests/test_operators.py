@@ -213,6 +213,26 @@ def test_fuzzy_pairs_are_all_pairs(spark):
     assert {k[1][:2] for k in want} >= {"in", "ed", "cu"}
 
 
+def test_edits_to_the_nearest_stretch():
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcd é😀") for _ in range(r.choice([1, 5, 33, 63, 64]))) for _ in range(60)]
+
+    def plain(a, b):
+        row = list(range(len(a) + 1))
+        best = row[-1]
+        for c in b:
+            new = [0]
+            for i, x in enumerate(a, 1):
+                new.append(min(new[-1] + 1, row[i] + 1, row[i - 1] + (x != c)))
+            row, best = new, min(best, new[-1])
+        return best
+
+    long = "".join(r.choice("abcd é😀") for _ in range(150))
+    want = [plain(t, long) for t in texts]
+    assert [fuzzy.nearest_end(t, fuzzy.letters(t), long) for t in texts] == want
+    assert fuzzy.Words(texts).nearest_ends(long).tolist() == want
+
+
 def test_tolerant_lines(spark, tmp_path):
     (tmp_path / "in.jsonl").write_bytes(b'\xef\xbb\xbf{"id": 1, "booklet": {}}\r\n\r{"id": "1", "reference": {}}\nnot json\n{"id": 1, "reference": {}}\r{"x": 1}\n{"id": {"b": 1, "a": 2}, "t": "\xff"}')
     got = jsonl.json_lines(spark, str(tmp_path)).orderBy("line_no").collect()
@@ -258,3 +278,74 @@ def test_contexts(spark):
     assert (first.doc, first.place) == ("b", 3) and 3 in got["bm25"] and 3 in got["hybrid"] and got["vote-section"] == [3, 4]
     with pytest.raises(ValueError, match="unknown context"):
         context.select("none such", pages, claims)
+
+
+def test_store(spark, tmp_path):
+    import struct
+
+    import numpy as np
+    from quillon.sources import store
+
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "id int, line_no int, last string")
+    assert {r.id: r.last for r in store.last_by_id(rows, "id", "line_no").collect()} == {1: "b", 2: "c"}
+    files = spark.createDataFrame([(b"p1|p2",), (b"q",), (b"q",)], "content binary")
+    reads = lambda b: b.decode().split("|")
+    assert sorted((r.page, r.text) for r in store.cached_pages(files, str(tmp_path / "c"), reads).collect()) == [(1, "p1"), (1, "q"), (2, "p2")]
+
+    def never(b):
+        raise RuntimeError("read again")
+
+    assert store.cached_pages(files.limit(1), str(tmp_path / "c"), never).count() == 2
+    m = np.arange(12, dtype="<f4").reshape(3, 4)
+    head = json.dumps({"w": {"dtype": "F32", "shape": [3, 4], "data_offsets": [0, m.nbytes]}}).encode()
+    (tmp_path / "t.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + m.tobytes())
+    got = store.tensor_rows(spark, str(tmp_path / "t.safetensors"), "w", 2).orderBy("row").collect()
+    assert [list(r.vector) for r in got] == [[0.0, 1.0], [4.0, 5.0], [8.0, 9.0]]
+    (tmp_path / ".env").write_text("# no\nexport A='1'\nB=2\n")
+    assert store.settings_file(tmp_path / ".env", {"B": "3", "C": "4"}) == {"A": "1", "B": "3"}
+    lines = [r.line for r in store.markdown_table(spark.createDataFrame([("x|y", 1)], "a string, b int")).orderBy("line_no").collect()]
+    assert lines == ["| a | b |", "|---|---|", "| x\\|y | 1 |"]
+
+
+def test_normal_forms(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(T.plain(F.lit("ﬁne  Ｌ’É\xadté"))) == "fine l'été" and one(T.loose(F.lit("a-\nb"))) == "a- b" and one(T.evidence_form(F.lit("ｓo-\n so"))) == "soso"
+    import unicodedata
+
+    every = [chr(i) for i in range(0x250) if not 0xD800 <= i < 0xE000] + list("–—‘’“”„…•€‹›‰")
+    rows = spark.createDataFrame([(c,) for c in every], "c string").select("c", T.nfkc(F.col("c")).alias("n"), F.col("c").rlike(T.PLAIN).alias("p")).collect()
+    assert all(r.n == unicodedata.normalize("NFKC", r.c).replace("\xad", "") for r in rows) and all(r.n == r.c for r in rows if r.p)
+    assert one(T.row_of(F.lit("v1.1-row-123-B"))) == (123, "B") and one(T.row_of(F.lit("x"))) == (None, None)
+
+
+def test_booklets(spark):
+    """A missing heading, a conflict of list and heading, and a shared overview cost their parts alone."""
+    from quillon.operators import booklet
+
+    text = {p: f"body {p}" for p in range(1, 31)}
+    text[2] = "Klima\nIn Kürze 4-5\nÜbersicht 7\nIm Detail 8\nArgumente 12\nAbstimmungstext 16\nSteuern\nEn bref 6\nEn détail 18\nArguments 22\nTextes soumis au vote 26"
+    heads = {4: "In Kürze", 6: "En bref", 8: "Im Detail\nArgumente Initiativkomitee 12\nArgumente Bundesrat 1 4", 12: "Argumente\nArgumente Initiativkomitee", 13: "Argumente Bundesrat", 16: "§ 1", 18: "En détail", 22: "Arguments du comité d'initiative", 24: "Arguments du Conseil fédéral", 26: "soumis au vote"}
+    text |= {p: f"{h}\nbody" for p, h in heads.items()}
+    pages = spark.createDataFrame([("b", p, t) for p, t in text.items()], "doc string, page int, text string")
+    got = {r.vote_no: r for r in booklet.parse(pages).collect()}
+    one, two = got[1], got[2]
+    assert one.parts["summary"] == [4, 5] and one.parts["detail"] == [7, 8, 9, 10, 11] and one.parts["law"] == [16, 17] and "council" not in one.parts
+    assert one.problems == ["council: list and heading differ"] and one.valid == ["detail", "law", "summary"]
+    assert two.problems == [] and two.title == "Steuern" and two.parts["committee"] == [22, 23] and two.parts["council"] == [24, 25] and two.parts["law"] == [26, 27, 28, 29]
+    boxed = spark.createDataFrame([("b", 4, "Ja\nEine Minderheit des Parlaments will die Vorlage unbedingt annehmen.\nparlament.ch/x\nNein\nzu kurz\n12 Ja")], "doc string, page int, text string")
+    found = booklet.boxes(boxed, spark.createDataFrame([("b", 1, {"summary": [4]}, ["summary"])], "doc string, vote_no int, parts map<string,array<int>>, valid array<string>")).collect()
+    assert sorted((r.voice, r.text[:8]) for r in found) == [("parliament", "12 Ja"), ("parliament", "Ja\nEine ")]
+    names = spark.createDataFrame([("b", "Klima"), ("b", "Verkehr"), ("c", "Klima")], "doc string, name string")
+    assert {(r.doc, r.name): r.vote_no for r in booklet.find_votes(names, booklet.parse(pages)).collect()} == {("b", "Klima"): 1, ("b", "Verkehr"): None, ("c", "Klima"): None}
+
+
+def test_case_kinds(spark):
+    from quillon.operators import dispatch
+
+    rows = [("A", "law", ["law"]), ("A", None, ["law"]), ("A", "law", []), ("A", "law", ["detail"]), ("A", None, []), ("B", None, []), (None, "law", ["law"])]
+    df = spark.createDataFrame(rows, "task string, part string, valid array<string>")
+    assert [r[0] for r in df.select(dispatch.kind(F.col("task"), F.col("part"), F.col("valid"))).collect()] == ["paragraphs", "ask-part", "ask-structure", "pages", "pages", "passage", "done"]
+    assert dispatch.effective("e5+BM25", {"e5"}) == "BM25" and dispatch.effective("S", {"S"}) == "none" and dispatch.effective("S", {"e5"}) == "S"
+    with pytest.raises(ValueError, match="unknown ranker"):
+        dispatch.effective("x")
+    assert dispatch.schema("excerpt")["properties"]["finding"]["enum"] == ["same", "different", "nothing"]
