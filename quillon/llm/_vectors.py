@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import buckets
+from quillon.llm._common import parts
 from quillon.llm.suffix_dedup import packed, unpacked
 
 
@@ -52,12 +52,21 @@ def read(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], data[order]
 
 
-def met(base: DataFrame, queries: DataFrame, make, search, schema: str, *, rows: int, asks: int, least_blocks: int = 1) -> DataFrame:
-    """search(base, queries) of each block of `rows` base rows with each block of `asks` queries."""
+#: Rows of a block at least, where there are cores for more blocks.
+LEAST_ROWS = 4096
+
+
+def met(base: DataFrame, queries: DataFrame, make, search, schema: str, *, rows: int, asks: int) -> DataFrame:
+    """search(base, queries) of each block of base rows with each block of `asks` queries.
+
+    A base block has `rows` rows at most, fewer where that keeps all cores busy. The base is copied
+    once for each block of queries: once, but for very many; the queries, far fewer, once for each
+    base block.
+    """
     spark = base.sparkSession
     n, q = base.count(), queries.count()
-    nb = max(least_blocks, -(-n // rows))
-    nq = max(1, -(-q // asks), -(-buckets(spark, 0, 1) // nb) if q else 1)
+    nb = max(1, -(-n // rows), min(parts(spark), -(-n // LEAST_ROWS)))
+    nq = max(1, -(-q // asks))
     dealt = lambda df, name, k: gathered(df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")), name, make)
     left = dealt(base, "bb", nb).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     right = dealt(queries, "qb", nq).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))

@@ -116,7 +116,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, rows: int = 1 << 2
         empty = np.zeros(0, np.int64)
         return pa.table({"query_id": np.repeat(own, n) if out else empty, "vec_id": np.concatenate([empty, *(a for a, _ in out)]), "distance": np.concatenate([empty, *(d for _, d in out)])})
 
-    found = met(base, asked(base, every), codes, search, "query_id long, vec_id long, distance long", rows=rows, asks=4096)
+    found = met(base, asked(base, every), codes, search, "query_id long, vec_id long, distance long", rows=rows, asks=1 << 20)
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 

@@ -109,6 +109,38 @@ def test_forest(spark):
     assert forest.nearest(vector_table(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("clusters", [0, 200])
+def test_forest_recall(spark, clusters):
+    """10,000 vectors without close neighbours, and in clusters: recall, and the share that is scored."""
+    r = np.random.default_rng(11)
+    v = r.standard_normal((10_000, 64))
+    if clusters:
+        v = r.standard_normal((clusters, 64))[r.integers(0, clusters, len(v))] + 0.3 * v
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = forest.nearest(rows).toPandas()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    asked_ = np.arange(0, len(v), 50)
+    near = unit[asked_] @ unit.T
+    near[np.arange(len(asked_)), asked_] = -2
+    best = np.argpartition(-near, 5, 1)[:, :5]
+    found = got.groupby("query_id").vec_id.apply(set)
+    assert np.mean([len(found[q] & set(b)) / 5 for q, b in zip(asked_, best)]) >= 0.9
+    share = forest.fitted(v[:4096], 5, 0.95)
+    f = forest.Forest(v)
+    f.search(v[asked_], 5, share, asked_, np.arange(len(v)))
+    assert f.scored / len(asked_) / len(v) < (0.1 if clusters else 0.5)
+
+
+def test_blocks_of_vectors(spark, monkeypatch):
+    """Many blocks of rows and of queries give the rows of one."""
+    from quillon.llm import _vectors
+
+    one = [set(map(tuple, f(vector_table(spark, 900)).collect())) for f in (hamming.top_k,)]
+    monkeypatch.setattr(_vectors, "LEAST_ROWS", 100)
+    assert set(map(tuple, hamming.top_k(vector_table(spark, 900), rows=300).collect())) == one[0]
+    assert hamming.top_k(vector_table(spark).limit(0)).count() == 0
+
+
 def test_hamming_is_exact(spark):
     n = 1500
     got = hamming.top_k(vector_table(spark, n)).toPandas()
