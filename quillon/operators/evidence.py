@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import halves
+from quillon.functions.text import halves, let
 from quillon.operators.segment import chunked
 
 #: Items at most, characters of an item, of a piece, of an excerpt; paragraphs cited.
@@ -85,3 +85,19 @@ def within_budget(items: Column, most: int = EXCERPT_CHARS) -> Column:
         return F.struct(F.when(fits, a["total"] + F.length(text)).otherwise(a["total"]).alias("total"), F.when(fits, F.concat(a["kept"], one)).otherwise(a["kept"]).alias("kept"), (a["at"] + 1).alias("at"))
 
     return F.aggregate(items, start, step)["kept"]
+
+
+def excerpt(paragraphs: Column, cited: Column, most: int = EXCERPT_CHARS) -> Column:
+    """The excerpt of a second look: cited paragraphs in the answer's order, then the one before and the one after
+    each, as within_budget() takes them; [(number, text)] in number order. Unknown numbers are left out."""
+
+    def order(known: Column) -> Column:
+        near = F.flatten(F.transform(known, lambda n: F.array(n - 1, n + 1)))
+        return F.concat(known, F.array_distinct(F.filter(near, lambda n: (n >= 1) & (n <= F.size(paragraphs)) & ~F.array_contains(known, n))))
+
+    def taken(numbers: Column) -> Column:
+        kept = within_budget(F.transform(numbers, lambda n: F.element_at(paragraphs, n)), most)
+        return F.array_sort(F.transform(kept, lambda x: F.struct(F.element_at(numbers, x["at"]).alias("number"), x["text"].alias("text"))))
+
+    known = F.array_distinct(F.filter(cited, lambda n: (n >= 1) & (n <= F.size(paragraphs))))
+    return let(let(known, order), taken)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import evidence, fuzzy, rank, route, sample, segment
+from quillon.operators import contract, evidence, fuzzy, rank, route, sample, segment
 from quillon.operators.settled import in_blocks, settle
 from quillon.plans.catalog import query, table
 from quillon.sources.jsonl import page_text
@@ -276,9 +276,46 @@ def evidence_halves(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def excerpt_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Of each document's paragraphs, in order, those that fit an excerpt of 2,000 characters."""
-    paras = segment.paragraphs(documents(spark, d), "doc_id").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "paragraph"))), lambda x: x["paragraph"]).alias("all"))
-    return paras.select("doc_id", F.explode(evidence.within_budget(F.col("all"))).alias("x")).select("doc_id", F.col("x.at").alias("para_no"), F.length("x.text").alias("chars"))
+    """Of each document's paragraphs those that a second look gets: cited ones, then their neighbours, in 2,000 characters."""
+    paras = documents(spark, d).select("doc_id", segment.grouped(F.col("text")).alias("all")).where(F.size("all") > 0)
+    cited = F.array(F.lit(3), F.lit(1), F.lit(99), F.lit(3), F.size("all"))
+    return paras.select("doc_id", F.explode(evidence.excerpt(F.col("all"), cited)).alias("x")).select("doc_id", F.col("x.number").alias("para_no"), F.length("x.text").alias("chars"))
+
+
+_JOINED = "regexp_replace({t}, '([\\p{{L}}\\p{{N}}_])-\\s*\\n\\s*([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"
+_LOOSE = "lower(trim(regexp_replace({t}, '[\\s ]+', ' ', 'g')))"
+
+
+@query(f"""SELECT doc_id, md5({_LOOSE.format(t=_JOINED.format(t="text"))}) AS retrieval, md5({_LOOSE.format(t="text")}) AS loose, CAST(length(regexp_replace(regexp_replace(text, '`[^`]*`', ' ', 'g'), 'https?://\\S+', ' ', 'g')) AS INTEGER) AS without_code,
+md5(replace(replace(replace(substr(text, 1, 300), chr(10), ' '), '|', chr(92) || '|'), '`', chr(39))) AS cell, md5('[1] ' || substr(text, 1, 20) || chr(10) || chr(10) || '[2] ' || lang) AS numbered FROM documents""")
+def text_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The forms of texts that other queries don't show, by their hashes."""
+    t = F.col("text")
+    h = lambda c: F.md5(F.encode(c, "UTF-8"))
+    return documents(spark, d).select(
+        "doc_id", h(T.retrieval_form(t)).alias("retrieval"), h(T.loose(t)).alias("loose"), F.length(T.strip_code(t)).alias("without_code"), h(T.cell(F.substring(t, 1, 300))).alias("cell"), h(T.numbered(F.array(F.substring(t, 1, 20), F.col("lang")))).alias("numbered")
+    )
+
+
+@query(f"""WITH {CASES_SQL}, it AS (SELECT source, page, place, row_number() OVER (PARTITION BY source ORDER BY place) AS r FROM ct JOIN pg USING (source, page)), sp AS (SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, page) AS r FROM pg ANTI JOIN ct USING (source, page)),
+al AS (SELECT source, page, 0 AS turn, r FROM it UNION ALL SELECT source, page, 1, r FROM sp), n AS (SELECT source, page, turn, row_number() OVER (PARTITION BY source ORDER BY turn, r) AS item_no FROM al) SELECT source, CAST(item_no AS INTEGER) AS item_no, page, turn = 1 AS padded FROM n WHERE item_no <= 5""")
+def padded_items(spark: SparkSession, d: str) -> DataFrame:
+    """Cited pages, then the longest others, five in all."""
+    asked, pages = cases(spark, d)
+    first = asked.select("source", F.posexplode(F.array_distinct("cited")).alias("place", "page")).join(pages, ["source", "page"])
+    items = first.select("source", F.row_number().over(Window.partitionBy("source").orderBy("place")).alias("item_no"), "page", F.lit("cited").alias("text"))
+    spare = pages.select("source", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(F.length("text")), "page")).alias("rank"), "page", F.lit("spare").alias("text"))
+    return evidence.padded(items, spare, "source").select("source", "item_no", "page", (F.col("text") == "spare").alias("padded"))
+
+
+@query(f"""WITH x AS (SELECT doc_id AS page, text, CASE WHEN doc_id % 7 = 0 THEN 'not there at all' WHEN doc_id % 3 = 0 THEN upper(replace(substr(text, 1, 60), ' ', '  ')) ELSE substr(text, 10, 80) END AS item FROM documents WHERE NOT contains(text, 'ß'))
+SELECT page FROM x WHERE NOT contains({_EV.format(t="text")}, {_EV.format(t="item")})""")
+def items_not_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """Items that their page doesn't hold, but for case, white space and hyphens."""
+    docs = documents(spark, d).where(~F.contains("text", F.lit("ß"))).select(F.col("doc_id").alias("page"), "text")
+    other = F.upper(F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("  ")))
+    items = docs.select("page", F.when(F.col("page") % 7 == 0, "not there at all").when(F.col("page") % 3 == 0, other).otherwise(F.substring("text", 10, 80)).alias("text"))
+    return contract.not_verbatim(items, docs).select("page")
 
 
 @query()

@@ -210,6 +210,22 @@ def local_time(spark: SparkSession, d: str) -> DataFrame:
     return wall.join(busy, "user_id", "left").select("user_id", "wall", (F.col("wall") - F.coalesce("covered", F.lit(0))).alias("local"))
 
 
+@query(f"""WITH {ISLANDS_SQL}, w AS (SELECT user_id, min(s) - 1000000 AS lo, max(e) + 500000 AS hi FROM sp GROUP BY 1), gp AS (SELECT user_id, s - lag(e) OVER (PARTITION BY user_id ORDER BY s) AS gap FROM il),
+x AS (SELECT user_id, count(gap) AS gaps, max(gap) AS longest, quantile_disc(gap, 0.95) AS p95 FROM gp GROUP BY 1), y AS (SELECT user_id, sum(e - s) AS busy, min(s) AS first, max(e) AS last FROM il GROUP BY 1)
+SELECT user_id, CAST(first - lo AS BIGINT) AS to_first, CAST(hi - last AS BIGINT) AS tail, gaps, longest, p95, CAST(hi - lo - busy AS BIGINT) AS local FROM w JOIN y USING (user_id) JOIN x USING (user_id)""")
+def local_time_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Where local time goes: before the first request, between requests, after the last, in a run's bounds."""
+    sp = spans(spark, d)
+    bounds = sp.groupBy("user_id").agg((F.min("s") - 1000000).alias("lo"), (F.max("e") + 500000).alias("hi"))
+    inside = intervals.clipped(sp.join(bounds, "user_id"), F.col("lo"), F.col("hi")).select("user_id", "s", "e")
+    il = intervals.islands(inside, "user_id")
+    busy = il.groupBy("user_id").agg(F.sum(F.col("e") - F.col("s")).alias("busy"), F.min("s").alias("first"), F.max("e").alias("last"))
+    gap = intervals.gaps(inside, "user_id").withColumn("gap", F.col("e") - F.col("s"))
+    gap = gap.groupBy("user_id").agg(F.count(F.lit(1)).alias("gaps"), F.max("gap").alias("longest"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY gap)").cast("long").alias("p95"))
+    got = bounds.join(busy, "user_id").join(gap, "user_id", "left")
+    return got.select("user_id", (F.col("first") - F.col("lo")).alias("to_first"), (F.col("hi") - F.col("last")).alias("tail"), F.coalesce("gaps", F.lit(0).cast("long")).alias("gaps"), "longest", "p95", (F.col("hi") - F.col("lo") - F.col("busy")).alias("local"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def phase_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("users"))

@@ -158,6 +158,14 @@ def test_budget_skips_and_goes_on(spark):
     assert [len(r.text) for r in long] == [2000]
 
 
+def test_excerpt_with_neighbours(spark):
+    """Cited ones first, then those before and after, in number order; the first alone may be cut."""
+    one = lambda texts, cited: [tuple(r) for r in spark.createDataFrame([(texts, cited)], "t array<string>, c array<int>").select(evidence.excerpt(F.col("t"), F.col("c"))).first()[0]]
+    texts = ["a" * 300, "b" * 300, "c" * 900, "d" * 300, "e" * 500]
+    assert [n for n, _ in one(texts, [3, 3, 9, 5])] == [2, 3, 4, 5] and [n for n, _ in one(texts, [1])] == [1, 2]
+    assert [(n, len(t)) for n, t in one(["x" * 2500, "y"], [1])] == [(1, 2000)] and one(texts, [7]) == []
+
+
 def test_hedge(spark):
     paras = spark.createDataFrame([("c", 1, 4, "one"), ("c", 2, 5, "two"), ("c", 3, 5, "three")], "id string, para_no int, page int, text string")
     pages = spark.createDataFrame([("c", 4, "page four"), ("c", 5, " page five ")], "id string, page int, text string")
