@@ -17,7 +17,7 @@ connected components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import comb
 
@@ -249,10 +249,14 @@ def _block(t: pd.DataFrame, percent: int, settled: bool) -> pd.DataFrame:
     return pd.DataFrame({"u": np.where(swap, y, x), "v": np.where(swap, x, y), "sure": whole[low] & whole[high]})
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, full: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """The pairs (u, v) that are similar enough: those that are sure, and of the others those whose
-    full shingle sets say so."""
-    joined = pairs.where("NOT sure").join(sets.select(F.col("sig").alias("u"), F.col("hashes").alias("a")), "u")
+    full shingle sets, which `full` makes for the signatures asked for, say so."""
+    sure, doubt = pairs.where("sure").select("u", "v"), pairs.where("NOT sure")
+    if doubt.isEmpty():
+        return sure
+    sets = full(doubt.select(F.col("u").alias("sig")).unionAll(doubt.select(F.col("v").alias("sig"))).distinct())
+    joined = doubt.join(sets.select(F.col("sig").alias("u"), F.col("hashes").alias("a")), "u")
     joined = joined.join(sets.select(F.col("sig").alias("v"), F.col("hashes").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +271,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([u, v, pa.array(ok)], names=["u", "v", "ok"])
         trim()
 
-    return pairs.where("sure").select("u", "v").unionAll(joined.mapInArrow(run, "u binary, v binary, ok boolean").where("ok").select("u", "v"))
+    return sure.unionAll(joined.mapInArrow(run, "u binary, v binary, ok boolean").where("ok").select("u", "v"))
 
 
 def _lists(kept: DataFrame, k: int, percent: int) -> DataFrame:
@@ -307,8 +311,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5, with_
     reps = settle(rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), lead.alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")))
 
     listed = settle(_lists(reps, K, percent))
-    sets = _full_sets(base, reps, listed.select("sig").distinct(), words)
-    sketches = sets.select("sig", F.substring("hashes", 1, 8 * WIDE).alias("sketch"))
+    release(spark)
+    sketches = _sets(base, reps, listed.select("sig").distinct(), words, WIDE).withColumnRenamed("hashes", "sketch")
+    full = lambda asked: _sets(base, reps, asked, words)
     release(spark)
     # Documents that meet in a list of several blocks share a passage at least; they meet again by
     # the rarest of their WIDE values, counted among such documents, instead.
@@ -335,7 +340,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5, with_
     pairs, roots = settle(candidates(first, False)), None
     release(spark)
     if not pairs.isEmpty():
-        links = settle(_verify(pairs, sets, percent))
+        links = settle(_verify(pairs, full, percent))
         roots = settle(stars(links))
         # Only lists that the links leave in more than one component; of those that have several
         # blocks, the documents outside the main component meet every block, in turns of a bounded
@@ -356,7 +361,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5, with_
             out = out.withColumn("turn", F.pmod(F.xxhash64("sig", F.lit(1)), "turns").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
             every = rooted.withColumn("turn", F.explode(F.when(several, F.sequence(F.lit(0), F.col("turns") - 1)).otherwise(F.array(F.lit(0)))))
             more = settle(candidates(out.unionByName(every), True).join(pairs, ["u", "v"], "left_anti"))
-            good = settle(_verify(more, sets, percent))
+            good = settle(_verify(more, full, percent))
             if not good.isEmpty():
                 roots = settle(stars(links.unionAll(good)))
     release(spark)
@@ -372,8 +377,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5, with_
     return named.select(*out, *([F.col("row_key"), chosen.alias("first")] if with_key else []))
 
 
-def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """The full shingle sets behind the signatures asked for: (sig, hashes)."""
+def _sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int, most: int | None = None) -> DataFrame:
+    """The shingle sets behind the signatures asked for, or their smallest hashes: (sig, hashes)."""
     several = F.col("copies") > 1
     need = settle(reps.join(asked, "sig", "left_semi").select(F.col("lead.doc_id").alias("wanted"), F.col("lead.row_key").alias("wanted_key"), "sig", several.alias("several")))
 
@@ -384,7 +389,7 @@ def _full_sets(base: DataFrame, reps: DataFrame, asked: DataFrame, words: int) -
                 sets = [g[i:j] for i, j in zip(off, off[1:])]
                 fits = [_signature(s) == x for s, x in zip(sets, b.column("sig").to_pylist())]
                 mask = pa.array(fits, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("sig").filter(mask), b.column("several").filter(mask), pa.array([s.tobytes() for s, ok in zip(sets, fits) if ok], pa.binary())], names=["sig", "several", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column("sig").filter(mask), b.column("several").filter(mask), pa.array([s[:most].tobytes() for s, ok in zip(sets, fits) if ok], pa.binary())], names=["sig", "several", "hashes"])
         trim()
 
     picked = base.join(bounded(need), (F.col("row_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted")))
