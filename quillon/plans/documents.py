@@ -97,27 +97,34 @@ HITS_SQL = f"""d AS (SELECT doc_id, lang, {_EV.format(t="text")} AS t FROM docum
 hit AS (SELECT item_id, doc_id, lang FROM b JOIN d ON contains(d.t, b.t))"""
 
 
+#: Words of a text that may be its blocking key: the longest ones, as most of those are rare.
+KEYS = 3
+
+
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a benchmark text but for white space, case and hyphens.
 
-    Blocked by content: a pair shares the benchmark text's rarest inner word, counted over documents.
-    Words travel with their document's number alone; texts join the pairs that are left. Texts of one
-    or two words have no inner word; where there are such, they meet all documents in blocks.
+    Blocked by content: a pair shares the rarest, counted over documents, of the benchmark text's
+    longest inner words. Words travel with their document's number alone; texts join the pairs that
+    are left. Texts of one or two words have no inner word; where there are such, they meet all
+    documents in blocks.
     """
-    docs = documents(spark, d).select("doc_id", "lang", T.evidence_form(F.col("text")).alias("t"))
+    docs = documents(spark, d).select("doc_id", "lang", "text")
+    form = T.evidence_form(F.col("text"))
     items = settle(table(spark, d, "benchmark").select("item_id", T.evidence_form(F.col("text")).alias("b")))
     # The first and last word may be parts of words there.
     words = F.split("b", " ")
-    asked = settle(items.where(F.size(words) > 2).select("item_id", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).alias("w")))
-    found = settle(docs.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).join(rank.small(asked.select("w").distinct()), "w", "left_semi"))
+    longest = F.array_sort(F.transform(F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    asked = settle(items.where(F.size(words) > 2).select("item_id", F.explode(F.slice(longest, 1, KEYS)).alias("x")).select("item_id", "x.w"))
+    found = settle(docs.select("doc_id", F.explode(F.array_distinct(F.split(form, " "))).alias("w")).join(rank.small(asked.select("w").distinct()), "w", "left_semi"))
     df = found.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(df, "w", "left").groupBy("item_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), F.col("w"))).alias("w"))
     pairs = settle(found.join(rank.small(rarest), "w").select("doc_id", "item_id").join(rank.small(items), "item_id"))
-    got = docs.join(rank.small(pairs), "doc_id").where(F.contains("t", F.col("b"))).select("item_id", "doc_id", "lang")
+    got = docs.join(rank.small(pairs), "doc_id").where(F.contains(form, F.col("b"))).select("item_id", "doc_id", "lang")
     short = items.where(F.size(words) <= 2)
     if short.isEmpty():
         return got
-    return got.unionByName(in_blocks(docs, short, "item_id").where(F.contains("t", F.col("b"))).select("item_id", "doc_id", "lang"))
+    return got.unionByName(in_blocks(docs, short, "item_id").where(F.contains(form, F.col("b"))).select("item_id", "doc_id", "lang"))
 
 
 @query(f"WITH {HITS_SQL} SELECT item_id, doc_id, lang FROM hit")
