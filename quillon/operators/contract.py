@@ -13,21 +13,28 @@ ITEMS, CHARS = 5, 5000
 
 
 def violations(responses: DataFrame, cases: DataFrame) -> DataFrame:
-    """(id, problem): each broken rule of responses (id, label, label_name, n_evidence, longest,
-    lowest_page, input_tokens) against the cases' ids; one pass over a joined row per id."""
+    """(id, problem): each broken rule of responses (id, label, label_name, n_evidence, shortest, longest,
+    lowest_page, pages, input_tokens, output_tokens, ms) against the cases (id, task); one pass over a joined
+    row per id. pages counts the items that name a page, which those of task B must not."""
     n = responses.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in responses.columns if c != "id"))
-    both = n.withColumn("answered", F.lit(True)).join(cases.select("id").distinct().withColumn("asked", F.lit(True)), "id", "full")
+    both = n.withColumn("answered", F.lit(True)).join(cases.select("id", "task").distinct().withColumn("asked", F.lit(True)), "id", "full")
     name = F.try_element_at(F.array(*map(F.lit, NAMES)), F.col("label") + 1)
+    number = lambda c: F.col("answered") & (F.col(c).isNull() | (F.col(c) < 0))
     rules = {
         "missing id": F.col("answered").isNull(),
         "unknown id": F.col("asked").isNull(),
         "duplicate id": F.col("n") > 1,
         "label": F.col("answered") & (F.col("label").isNull() | ~F.col("label").isin(0, 1, 2)),
         "label name": F.col("label").isin(0, 1, 2) & ~F.coalesce(F.col("label_name") == name, F.lit(False)),
+        "no evidence list": F.col("answered") & F.col("n_evidence").isNull(),
         "too many items": F.col("n_evidence") > ITEMS,
+        "empty item": F.col("shortest") < 1,
         "long item": F.col("longest") > CHARS,
         "page": F.col("lowest_page") < 1,
-        "tokens": F.col("answered") & (F.col("input_tokens").isNull() | (F.col("input_tokens") < 0)),
+        "page of a passage": (F.col("task") == "B") & (F.col("pages") > 0),
+        "input tokens": number("input_tokens"),
+        "output tokens": number("output_tokens"),
+        "time": number("ms"),
     }
     named = F.array_compact(F.array(*(F.when(F.coalesce(r, F.lit(False)), F.lit(k)) for k, r in rules.items())))
     return both.select("id", F.explode(named).alias("problem"))

@@ -108,3 +108,13 @@ def section_scores(pages: DataFrame, titles: DataFrame, group: str, page: str =
     weight = df.select(group, "word", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("w"))
     asked = titles.select("title", F.explode(words).alias("word")).distinct()
     return head.join(small(asked), "word").join(weight, [group, "word"]).groupBy("title", group, page).agg(F.sum("w").alias("score"))
+
+
+def with_title_pages(scores: DataFrame, full: DataFrame, group: str, page: str = "page", keep: float = 0.5) -> DataFrame:
+    """(title, group, page): the pages that carry the full title, and of the others those whose score reaches
+    `keep` of the best among them."""
+    by = ["title", group]
+    rest = scores.join(full.select(*by, page), [*by, page], "left_anti")
+    best = F.max("score").over(Window.partitionBy(*by))
+    kept = rest.withColumn("best", best).where((F.col("best") > 0) & (F.round("score", 9) >= F.round(keep * F.col("best"), 9)))
+    return kept.select(*by, page).unionByName(full.select(*by, page)).distinct()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import STOPWORDS, language
 from quillon.operators import booklet
 from quillon.operators.settled import settle
 from quillon.plans.catalog import query, table
@@ -152,16 +153,32 @@ def detail_titles(spark: SparkSession, d: str) -> DataFrame:
     return booklet.detail_titles(p, new).select(F.col("doc").alias("source"), "vote_no", "title")
 
 
+def _stated(p: DataFrame) -> DataFrame:
+    """One vote for each booklet, as another source might state it."""
+    return p.select("doc").distinct().select("doc", F.lit(1).alias("block"), F.lit("stated").alias("title"), F.lit(4).alias("s0"), F.lit(5).alias("s1"), F.lit(None).cast("int").alias("overview"), F.lit(8).alias("detail"), F.lit(12).alias("arguments"), F.lit(16).alias("law"))
+
+
 @query(f"""WITH {PARTS_SQL} SELECT source, part, CAST(min(lo) AS INTEGER) AS first, CAST(max(CASE WHEN part = 'law' THEN 29 ELSE hi END) AS INTEGER) AS last FROM sp, src
 WHERE NOT o AND NOT old AND vote_no = 1 AND NOT (part = 'law' AND k % 7 = 0) GROUP BY 1, 2""")
 def external_structure(spark: SparkSession, d: str) -> DataFrame:
     """Entries that another source states (a model's answer), held against the same pages: one vote."""
     p = pages(spark, d).where(F.substring("doc", 4, 9).cast("int") % 4 != 3)
-    said = p.select("doc").distinct().select("doc", F.lit(1).alias("block"), F.lit("stated").alias("title"), F.lit(4).alias("s0"), F.lit(5).alias("s1"), F.lit(None).cast("int").alias("overview"), F.lit(8).alias("detail"), F.lit(12).alias("arguments"), F.lit(16).alias("law"))
+    said = _stated(p)
     got = booklet.parse_blocks(p, said).select("doc", F.explode("parts").alias("part", "on"))
     return got.select(F.col("doc").alias("source"), "part", F.array_min("on").alias("first"), F.when(F.col("part") == "summary", F.lit(5)).otherwise(F.array_max("on")).alias("last"))
 
 
+@query(f"""WITH {PARTS_SQL} SELECT part, count(*) AS n, CAST(sum(CASE WHEN part IN ('summary', 'law') THEN 0 ELSE 1 END) AS BIGINT) AS same FROM pt WHERE NOT old AND vote_no = 1 GROUP BY 1""")
+def structure_diff(spark: SparkSession, d: str) -> DataFrame:
+    """The parser's pages of a vote's parts against those of one stated vote, part by part: a stated vote that is
+    the only one ends its summary and its law text elsewhere."""
+    p = pages(spark, d).where(F.substring("doc", 4, 9).cast("int") % 4 != 3)
+    one = votes(spark, d).where("layout = 'new' AND vote_no = 1").select("doc", F.explode("parts").alias("part", "a"))
+    two = booklet.parse_blocks(p, _stated(p)).select("doc", F.explode("parts").alias("part", "b"))
+    both = one.join(two, ["doc", "part"], "full")
+    return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a").eqNullSafe(F.col("b")).cast("long")).alias("same"))
+
+
 @query(f"""WITH {PARTS_SQL}, v AS (SELECT source, k, old, unnest([1, 2]) AS vote_no FROM src), y AS (SELECT k % 3 AS edition, CASE WHEN old THEN 'old' ELSE 'new' END AS layout, source,
 CASE WHEN NOT old AND k % 7 = 0 AND vote_no = 1 OR NOT old AND k % 5 = 0 AND vote_no = 2 THEN 0 ELSE 1 END AS ok FROM v)
 SELECT CAST(edition AS INTEGER) AS edition, layout, count(DISTINCT source) AS booklets, count(*) AS votes, CAST(sum(ok) AS BIGINT) AS complete FROM y GROUP BY 1, 2""")
@@ -204,3 +221,18 @@ def swapped_names(spark: SparkSession, d: str) -> DataFrame:
     got = votes(spark, d).select(F.floor(k / 3).cast("int").alias("date"), (k % 3).alias("edition"), "vote_no", name.alias("name"))
     other = got.select("date", F.col("edition").alias("other"), "vote_no", "name")
     return got.drop("name").join(other, ["date", "vote_no"]).where("edition <> other").select("date", "edition", "other", "vote_no", "name")
+
+
+_STOP = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in STOPWORDS.items()}
+
+
+@query("WITH d AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents), w AS (SELECT source, regexp_extract_all(lower(string_agg(text, chr(10) ORDER BY page)), '\\p{L}+') AS ws FROM d WHERE page <= 8 GROUP BY 1), c AS (SELECT source, " + ", ".join(f"len(list_filter(ws, lambda x: list_contains({v}, x))) AS c_{k}" for k, v in _STOP.items()) + """ FROM w)
+SELECT source, CASE WHEN greatest(c_de, c_fr, c_it) = 0 THEN 'de' WHEN c_de = greatest(c_de, c_fr, c_it) THEN 'de' WHEN c_fr = greatest(c_de, c_fr, c_it) THEN 'fr' ELSE 'it' END AS found FROM c""")
+def booklet_languages(spark: SparkSession, d: str) -> DataFrame:
+    """A booklet's language by the words of its first eight pages."""
+    order = Window.partitionBy("source").orderBy("doc_id")
+    docs = table(spark, d, "documents")
+    first = docs.select("doc_id", "source").withColumn("page", F.row_number().over(order)).where("page <= 8")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n")
+    whole = docs.select("doc_id", "text").join(first, "doc_id").groupBy("source").agg(text.alias("t"))
+    return whole.select("source", language(F.col("t")).alias("found"))

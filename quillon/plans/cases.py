@@ -213,3 +213,14 @@ def wide_fallback(spark: SparkSession, d: str) -> DataFrame:
     paras = booklet.part_paragraphs(pages, booklets.votes(spark, d), booklets.boxes(spark, d)).select("doc", F.struct("vote_no", "part", "para_no").alias("place"), "part", "text")
     claims = cases(spark, d).where("kind = 'ask-part'").select(F.col("id").alias("claim"), "doc", "text")
     return dispatch.wide(paras, claims).groupBy("claim").agg(F.count(F.lit(1)).alias("paragraphs"), F.countDistinct("part").alias("parts"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"""{CASES_SQL}, rc AS (SELECT k % 3 AS edition, part, CASE WHEN task IS NULL OR task = 'B' THEN 'not asked' WHEN kind = 'paragraphs' THEN 'routed' WHEN unknown THEN 'vote not found' WHEN part IS NULL THEN 'no part named' ELSE 'part not valid' END AS reason FROM kd)
+SELECT reason, part, CAST(edition AS INTEGER) AS edition, CAST(grouping(reason, part, edition) AS INTEGER) AS level, count(*) AS n FROM rc GROUP BY GROUPING SETS ((reason), (reason, part), (reason, edition), ())""")
+def routing_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Why cases were not routed, the first reason that holds, by part and edition in one aggregate."""
+    c = cases(spark, d)
+    reason = F.when(F.coalesce(F.col("task") == "B", F.lit(True)), "not asked").when(F.col("kind") == "paragraphs", "routed").when(F.col("vote_no").isNull(), "vote not found").when(F.col("part").isNull(), "no part named").otherwise("part not valid")
+    g = c.select(reason.alias("reason"), "part", (F.substring("doc", 4, 9).cast("int") % 3).alias("edition"))
+    r, p, e = map(F.col, ("reason", "part", "edition"))
+    return g.groupingSets([[r], [r, p], [r, e], []], "reason", "part", "edition").agg(F.grouping_id("reason", "part", "edition").cast("int").alias("level"), F.count(F.lit(1)).alias("n"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import header, title_words
+from quillon.functions.text import header, plain, title_words
 from quillon.functions.vectors import cosine
+from quillon.functions.vectors import static_embeddings as static
 from quillon.operators import rank
+from quillon.operators.fuzzy import fuzzy_pairs
 from quillon.operators.settled import in_blocks
 from quillon.plans.catalog import query, table
 
@@ -183,6 +185,27 @@ def section_pages(spark: SparkSession, d: str) -> DataFrame:
     return sections(spark, d)[0]
 
 
+@query()
+def section_pages_titled(spark: SparkSession, d: str) -> DataFrame:
+    """section_pages with the pages that carry a title's first 70 characters to 90 %."""
+    pages = table(spark, d, "documents").select("doc_id", plain(F.col("text")).alias("p"), title_words(header(F.col("text"))).alias("words")).join(page_numbers(spark, d), "doc_id")
+    titles = claims(spark, d).select(F.col("item_id").alias("title"), F.substring(plain(F.col("text")), 1, 70).alias("t"), title_words(F.col("text")).alias("words"))
+    full = fuzzy_pairs(titles, pages, ("title", "t"), ("doc_id", "p")).join(page_numbers(spark, d), "doc_id")
+    return rank.with_title_pages(rank.section_scores(pages.select("source", "page", "words"), titles.select("title", "words"), "source"), full, "source")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark), t AS (SELECT item_id, length(w) * 7 % n AS vec_id FROM w, n),
+e AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT item_id, i, avg(x) AS x FROM t JOIN e USING (vec_id) GROUP BY 1, 2), z AS (SELECT item_id, sqrt(sum(x * x)) AS size FROM m GROUP BY 1)
+SELECT item_id, CAST(i AS INTEGER) AS dim, round(CASE WHEN size > 0 THEN x / size ELSE 0.0 END, 6) AS x FROM m JOIN z USING (item_id)""")
+def static_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as unit means of their words' vectors; a word's length stands for its place in the table."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    n = vectors.count()
+    words = claims(spark, d).select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("w"))
+    tokens = words.select("item_id", (F.length("w") * 7 % n).cast("long").alias("token"))
+    return static(tokens, vectors, "item_id").select("item_id", F.posexplode("vector").alias("dim", "x")).select("item_id", (F.col("dim") + 1).alias("dim"), F.round("x", 6).alias("x"))
+
+
 @query(f"""WITH {SECTION_SQL},
 f AS (SELECT DISTINCT source, page + o AS page FROM (SELECT DISTINCT source, page FROM kp), (VALUES (0), (1)) AS v(o)),
 g AS (SELECT source, page FROM f SEMI JOIN pg USING (source, page)),
