@@ -15,6 +15,10 @@ bytes, say which windows are equal. What is removed returns to the documents as
 
 A stretch that repeats within a block of documents is sent once and its copies are dealt by their
 blocks, so of text that very many documents share a bucket gets one copy for each block.
+
+What a block has for a bucket is one piece, so the number of pieces grows with the square of the
+data. Blocks and buckets are therefore as large as a worker's memory allows, and are worked off in
+chunks and turns.
 """
 
 from __future__ import annotations
@@ -29,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._common import parts, texts_columns, trim
-from quillon.llm._shingle import by_bytes, mix, prefix_hash, span_hash, utf8
+from quillon.llm._shingle import BASE, by_bytes, mix, prefix_hash, span_hash, utf8
 
 _U = np.uint64
-#: Bytes of text in a chunk, in a block of documents, and for each bucket of stretches; windows
-#: that are sorted at a time (a group of windows is never split).
-BATCH, BLOCK, BUCKET, WINDOWS = 1_000_000, 4_000_000, 2_000_000, 250_000
+_ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+#: Bytes of text in a chunk, in a block of documents, and for each bucket of stretches; bytes of a
+#: bucket's stretches, and windows, that are compared at a time (a group of windows is never split).
+BATCH, BLOCK, BUCKET, TURN, WINDOWS = 250_000, 16_000_000, 32_000_000, 2_000_000, 250_000
 #: Bytes of a q-gram, where the strings looked for are three times as long at least.
 GRAM = 16
 
@@ -51,11 +56,11 @@ def narrow(most: int) -> type:
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block."""
     head = np.array([x for a in arrays for x in (ord(a.dtype.char), len(a))], "<i8")
-    return zstandard.compress(np.int64(len(arrays)).tobytes() + head.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+    return _ZSTD.compress(np.int64(len(arrays)).tobytes() + head.tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 def unpacked(block: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(block)
+    raw = _UNZSTD.decompress(block)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     head, at, out = np.frombuffer(raw, "<i8", 2 * n, 8), 8 + 16 * n, []
     for kind, size in head.reshape(-1, 2):
@@ -128,20 +133,40 @@ def text_key(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(span_hash(s, off[:-1], off[1:]) + np.diff(off).astype(_U)).view(np.int64)
 
 
-def _chunks(t: pa.Table, least: int) -> Iterator[tuple]:
-    """The stretches of a table of documents, chunk by chunk."""
+def _slices(t: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A table's doc_ids and texts, BATCH bytes at a time, each with its first row's number."""
+    at = 0
     for batch in t.select(["doc_id", "text"]).combine_chunks().to_batches():
         for b in by_bytes(batch, 1, BATCH):
-            docs = b.column(0).to_pylist()
-            keys = text_key(*utf8(b.column(1)))
-            ids, known = np.array([0 if d is None else d for d in docs], np.int64), np.array([d is not None for d in docs], bool)
-            for data, off, number, begins in _pieces(b.column(1), least):
-                s = prefix_hash(data)
-                start, end, anchor = stretches(data, off, least, s)
-                row = np.searchsorted(off, start, "right") - 1
-                ok = known[number[row]]
-                start, end, anchor, row = (x[ok] for x in (start, end, anchor, row))
-                yield data, s, start, end, anchor, number[row], begins[row] + start - off[row], ids, keys
+            yield at, b
+            at += len(b)
+
+
+def _ranks(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's place among the block's distinct doc_ids and texts, by doc_id (-1 for a null one),
+    and its doc_id: the same whatever the rows' order."""
+    keys = np.concatenate([np.zeros(0, np.int64), *(text_key(*utf8(b.column(1))) for _, b in _slices(t))])
+    known, ids = t.column("doc_id").is_valid().to_numpy(), t.column("doc_id").fill_null(0).to_numpy()
+    by = np.lexsort((keys, ids, ~known))
+    new = np.zeros(len(by), bool)
+    new[1:] = (ids[by][1:] != ids[by][:-1]) | (keys[by][1:] != keys[by][:-1])
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new)
+    return np.where(known, rank, -1), ids
+
+
+def _chunks(t: pa.Table, least: int) -> Iterator[tuple]:
+    """The stretches of a table of documents, chunk by chunk: bytes, their prefix hashes, and each
+    one's start, end and anchor in them, row, and place in its document."""
+    for base, b in _slices(t):
+        known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+        for data, off, number, begins in _pieces(b.column(1), least):
+            s = prefix_hash(data)
+            start, end, anchor = stretches(data, off, least, s)
+            row = np.searchsorted(off, start, "right") - 1
+            ok = known[number[row]]
+            start, end, anchor, row = (x[ok] for x in (start, end, anchor, row))
+            yield data, s, start, end, anchor, base + number[row], begins[row] + start - off[row]
 
 
 def _grams(s: np.ndarray, anchor: np.ndarray, bits: int, q: int) -> np.ndarray:
@@ -153,9 +178,10 @@ def _grams(s: np.ndarray, anchor: np.ndarray, bits: int, q: int) -> np.ndarray:
 def _block_grams(t: pa.Table, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct q-gram hashes of a block, sorted, and whether several documents have them."""
     found, last = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for k, (_, s, _, _, anchor, doc, _, ids, _) in enumerate(_chunks(t, least)):
+    ids = t.column("doc_id").fill_null(0).to_numpy()
+    for _, s, _, _, anchor, row, _ in _chunks(t, least):
         found.append(_grams(s, anchor, bits, gram(least)))
-        last.append(ids[doc])
+        last.append(ids[row])
     g, d = np.concatenate(found), np.concatenate(last)
     by = np.argsort(g, kind="stable")
     g, d = g[by], d[by]
@@ -179,6 +205,7 @@ def _offer(least: int, bits: int, deal: int):
         of = _bucket(g, deal, bits)
         at = np.flatnonzero(np.diff(of, prepend=-1))
         out = [(of[a], packed(*_steps(g[a:z]), np.packbits(several[a:z]))) for a, z in zip(at, np.append(at[1:], len(g)))]
+        trim()
         return pa.table({"bucket": pa.array([i for i, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.int32()), "data": pa.array([x for _, x in out], pa.binary())})
 
     return run
@@ -187,7 +214,11 @@ def _offer(least: int, bits: int, deal: int):
 def _steps(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted numbers as the first one and the steps, as narrow as they allow."""
     d = np.diff(g)
-    return g[:1], d.astype(np.uint32) if not len(d) or d.max() < 1 << 32 else d
+    return g[:1], d.astype(narrow(int(d.max(initial=0))))
+
+
+def _from_steps(first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    return np.concatenate([first, first[0] + np.cumsum(steps, dtype=first.dtype)])
 
 
 def _answer(t: pa.Table) -> pa.Table:
@@ -195,7 +226,7 @@ def _answer(t: pa.Table) -> pa.Table:
     blocks, grams, bits = t.column("block"), [], []
     for b in t.column("data"):
         first, steps, several = unpacked(b.as_py())
-        grams.append(np.concatenate([first, first[0] + np.cumsum(steps, dtype=_U)]))
+        grams.append(_from_steps(first, steps))
         bits.append(np.unpackbits(several)[: len(grams[-1])])
     g = np.concatenate(grams)
     _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
@@ -211,46 +242,52 @@ def _cut(least: int, bits: int, deal: int):
         nothing = pa.table({"bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
         if not t.num_rows:
             return nothing
-        parts: list[tuple] = []
-        contents: list[np.ndarray] = []
         block = t.column("block")[0].as_py()
-        grams, _ = _block_grams(t, least, bits)
+        rank, ids = _ranks(t)
+        held, found = [], [np.zeros(0, _U)]
+        for data, s, start, end, anchor, row, place in _chunks(t, least):
+            size, g = end - start, _grams(s, anchor, bits, gram(least))
+            same = mix(span_hash(s, start, end) + size.astype(_U))
+            held.append((data, g, same, start.astype(np.int32), size.astype(narrow(2 * least)), (anchor - start).astype(narrow(least)), row.astype(np.int32), place.astype(narrow(int(place.max(initial=0))))))
+            found.append(g)
+        grams = np.unique(np.concatenate(found))
         shared, of = np.zeros(len(grams), bool), _bucket(grams, deal, bits)
         for i, b in zip(answers.column("bucket").to_pylist(), answers.column("data")):
             a, z = np.searchsorted(of, [i, i + 1])
             shared[a:z] = np.unpackbits(np.frombuffer(b.as_py(), np.uint8))[: z - a]
-        for data, s, start, end, anchor, doc, place, ids, keys in _chunks(t, least):
-            g = _grams(s, anchor, bits, gram(least))
-            use = shared[np.searchsorted(grams, g)]
-            start, end, anchor, doc, place, g = (x[use] for x in (start, end, anchor, doc, place, g))
-            size = end - start
-            same = mix(span_hash(s, start, end) + size.astype(_U))
-            twin = _twins(data, start, size, same, ids[doc])
-            sent = ~twin
-            parts.append((g, ids[doc], keys[doc], place, size, anchor - start, same, twin))
-            contents.append(data[ranges(start[sent], size[sent])])
+        parts: list[tuple] = []
+        contents: list[np.ndarray] = []
+        del found
+        held.reverse()
+        while held:
+            data, g, same, start, size, anchor, row, place = held.pop()
+            use = np.flatnonzero(shared[np.searchsorted(grams, g)])
+            g, same, start, size, anchor, row, place = (x[use] for x in (g, same, start, size, anchor, row, place))
+            twin = _twins(data, start, size, same, ids[row])
+            parts.append((g, row, place, size, anchor, same, twin))
+            contents.append(data[ranges(start[~twin].astype(np.int64), size[~twin].astype(np.int64))])
         if not parts:
             return nothing
-        g, ids, keys, place, size, anchor, same, twin = (np.concatenate(c) for c in zip(*parts))
+        g, row, place, size, anchor, same, twin = (np.concatenate(c) for c in zip(*parts))
         text = np.concatenate(contents)
-        length = np.where(twin, 0, size)
+        del parts, contents
+        length = np.where(twin, 0, size).astype(np.int64)
         begin = np.cumsum(length) - length
         # The chunks of the block hold equal stretches, too.
         rest = np.flatnonzero(~twin)
-        twin[rest] = _twins(text, begin[rest], size[rest], same[rest], ids[rest])
-        length = np.where(twin, 0, size)
+        twin[rest] = _twins(text, begin[rest], size[rest], same[rest], ids[row[rest]])
+        length[twin] = 0
         bucket = np.where(twin, block % deal, _bucket(g, deal, bits))
-        by = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-        out, numbers = [], []
+        own = rank[row]
+        by = np.lexsort((own, bucket))
+        bucket, own, who, place, size, anchor, twin, begin, length = (x[by] for x in (bucket, own, ids[row], place, size, anchor, twin, begin, length))
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        out = []
         for a, z in zip(edges, np.append(edges[1:], len(by))):
-            x = by[a:z]
-            own, inv = np.unique(np.stack([ids[x], keys[x]], 1), axis=0, return_inverse=True)
-            columns = (inv.ravel().astype(narrow(len(own))), place[x].astype(narrow(int(place[x].max()))), size[x].astype(narrow(2 * least)), anchor[x].astype(narrow(least)))
-            out.append(packed(own[:, 0].copy(), own[:, 1].copy(), np.full(len(own), block, np.int32), *columns, twin[x], text[ranges(begin[x], length[x])]))
-            numbers.append(bucket[x[0]])
+            numbers = place[a:z].astype(narrow(int(place[a:z].max()))), size[a:z], anchor[a:z], twin[a:z]
+            out.append(packed(np.full(1, block), *_steps(own[a:z]), *_steps(who[a:z]), *numbers, text[ranges(begin[a:z], length[a:z])]))
         trim()
-        return pa.table({"bucket": pa.array(numbers, pa.int32()), "data": pa.array(out, pa.binary())})
+        return pa.table({"bucket": pa.array(bucket[edges], pa.int32()), "data": pa.array(out, pa.binary())})
 
     return run
 
@@ -426,23 +463,44 @@ def _windows(forth: Suffixes, back: Suffixes, count: np.ndarray, anchor: np.ndar
     return of[a], x[a], x[z] + least
 
 
-def _reduce(least: int):
+def _turns(text: np.ndarray, at: np.ndarray, q: int, turns: int) -> np.ndarray:
+    """The turn of each stretch: stretches whose anchors, at `at`, have equal q-grams share it."""
+    h = np.zeros(len(at), _U)
+    for k in range(q if turns > 1 else 0):
+        h = h * _U(BASE) + text[at + k].astype(_U)
+    return ((mix(h) >> _U(32)) * _U(turns) >> _U(32)).astype(np.int64)
+
+
+def _reduce(least: int, turn: int):
     def run(t: pa.Table) -> pa.Table:
-        docs, keys, blocks, pos, size, anchor, text, spans = ([] for _ in range(8))
+        got: list[list[np.ndarray]] = [[] for _ in range(8)]
         for b in t.column("data"):
-            ids, key, block, own, at, n, a, twin, data = unpacked(b.as_py())
-            spans.append((ids[own[twin]], key[own[twin]], block[own[twin]], at[twin], n[twin].astype(np.int64)))
-            sent = ~twin
-            for out, v in zip((docs, keys, blocks, pos, size, anchor, text), (ids[own[sent]], key[own[sent]], block[own[sent]], at[sent], n[sent].astype(np.int64), a[sent].astype(np.int64), data)):
+            block, r, rs, i, more, place, size, anchor, twin, text = unpacked(b.as_py())
+            for out, v in zip(got, (np.repeat(block, len(size)), _from_steps(r, rs), _from_steps(i, more), place, size, anchor, twin, text)):
                 out.append(v)
-        docs, keys, blocks, pos, size, anchor, text = (np.concatenate(v) for v in (docs, keys, blocks, pos, size, anchor, text))
-        which, a, z = repeats(text, np.cumsum(size) - size, size, anchor, docs, least)
-        spans.append((docs[which], keys[which], blocks[which], pos[which] + a, z - a))
-        doc, key, block, at, n = (np.concatenate(v) for v in zip(*spans))
-        by = np.lexsort((at, doc, block))
-        block = block[by]
+        columns = []
+        while got:
+            columns.append(np.concatenate(got.pop(0)))
+        blocks, rank, ids, place, size, anchor, twin, text = columns
+        gone = np.flatnonzero(twin)
+        spans = [(gone, np.zeros(len(gone), np.int64), size[gone].astype(np.int64))]
+        sent = np.flatnonzero(~twin)
+        length = size[sent].astype(np.int64)
+        begin = np.cumsum(length) - length
+        of = _turns(text, begin + anchor[sent], gram(least), -(-len(text) // turn))
+        by = np.argsort(of, kind="stable")
+        edges = np.flatnonzero(np.diff(of[by], prepend=-1))
+        for a, z in zip(edges, np.append(edges[1:], len(by))):
+            x = np.sort(by[a:z])
+            n, o = length[x], sent[x]
+            which, a, z = repeats(text[ranges(begin[x], n)], np.cumsum(n) - n, n, anchor[o].astype(np.int64), ids[o], least)
+            spans.append((o[which], a, z - a))
+        o, a, n = (np.concatenate(v) for v in zip(*spans))
+        block, own, at = blocks[o], rank[o], place[o] + a
+        by = np.lexsort((at, own, block))
+        block, own, at, n = (v[by] for v in (block, own, at, n.astype(narrow(2 * least))))
         edges = np.flatnonzero(np.diff(block, prepend=-1))
-        rows = [packed(doc[x], key[x], at[x], n[x].astype(narrow(2 * least))) for x in np.split(by, edges[1:])] if len(edges) else []
+        rows = [packed(*_steps(own[a:z]), at[a:z].astype(narrow(int(at[a:z].max()))), n[a:z]) for a, z in zip(edges, np.append(edges[1:], len(by)))]
         trim()
         return pa.table({"block": pa.array(block[edges], pa.int32()), "spans": pa.array(rows, pa.binary())})
 
@@ -452,37 +510,38 @@ def _reduce(least: int):
 def _keep(texts_too: bool, carried: int):
     def run(t: pa.Table, spans: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        rows = t.num_rows
-        empty = np.zeros(0, np.int64)
-        got = [unpacked(b.as_py()) for b in spans.column("spans")] or [[empty] * 4]
-        doc, key, at, n = (np.concatenate(c) for c in zip(*got))
-        column = t.column("text").combine_chunks() if rows else pa.array([], pa.large_string())
-        data, off = utf8(column)
-        keys = text_key(data, off)
-        own = {}
-        for i, (d, k) in enumerate(zip(t.column("doc_id").to_pylist(), keys.tolist())):
-            own.setdefault((d, k), []).append(i)
-        change = np.zeros(len(data) + 1, np.int32)
-        if len(doc):
-            by = np.lexsort((key, doc))
-            doc, key, at, n = (v[by] for v in (doc, key, at, n))
-            edges = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-            for a, z in zip(edges, np.append(edges[1:], len(doc))):
-                for i in own.get((int(doc[a]), int(key[a])), ()):
-                    np.add.at(change, off[i] + at[a:z], 1)
-                    np.add.at(change, off[i] + at[a:z] + n[a:z], -1)
-        gone = np.cumsum(change[:-1]) > 0
-        begin = gone.copy()
-        begin[1:] &= ~gone[:-1]
-        begin[off[:-1][off[:-1] < len(data)]] = gone[off[:-1][off[:-1] < len(data)]]
-        total = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[off]) if len(data) else np.zeros(rows, np.int64)
-        left = [data[a:z][~gone[a:z]].tobytes() for a, z in zip(off, off[1:])]
-        out = {
-            "doc_id": t.column("doc_id"), "n_bytes": pa.array(np.diff(off).astype(np.int64)), "n_removed": pa.array(total(gone).astype(np.int64)),
-            "n_spans": pa.array(total(begin).astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()),
-        }
+        rank, _ = _ranks(t)
+        got = [(_from_steps(r, rs), at, n) for r, rs, at, n in (unpacked(b.as_py()) for b in spans.column("spans"))]
+        own, at, n = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
+        by = np.argsort(own, kind="stable")
+        own, at, n = own[by], at[by], n[by]
+        lo, hi = np.searchsorted(own, rank), np.searchsorted(own, rank, "right")
+        sizes, removed, runs = ([np.zeros(0, np.int64)] for _ in range(3))
+        hashes, left = [], []
+        for base, b in _slices(t):
+            data, off = utf8(b.column(1))
+            mine = slice(base, base + len(b))
+            count = hi[mine] - lo[mine]
+            k = ranges(lo[mine], count)
+            start = np.repeat(off[:-1], count) + at[k]
+            change = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + n[k], minlength=len(data) + 1)
+            gone = np.cumsum(change[:-1]) > 0
+            begin = gone.copy()
+            begin[1:] &= ~gone[:-1]
+            first = off[:-1][off[:-1] < len(data)]
+            begin[first] = gone[first]
+            sizes.append(np.diff(off))
+            for out, m in ((removed, gone), (runs, begin)):
+                out.append(np.diff(np.concatenate([[0], np.cumsum(m)])[off]))
+            for a, z in zip(off, off[1:]):
+                kept = data[a:z][~gone[a:z]].tobytes()
+                hashes.append(hashlib.sha256(kept).hexdigest())
+                if texts_too:
+                    left.append(kept.decode("utf-8", "ignore"))
+        out = {"doc_id": t.column("doc_id")} | {name: pa.array(np.concatenate(v), pa.int64()) for name, v in (("n_bytes", sizes), ("n_removed", removed), ("n_spans", runs))}
+        out["kept_sha256"] = pa.array(hashes, pa.string())
         if texts_too:
-            out["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
+            out["kept_text"] = pa.array(left, pa.string())
         trim()
         return pa.table(out | {f"carried_{k}": t.column(f"carried_{k}") for k in range(carried)})
 
@@ -511,7 +570,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     offers = base.groupBy("block").applyInArrow(_offer(least, bits, deal), "bucket int, block int, data binary")
     answers = offers.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, data binary")
     sent = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut(least, bits, deal), "bucket int, data binary")
-    spans = sent.groupBy("bucket").applyInArrow(_reduce(least), "block int, spans binary")
+    spans = sent.groupBy("bucket").applyInArrow(_reduce(least, TURN), "block int, spans binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", carried_{k} {dict(docs.dtypes)[c]}" for k, c in enumerate(carry))
     out = base.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_keep(with_text, len(carry)), schema)

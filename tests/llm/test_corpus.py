@@ -312,6 +312,19 @@ def test_text_that_every_document_has(spark, monkeypatch):
     assert got == brute.repeats(rows)
 
 
+def test_buckets_in_turns(spark, monkeypatch):
+    """A bucket's stretches, compared a few at a time, meet all the same."""
+    monkeypatch.setattr(suffix_dedup, "TURN", 300)
+    rows = brute.corpus(120, 8)
+    got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.repeats(rows)
+
+
+def test_pieces_stay_few():
+    """What a block sends to a bucket is one piece: at 6 GB of Parquet (14 GB of text) of 20,000 bytes of text at least."""
+    assert suffix_dedup.BLOCK * suffix_dedup.BUCKET / 14e9 >= 20_000
+
+
 def test_buckets_follow_the_order_of_hashes():
     for bits in (24, 32, 40, 60):
         g = np.sort(np.random.default_rng(1).integers(0, 1 << bits, 5000).astype(np.uint64))
