@@ -504,6 +504,22 @@ def test_pipeline_of_odd_rows(spark):
     assert all(stage(spark, bare, "").count() == 2 for _, stage in p.STAGES)
 
 
+def test_suffix_stage_in_turns(spark, monkeypatch):
+    """Stage 3 on blocks and buckets worked off in parts: each row keeps its own columns."""
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(suffix_dedup, "TURN", 300)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 2_000)
+    rows = brute.corpus(120, 9)
+    docs = spark.createDataFrame([(i, t, f"s{i}", len(t or "")) for i, t in rows], DOCS + ", source string, n_chars long").repartition(5)
+    got = p.suffix_dedup(spark, docs, "").collect()
+    want = brute.repeats(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.source, r.n_chars) == (f"s{r.doc_id}", len(r.text))
+        assert not r.text.isascii() or hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][3]
+
+
 def test_language_decisions_follow_the_row(spark):
     """A row that shares its doc_id with a rejected one stays."""
     import corpus_pipeline as p
