@@ -9,7 +9,8 @@ meet by the rarest of WIDE retained values instead, so that a passage that very
 hold lists only those it makes up almost whole. A list that is still longer is dealt into blocks
 of bounded size, with one member in each. Within a block, documents of nearly one size are compared by the estimate
 from the union's sketch, in memory, and a spanning set of the pairs that pass goes on to be
-verified on the full shingle sets. A second round compares all that the verified links have
+verified on the full shingle sets. Of lists with the same members, as copies bring them about, one
+is kept, since each row of a list takes a sketch along. A second round compares all that the verified links have
 left apart: a list's documents outside its main component meet every block, in turns of a
 block's size. Links end as
 connected components.
@@ -292,6 +293,14 @@ def _lists(kept: DataFrame, k: int, percent: int) -> DataFrame:
     return listed.select("sig", "n", "weight", F.col("x.value").alias("value"), F.col("x.df").alias("df"))
 
 
+def _distinct(listed: DataFrame) -> DataFrame:
+    """One each of the lists that have the same members, and none of a single member: the others
+    bring no further pairs together. df becomes the number of members."""
+    each = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("sig")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("b"))
+    chosen = each.where("members > 1").groupBy("members", "a", "b").agg(F.min("value").alias("value"))
+    return listed.drop("df").join(chosen.select("value", F.col("members").alias("df")), "value")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5, with_key: bool = False) -> DataFrame:
     """Links documents with 100 * shared shingles >= percent * shingles in their union.
 
@@ -322,6 +331,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = 5, with_
     if not crowded.isEmpty():
         again = _lists(crowded, WIDE, percent).withColumn("value", F.xxhash64("value", F.lit(WIDE)))
         listed = settle(listed.where(F.col("df") <= BLOCK).unionByName(again))
+    listed = settle(_distinct(listed))
+    release(spark)
     deal = buckets(spark, listed.count(), 2_500)
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("sig"), blocks).cast("int")

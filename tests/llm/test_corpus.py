@@ -194,6 +194,13 @@ def test_near_duplicates_of_odd_tables(spark):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_lists_of_the_same_members(spark):
+    """Near copies share many values: one list of them stays, and none of a single member."""
+    rows = [(bytes([i]), 40, 0, v, 3) for i in (1, 2, 3) for v in range(16)] + [(bytes([i]), 40, 0, 50, 9) for i in (3, 4)] + [(b"5", 40, 0, 60, 2)]
+    got = near_dup._distinct(spark.createDataFrame(rows, "sig binary, n long, weight long, value long, df long")).collect()
+    assert sorted((bytes(r.sig), r.value, r.df) for r in got) == [(b"\x01", 0, 3), (b"\x02", 0, 3), (b"\x03", 0, 3), (b"\x03", 50, 2), (b"\x04", 50, 2)]
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Lists longer than a block lose no link (the blocks are made small here)."""
     monkeypatch.setattr(near_dup, "BLOCK", 8)
