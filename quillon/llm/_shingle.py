@@ -52,7 +52,9 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """S with S[i] = sum over j < i of code(data[j]) * BASE**-j; see span_hash."""
     _, down = Powers.of(len(data) + 1)
     s = np.zeros(len(data) + 1, _U)
-    np.cumsum(CODE[data] * down[: len(data)], dtype=_U, out=s[1:])
+    np.take(CODE, data, out=s[1:], mode="clip")
+    s[1:] *= down[: len(data)]
+    np.cumsum(s[1:], dtype=_U, out=s[1:])
     return s
 
 
@@ -62,6 +64,14 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (s[end] - s[start]) * up[start]
 
 
+def all_spans(s: np.ndarray, size: int) -> np.ndarray:
+    """span_hash() of every span of so many bytes, in order."""
+    up, _ = Powers.of(len(s))
+    out = s[size:] - s[: len(s) - size]
+    out *= up[: len(out)]
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column laid end to end, and the n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._common import parts, texts_columns, trim
-from quillon.llm._shingle import BASE, by_bytes, mix, prefix_hash, span_hash, utf8
+from quillon.llm._shingle import BASE, Powers, all_spans, by_bytes, mix, prefix_hash, span_hash, utf8
 
 _U = np.uint64
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -93,25 +93,28 @@ def stretches(data: np.ndarray, off: np.ndarray, least: int, s: np.ndarray) -> t
     n, q = len(data), gram(least)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
-    at = np.arange(n - q + 1)
     bits = _U(max(24, int(n).bit_length()))
     low = (_U(1) << bits) - _U(1)
-    m = (mix(span_hash(s, at, at + q)) & ~low) | at.astype(_U)
+    m = mix(all_spans(s, q))
+    m &= ~low
+    m |= np.arange(n - q + 1, dtype=_U)
     span, width = least - q + 1, 1
     while 2 * width <= span:
         m = np.minimum(m[:-width], m[width:])
         width *= 2
     if width < span:
         m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
-    anchor = (m & low).astype(np.int64)  # of the window that starts here
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(anchor)]
-    ok = np.arange(len(anchor)) + least <= off[1:][doc]
-    first = ok.copy()
-    first[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-    last = ok.copy()
-    last[:-1] &= ~ok[1:] | first[1:]
+    # m's low bits are the anchor of the window that starts here, so equal ones have one anchor.
+    size = np.diff(off)
+    windows = np.maximum(size - least + 1, 0)
+    ok = np.repeat(np.tile([True, False], len(size)), np.stack([windows, size - windows], 1).ravel())[: len(m)]
+    first = np.ones(len(m), bool)
+    np.not_equal(m[1:], m[:-1], out=first[1:])
+    first[off[:-1][off[:-1] < len(m)]] = True
+    first &= ok
     start = np.flatnonzero(first)
-    return start, np.flatnonzero(last) + least, anchor[start]
+    stop = (off[:-1] + windows)[np.searchsorted(off, start, "right") - 1]  # of its text's windows
+    return start, np.minimum(np.append(start[1:], n), stop) - 1 + least, (m[start] & low).astype(np.int64)
 
 
 def _pieces(column: pa.Array, least: int) -> Iterator[tuple]:
@@ -145,8 +148,12 @@ def _slices(t: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:
 def _ranks(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Each row's place among the block's distinct doc_ids and texts, by doc_id (-1 for a null one),
     and its doc_id: the same whatever the rows' order."""
-    keys = np.concatenate([np.zeros(0, np.int64), *(text_key(*utf8(b.column(1))) for _, b in _slices(t))])
     known, ids = t.column("doc_id").is_valid().to_numpy(), t.column("doc_id").fill_null(0).to_numpy()
+    order = np.sort(ids)
+    again = np.flatnonzero(np.isin(ids, order[1:][order[1:] == order[:-1]]) & known)
+    keys = np.zeros(len(ids), np.int64)  # only rows that repeat a doc_id need one
+    if len(again):
+        keys[again] = np.concatenate([text_key(*utf8(b.column(1))) for _, b in _slices(t.take(pa.array(again)))])
     by = np.lexsort((keys, ids, ~known))
     new = np.zeros(len(by), bool)
     new[1:] = (ids[by][1:] != ids[by][:-1]) | (keys[by][1:] != keys[by][:-1])
@@ -183,7 +190,7 @@ def _block_grams(t: pa.Table, least: int, bits: int) -> tuple[np.ndarray, np.nda
         found.append(_grams(s, anchor, bits, gram(least)))
         last.append(ids[row])
     g, d = np.concatenate(found), np.concatenate(last)
-    by = np.argsort(g, kind="stable")
+    by = np.argsort(g)
     g, d = g[by], d[by]
     edges = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
     several = np.minimum.reduceat(d, edges) < np.maximum.reduceat(d, edges) if len(g) else np.zeros(0, bool)
@@ -250,18 +257,25 @@ def _cut(least: int, bits: int, deal: int):
             same = mix(span_hash(s, start, end) + size.astype(_U))
             held.append((data, g, same, start.astype(np.int32), size.astype(narrow(2 * least)), (anchor - start).astype(narrow(least)), row.astype(np.int32), place.astype(narrow(int(place.max(initial=0))))))
             found.append(g)
-        grams = np.unique(np.concatenate(found))
+        grams = np.concatenate(found)
+        by = np.argsort(grams)
+        new = np.append(True, np.diff(grams[by]) != 0)[: len(by)]
+        number = np.empty(len(by), np.int32)  # of each stretch's gram, among the distinct ones
+        number[by] = np.cumsum(new) - 1
+        grams = grams[by[new]]
         shared, of = np.zeros(len(grams), bool), _bucket(grams, deal, bits)
         for i, b in zip(answers.column("bucket").to_pylist(), answers.column("data")):
             a, z = np.searchsorted(of, [i, i + 1])
             shared[a:z] = np.unpackbits(np.frombuffer(b.as_py(), np.uint8))[: z - a]
         parts: list[tuple] = []
         contents: list[np.ndarray] = []
-        del found
+        del found, by, new
         held.reverse()
+        at = 0
         while held:
             data, g, same, start, size, anchor, row, place = held.pop()
-            use = np.flatnonzero(shared[np.searchsorted(grams, g)])
+            use = np.flatnonzero(shared[number[at : at + len(g)]])
+            at += len(g)
             g, same, start, size, anchor, row, place = (x[use] for x in (g, same, start, size, anchor, row, place))
             twin = _twins(data, start, size, same, ids[row])
             parts.append((g, row, place, size, anchor, same, twin))
@@ -296,8 +310,10 @@ def _twins(data: np.ndarray, start: np.ndarray, size: np.ndarray, same: np.ndarr
     """Of stretches of data, those whose bytes a stretch of a smaller doc_id has (same: their hashes):
     the smallest doc_id's goes on, later ones' bytes go at once."""
     twin = np.zeros(len(start), bool)
-    if len(start):
-        order = np.lexsort((start, ids, same))
+    order = np.sort(same)
+    again = np.flatnonzero(np.isin(same, order[1:][order[1:] == order[:-1]]))
+    if len(again):
+        order = again[np.lexsort((start[again], ids[again], same[again]))]
         head = np.ones(len(order), bool)
         head[1:] = same[order][1:] != same[order][:-1]
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
@@ -317,9 +333,11 @@ class Suffixes:
         """Length of the common extension of suffixes i and j, by binary search."""
         a, b = self.at[i], self.at[j]
         lo, hi = np.zeros(len(a), np.int64), np.minimum(self.size[i], self.size[j])
+        s, (up, _) = self.s, Powers.of(len(self.s))
+        sa, sb, ua, ub = s[a], s[b], up[a], up[b]
         while len(lo) and (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            eq = span_hash(self.s, a, a + mid) == span_hash(self.s, b, b + mid)
+            mid = (lo + hi + 1) >> 1
+            eq = (s[a + mid] - sa) * ua == (s[b + mid] - sb) * ub  # span_hash()
             lo, hi = np.where(eq, mid, lo), np.where(eq, hi, mid - 1)
         return lo
 
@@ -448,7 +466,7 @@ def _windows(forth: Suffixes, back: Suffixes, count: np.ndarray, anchor: np.ndar
             k[order] = np.cumsum(common < size)
             kind.append(k[use])
         key = kind[0] * (n + 1) + kind[1]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         edges = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
         smallest = np.repeat(np.minimum.reduceat(ids[use][by], edges), np.diff(np.append(edges, len(by))))
         gone = use[by[ids[use][by] > smallest]]

@@ -527,6 +527,42 @@ def test_suffix_stage_in_turns(spark, monkeypatch):
         assert not r.text.isascii() or hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][3]
 
 
+def test_suffix_work_in_place(monkeypatch):
+    """Stage 3 looks hashes up for stretches, not for bytes, and hashes whole texts only where a
+    doc_id repeats; stretches of odd texts are those of a plain search."""
+    looked, keyed = [], []
+    span, key = suffix_dedup.span_hash, suffix_dedup.text_key
+    monkeypatch.setattr(suffix_dedup, "span_hash", lambda s, a, z: looked.append(len(a)) or span(s, a, z))
+    monkeypatch.setattr(suffix_dedup, "text_key", lambda data, off: keyed.append(len(off) - 1) or key(data, off))
+    rows = brute.corpus(120, 9)
+    t = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([x or "" for _, x in rows])})
+    suffix_dedup._block_grams(t, 50, 40)
+    assert 0 < sum(looked) < sum(len((x or "").encode()) for _, x in rows) // 5
+    ids = [i for i, _ in rows]
+    suffix_dedup._ranks(t)
+    assert sum(keyed) == sum(ids.count(i) > 1 for i in ids)
+
+    texts = ["", "a", "", "ab" * 9, "a" * 40, "", "xyz" * 5, "the cat and the dog and the cat", ""]
+    data, off = suffix_dedup.utf8(pa.array(texts))
+    s = suffix_dedup.prefix_hash(data)
+    for least in (1, 2, 7, 20):
+        q = suffix_dedup.gram(least)
+        at = np.arange(len(data) - q + 1)
+        order = suffix_dedup.mix(span(s, at, at + q)) >> np.uint64(24)
+        want: list[list[int]] = []
+        for a, z in zip(off, off[1:]):
+            last = None
+            for i in range(a, z - least + 1):
+                anchor = min(range(i, i + least - q + 1), key=lambda j: (order[j], j))
+                if anchor == last:
+                    want[-1][1] = i + least
+                else:
+                    want.append([i, i + least, anchor])
+                last = anchor
+        got = suffix_dedup.stretches(data, off, least, s)
+        assert [list(map(int, x)) for x in zip(*got)] == [list(map(int, x)) for x in want]
+
+
 def test_language_decisions_follow_the_row(spark):
     """A row that shares its doc_id with a rejected one stays."""
     import corpus_pipeline as p
