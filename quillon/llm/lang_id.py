@@ -22,6 +22,8 @@ _U = np.uint64
 #: Labelled rows that the text model is fitted on at most, drawn for each label by a hash.
 SAMPLE = 2000
 SLOTS = 1 << 16
+#: Bytes of text that are scored at a time; each takes dozens of bytes of memory for a while.
+BATCH = 500_000
 #: The class of what fits no known language: bytes as likely as any other.
 UNKNOWN = "und"
 #: Weight of a parent level, in documents, for host and domain; and of the text's n-grams,
@@ -151,7 +153,7 @@ def identify(rows: DataFrame, model: TextModel, *, least: float = 0.3) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for whole in batches:
-            for b in by_bytes(whole, 1, 2_000_000):
+            for b in by_bytes(whole, 1, BATCH):
                 scores, count = m.score(b.column(1))
                 logs = (scores - scores.max(1, keepdims=True)) * TEMPER
                 best = np.where(count > 0, scores.argmax(1), -1)

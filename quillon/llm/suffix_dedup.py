@@ -39,7 +39,8 @@ _U = np.uint64
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 #: Bytes of text in a chunk, in a block of documents, and for each bucket of stretches; bytes of a
 #: bucket's stretches, and windows, that are compared at a time (a group of windows is never split).
-BATCH, BLOCK, BUCKET, TURN, WINDOWS = 250_000, 16_000_000, 32_000_000, 2_000_000, 250_000
+#: Each byte in a turn, or looked up by its place, takes dozens of bytes of memory for a while.
+BATCH, BLOCK, BUCKET, TURN, WINDOWS = 250_000, 16_000_000, 32_000_000, 500_000, 250_000
 #: Bytes of a q-gram, where the strings looked for are three times as long at least.
 GRAM = 16
 
@@ -76,12 +77,29 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(size.sum())
 
 
+def _by_size(size: np.ndarray) -> Iterator[slice]:
+    """Slices of entries that have about BATCH bytes together."""
+    turn = (np.cumsum(size, dtype=np.int64) - size) // BATCH
+    edges = np.flatnonzero(np.diff(turn, prepend=-1))
+    yield from map(slice, edges, np.append(edges[1:], len(size)))
+
+
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start:start+size] of each entry, laid end to end."""
+    out, at = np.empty(int(size.sum()), data.dtype), 0
+    for i in _by_size(size):
+        part = data[ranges(start[i], size[i])]
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether data[a:a+size] equals data[b:b+size], for each entry."""
     out = np.ones(len(a), bool)
     some = np.flatnonzero(size > 0)
-    for at in range(0, len(some), 50_000):
-        i = some[at : at + 50_000]
+    for part in _by_size(size[some].astype(np.int64)):
+        i = some[part]
         n = size[i].astype(np.int64)
         wrong = data[ranges(a[i], n)] != data[ranges(b[i], n)]
         out[i] = ~np.logical_or.reduceat(wrong, np.cumsum(n) - n)
@@ -139,7 +157,7 @@ def text_key(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _slices(t: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:
     """A table's doc_ids and texts, BATCH bytes at a time, each with its first row's number."""
     at = 0
-    for batch in t.select(["doc_id", "text"]).combine_chunks().to_batches():
+    for batch in t.select(["doc_id", "text"]).to_batches():
         for b in by_bytes(batch, 1, BATCH):
             yield at, b
             at += len(b)
@@ -283,8 +301,9 @@ def _cut(least: int, bits: int, deal: int):
         if not parts:
             return nothing
         g, row, place, size, anchor, same, twin = (np.concatenate(c) for c in zip(*parts))
+        del parts
         text = np.concatenate(contents)
-        del parts, contents
+        del contents
         length = np.where(twin, 0, size).astype(np.int64)
         begin = np.cumsum(length) - length
         # The chunks of the block hold equal stretches, too.
@@ -292,14 +311,15 @@ def _cut(least: int, bits: int, deal: int):
         twin[rest] = _twins(text, begin[rest], size[rest], same[rest], ids[row[rest]])
         length[twin] = 0
         bucket = np.where(twin, block % deal, _bucket(g, deal, bits))
-        own = rank[row]
-        by = np.lexsort((own, bucket))
-        bucket, own, who, place, size, anchor, twin, begin, length = (x[by] for x in (bucket, own, ids[row], place, size, anchor, twin, begin, length))
+        del g, same, rest
+        by = np.lexsort((rank[row], bucket))
+        bucket = bucket[by]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
         out = []
         for a, z in zip(edges, np.append(edges[1:], len(by))):
-            numbers = place[a:z].astype(narrow(int(place[a:z].max()))), size[a:z], anchor[a:z], twin[a:z]
-            out.append(packed(np.full(1, block), *_steps(own[a:z]), *_steps(who[a:z]), *numbers, text[ranges(begin[a:z], length[a:z])]))
+            x = by[a:z]
+            numbers = place[x].astype(narrow(int(place[x].max()))), size[x], anchor[x], twin[x]
+            out.append(packed(np.full(1, block), *_steps(rank[row[x]]), *_steps(ids[row[x]]), *numbers, gathered(text, begin[x], length[x])))
         trim()
         return pa.table({"bucket": pa.array(bucket[edges], pa.int32()), "data": pa.array(out, pa.binary())})
 
@@ -491,15 +511,19 @@ def _turns(text: np.ndarray, at: np.ndarray, q: int, turns: int) -> np.ndarray:
 
 def _reduce(least: int, turn: int):
     def run(t: pa.Table) -> pa.Table:
-        got: list[list[np.ndarray]] = [[] for _ in range(8)]
+        got: list[list[np.ndarray]] = [[] for _ in range(7)]
+        texts = bytearray()
         for b in t.column("data"):
             block, r, rs, i, more, place, size, anchor, twin, text = unpacked(b.as_py())
-            for out, v in zip(got, (np.repeat(block, len(size)), _from_steps(r, rs), _from_steps(i, more), place, size, anchor, twin, text)):
+            texts += text.data
+            # Copies, as a view would keep the whole piece, its text too.
+            for out, v in zip(got, (np.repeat(block, len(size)), _from_steps(r, rs), _from_steps(i, more), place.copy(), size.copy(), anchor.copy(), twin.copy())):
                 out.append(v)
         columns = []
         while got:
             columns.append(np.concatenate(got.pop(0)))
-        blocks, rank, ids, place, size, anchor, twin, text = columns
+        blocks, rank, ids, place, size, anchor, twin = columns
+        text = np.frombuffer(texts, np.uint8)
         gone = np.flatnonzero(twin)
         spans = [(gone, np.zeros(len(gone), np.int64), size[gone].astype(np.int64))]
         sent = np.flatnonzero(~twin)
@@ -511,7 +535,7 @@ def _reduce(least: int, turn: int):
         for a, z in zip(edges, np.append(edges[1:], len(by))):
             x = np.sort(by[a:z])
             n, o = length[x], sent[x]
-            which, a, z = repeats(text[ranges(begin[x], n)], np.cumsum(n) - n, n, anchor[o].astype(np.int64), ids[o], least)
+            which, a, z = repeats(gathered(text, begin[x], n), np.cumsum(n) - n, n, anchor[o].astype(np.int64), ids[o], least)
             spans.append((o[which], a, z - a))
         o, a, n = (np.concatenate(v) for v in zip(*spans))
         block, own, at = blocks[o], rank[o], place[o] + a

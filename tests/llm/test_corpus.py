@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from math import comb
 
@@ -563,6 +564,60 @@ def test_suffix_work_in_place(monkeypatch):
         assert [list(map(int, x)) for x in zip(*got)] == [list(map(int, x)) for x in want]
 
 
+def peak(work):
+    """What work() returns, and the MB that Python and numpy took for it at most."""
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_suffix_work():
+    """Two blocks with the same 4 MB of text: no step takes many times the text's bytes."""
+    r = np.random.default_rng(3)
+    texts = [bytes(r.integers(97, 123, 4_000, np.uint8)).decode() for _ in range(1_000)]
+    blocks = [pa.table({"doc_id": pa.array(range(k * 1_000, k * 1_000 + 1_000), pa.int64()), "text": pa.array(texts), "block": pa.array([k] * 1_000, pa.int32())}) for k in (0, 1)]
+    offers = pa.concat_tables([suffix_dedup._offer(50, 40, 1)(t) for t in blocks])
+    answers = suffix_dedup._answer(offers)
+    sent = []
+    for k, t in enumerate(blocks):
+        out, mb = peak(lambda: suffix_dedup._cut(50, 40, 1)(t, answers.filter(pa.array(answers.column("block").to_numpy() == k))))
+        assert mb < 120, mb
+        sent.append(out)
+    spans, mb = peak(lambda: suffix_dedup._reduce(50, suffix_dedup.TURN)(pa.concat_tables(sent)))
+    assert mb < 120, mb
+    for k, t in enumerate(blocks):
+        out = suffix_dedup._keep(False, 0)(t, spans.filter(pa.array(spans.column("block").to_numpy() == k)))
+        assert set(out.column("n_removed").to_pylist()) == {4_000 * k}
+
+    data = r.integers(0, 2, 4_000_000, np.uint8)
+    at, size = np.arange(50_000) * 80, np.full(50_000, 80, np.uint8)
+    same, mb = peak(lambda: suffix_dedup.same_bytes(data, at, at, size))
+    assert same.all() and mb < 30
+    none = np.zeros(0, np.int64)
+    assert len(suffix_dedup.gathered(data, none, none)) == 0
+    odd = np.array([0, 600_000, 0, 3, 0, 260_000])
+    assert (suffix_dedup.gathered(data, odd[::-1], odd) == np.concatenate([data[a : a + n] for a, n in zip(odd[::-1], odd)])).all()
+
+
+def test_memory_of_language_scores(spark, monkeypatch):
+    """A batch of 4 MB is scored in parts; a text longer than a part stands alone."""
+    scored = []
+    model = lang_id.TextModel.fit(["the cat and the dog", "le chat et le chien"], ["en", "fr"])
+    texts = ["the cat and the dog " * 200] * 1_000 + ["le chat et le chien " * 40_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), *(pa.array([""] * len(texts)),) * 2, pa.array([0] * len(texts), pa.int64())], names=["key", "text", "declared", "host", "row_key"])
+    found = []
+    monkeypatch.setattr(lang_id.TextModel, "score", lambda self, c, of=lang_id.TextModel.score: scored.append(c.nbytes) or of(self, c))
+    rows = spark.createDataFrame([(1, "the cat", "", "")], "key long, text string, declared string, host string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: found.append(f) or self.sparkSession.createDataFrame([], schema))
+    lang_id.identify(rows, model)
+    out, mb = peak(lambda: list(found[0](iter([batch]))))
+    assert [x for b in out for x in b.column("best").to_pylist()] == [0] * 1_000 + [1]
+    assert sorted(scored)[-2] < 700_000 and mb < 100, mb
+
+
 def test_language_decisions_follow_the_row(spark):
     """A row that shares its doc_id with a rejected one stays."""
     import corpus_pipeline as p
