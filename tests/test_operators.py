@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import pytest
@@ -46,6 +47,15 @@ def test_sign_test(spark):
     assert got[1][0] == 1.0 and got[2][0] == 1.0
 
 
+def test_sign_test_of_many_cases(spark):
+    """Where 2**-n is no double, and on both sides of the middle."""
+    rows = [(1200, 1100), (1100, 1200), (3498, 7847), (40, 23), (9, 9), (1, 0), (0, 4)]
+    two, one = metrics.sign_test(F.col("f"), F.col("b"))
+    for (f, b), got in zip(rows, spark.createDataFrame(rows, "f long, b long").select(two, one).collect()):
+        exact = lambda least: sum(math.comb(f + b, k) for k in range(least, f + b + 1)) / 2 ** (f + b)
+        assert got[0] == pytest.approx(min(1.0, 2 * exact(max(f, b))), abs=1e-9) and got[1] == pytest.approx(exact(f), abs=1e-9)
+
+
 def test_rules_of_combination(spark):
     df = spark.createDataFrame([(1, 0), (0, 0), (1, 1)], "a int, b int")
     assert [r[0] for r in df.select(judge.negated(F.col("a"), F.col("b"))).collect()] == [2, 0, 1]
