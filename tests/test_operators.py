@@ -6,11 +6,14 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from quillon.functions import text as T
-from quillon.operators import evidence, fuzzy, intervals, judge, metrics, rank, route, segment
+from quillon.functions.vectors import cosine
+from quillon.operators import evidence, fuzzy, intervals, judge, metrics, nearest, rank, route, segment
+from quillon.operators.settled import in_blocks
 from quillon.sources import jsonl
 from quillon.streaming import cases as streams
 
@@ -203,6 +206,34 @@ def test_intervals_against_a_scan(spark):
     assert intervals.max_concurrency(df.where("s < e"), "g").first().most == most
 
 
+def test_nearest_is_all_pairs(spark, monkeypatch):
+    """Odd vectors and ties too, over several blocks, as a join of all rows has them."""
+    rng = random.Random(3)
+    inf = float("inf")
+    odd = [None, [], [0.0] * 4, [1.0, None, 0.0, 2.0], [1.0, 2.0], [float("nan"), 1.0, 1.0, 1.0], [inf, 1.0, 0.0, 1.0], [1.0, 2.0]]
+    vectors = [[rng.choice((-1.0, 0.5, 2.0)) for _ in range(4)] for _ in range(150)] + [[rng.gauss(0, 1) for _ in range(4)] for _ in range(150)] + odd * 2
+    rng.shuffle(vectors)
+    rows = spark.createDataFrame([(i if i % 29 else i // 2, i % 7 if i % 11 else None, v) for i, v in enumerate(vectors)] + [(None, 1, [1.0, 0.0, 0.0, 0.0])], "vec_id long, label int, v array<float>")
+    queries = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("q"))
+    monkeypatch.setattr(nearest, "ROWS", 64)
+    monkeypatch.setattr(nearest, "ASKS", 32)
+    monkeypatch.setattr(nearest, "SCORES", 500)
+    order = (F.round("score", 6).desc(), "vec_id")
+    pairs = in_blocks(rows, queries, "query_id").where("vec_id <> query_id").withColumn("score", cosine(F.col("q"), F.col("v"))).drop("q", "v")
+    best = lambda p: rank.top_k(p, "query_id", 5, *order).select("query_id", "rank", F.round("score", 6).alias("s"))
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    assert rows_of(best(nearest.nearest(rows, queries, 5))) == rows_of(best(pairs))
+    one = spark.createDataFrame([(i, i % 7, v) for i, v in enumerate(vectors)], "vec_id long, label int, v array<float>")
+    ask = one.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    every = in_blocks(one, ask, "query_id").where("vec_id <> query_id").withColumn("score", cosine(F.col("q"), F.col("v")))
+    assert rows_of(rank.top_k(nearest.nearest(one, ask, 5), "query_id", 5, *order)) == rows_of(rank.top_k(every.select("query_id", "vec_id", "label", "score"), "query_id", 5, *order))
+    groups = lambda p: rank.top_k(p.groupBy("query_id", "label").agg(F.max(F.round("score", 6)).alias("score")), "query_id", 3, F.desc("score"), "label")
+    assert rows_of(groups(nearest.nearest(rows, queries, 3, by="label"))) == rows_of(groups(pairs))
+    half = [0.1234565, 1.0000005, -0.1234565, 2.5e-07, 5e-07, -5e-07, 0.9999995, 0.3]
+    got = spark.createDataFrame([(x,) for x in half], "x double").select(F.round("x", 6)).collect()
+    assert [round(float(x)) for x in nearest.half_up(np.array(half), 6)] == [round(r[0] * 1e6) for r in got]
+
+
 def test_fuzzy():
     assert fuzzy.partial_ratio("abcd", "xxabcdyy") == 100.0
     assert fuzzy.partial_ratio("abcd", "xxabxdyy") == pytest.approx(75.0)
