@@ -262,6 +262,32 @@ def test_fuzzy_pairs_are_all_pairs(spark):
     assert {k[1][:2] for k in want} >= {"in", "ed", "cu"}
 
 
+def test_words_meet_many_stretches():
+    """Texts on both sides, over several pieces, stretches and blocks of words: what is near is found, little else is."""
+    r = random.Random(11)
+    say = lambda n: "".join(r.choice("abcdefghijklmnop é😀") for _ in range(n))
+    asked = [say(n) for n in (1, 5, 63, 64, 65, 130, 300, 390)]
+    long = [say(r.randint(0, 600)) + "".join(c for c in t if r.random() > 0.06) + say(r.randint(0, 600)) for t in asked for _ in range(4)]
+    short = [t[lo : lo + r.randint(1, len(t))] for t in asked for lo in (0, len(t) // 3)]
+    found = [t for t in long + short + [say(n) for n in (1, 50, 64, 76, 436, 437, 512, 513, 900)] if t]
+    codes = np.zeros(0x110000, np.uint8)
+    letters = np.unique(fuzzy.points("".join(asked)))
+    codes[letters] = np.arange(1, len(letters) + 1)
+    held = fuzzy.Together(found, codes, len(letters) + 1, 391, 90.0)
+    n, hits = np.array([len(t) for t in found]), 0
+    for t in asked:
+        got = {*held.near_short(fuzzy.Short(t, 90.0, codes, len(letters) + 1), n >= len(t)), *held.near_long(t, n < len(t))}
+        for j, f in enumerate(found):
+            a, b = sorted((t, f), key=len)
+            within = [fuzzy.nearest_end(p, fuzzy.letters(p), b) <= fuzzy.edits(len(a), 90.0) * len(p) // len(a) for p in fuzzy.cut(a)]
+            assert (j in got) == any(within)
+            best = fuzzy.partial_ratio(t, f, 90.0)
+            assert best == (fuzzy.partial_ratio(t, f, 90.0, fuzzy.ends_within(a, b, fuzzy.edits(len(a), 90.0))) if a not in b else 100.0)
+            assert best < 90 or j in got
+            hits += best >= 90
+    assert hits > 30
+
+
 def test_edits_to_the_nearest_stretch():
     r = random.Random(7)
     texts = ["".join(r.choice("abcd é😀") for _ in range(r.choice([1, 5, 33, 63, 64]))) for _ in range(60)]
