@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import booklet, dispatch, evidence, judge, rank, route, segment
+from quillon.operators.scored import best, found
 from quillon.operators.settled import settle
 from quillon.plans import booklets
 from quillon.plans.catalog import query, table
 from quillon.plans.documents import ROUTE_SQL, opened
-from quillon.plans.ranking import BM25_SQL, best
+from quillon.plans.ranking import BM25_SQL
 
 #: Claims on the table's texts as cases: on a booklet (A), on a document (B), or faulty; some name no vote.
 CASES_SQL = f"""{ROUTE_SQL}, cs AS (SELECT item_id AS id, text, part, CASE WHEN item_id % 13 = 0 THEN NULL WHEN item_id % 3 = 2 THEN 'B' ELSE 'A' END AS task, 'src' || (item_id % 20) AS doc, item_id % 20 AS k, 1 + (item_id // 20) % 2 AS vote_no, item_id % 11 = 5 AS unknown FROM rt),
@@ -161,7 +162,7 @@ def translated_search(spark: SparkSession, d: str) -> DataFrame:
     """BM25 with the claim's translation, or with the claim itself where there is none."""
     said = judge.SaidJudge(F.when(F.col("item_id") % 3 != 0, F.replace("text", F.lit("th"), F.lit("sch"))))
     claims = said.ask(table(spark, d, "benchmark")).select("item_id", F.coalesce("answer", "text").alias("text"))
-    return best(rank.bm25(table(spark, d, "documents").select("doc_id", "text"), claims, "doc_id", "item_id"), 3).select("item_id", "doc_id", "rank")
+    return best(found(table(spark, d, "documents").select("doc_id", "text"), claims, "doc_id", "item_id"), {"bm25": 3}).select("item_id", "doc_id", "rank")
 
 
 _NEEDS = f"""{CASES_SQL}, nd AS (SELECT kd.*, CASE WHEN kind = 'passage' THEN d.n_chars > 3000 AND NOT d.lang = ['de', 'en', 'fr'][id % 3 + 1] ELSE false END AS needs FROM kd LEFT JOIN documents AS d ON d.doc_id = kd.id)"""

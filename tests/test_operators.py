@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.vectors import cosine
 from quillon.operators import evidence, fuzzy, intervals, judge, metrics, nearest, rank, route, segment
+from quillon.operators import scored as rankings
 from quillon.operators.settled import in_blocks
 from quillon.sources import jsonl
 from quillon.streaming import cases as streams
@@ -234,6 +235,31 @@ def test_nearest_is_all_pairs(spark, monkeypatch):
     assert [round(float(x)) for x in nearest.half_up(np.array(half), 6)] == [round(r[0] * 1e6) for r in got]
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_best_of_all_pairs(spark, monkeypatch, kind):
+    """The first by each ranker and by fusion, with many ties, in several blocks, as rankings of all pairs have them."""
+    r = random.Random(4)
+    words = ["lion", "zebra", "plant", "sea", "sky", "gnu", "ant", "elk", "emu", "owl"]
+    texts = [" ".join(r.choices(words[: r.randint(1, 10)], k=r.randint(1, 6))) for _ in range(400)] + ["", None, "none of them"]
+    key = F.col("doc").cast(kind)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(3).select(key.alias("doc"), "text")
+    q = spark.createDataFrame([(i, " ".join(r.sample(words, r.randint(1, 5)))) for i in range(9)] + [(9, "unheard"), (10, "")], "q int, text string")
+    monkeypatch.setattr(rankings, "BLOCK", 4)
+    pairs = rank.postings(docs, q, "doc", "q")
+    both = rank.bm25_of(pairs, "doc", "q").withColumnRenamed("score", "bm25").join(rank.shared_of(pairs, "doc", "q").withColumnRenamed("score", "terms"), ["q", "doc"])
+    every = both.withColumn("none", F.lit(0.0))
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    found = rankings.found(docs, q, "doc", "q")
+    assert len(found) > 1
+    got = rankings.best(found, {"bm25": 5, "terms": 4, "none": 3})
+    for name, k in (("bm25", 5), ("terms", 4), ("none", 3)):
+        want = rank.top_k(every, "q", k, F.round(name, 9).desc(), "doc").select("q", "doc", "rank", F.round("bm25", 9), F.col("terms").cast("long"))
+        assert rows_of(got.where(F.col("ranker") == name).select("q", "doc", "rank", F.round("score", 9), "shared")) == rows_of(want)
+    fused = rank.fused(every.select("q", "doc", F.col("bm25").alias("score")), every.select("q", "doc", F.col("terms").alias("score")), "q", "doc")
+    first = lambda s: rows_of(rank.top_k(s, "q", 5, F.round("score", 9).desc(), "doc").select("q", "doc", "rank", F.round("score", 9)))
+    assert first(rankings.fused(found, 5)) == first(fused)
+
+
 def test_fuzzy():
     assert fuzzy.partial_ratio("abcd", "xxabcdyy") == 100.0
     assert fuzzy.partial_ratio("abcd", "xxabxdyy") == pytest.approx(75.0)
