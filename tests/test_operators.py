@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -260,6 +261,20 @@ def test_best_of_all_pairs(spark, monkeypatch, kind):
     assert first(rankings.fused(found, 5)) == first(fused)
 
 
+def test_pieces_go_on_in_parts(spark):
+    """A worker holds the pieces of a few texts, not of a whole batch."""
+    got = list(segment.chunked(3).func(iter([pd.Series(["ab cd", None] * 600)])))
+    assert max(map(len, got)) <= segment.PART and [list(x) if x else None for y in got for x in y] == [["ab", "cd"], None] * 600
+
+
+def test_selectors_cut_texts_once(spark, sf):
+    from quillon.plans import catalog
+
+    catalog.load()
+    plan = catalog.QUERIES["task_b_selectors"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 1
+
+
 def test_fuzzy():
     assert fuzzy.partial_ratio("abcd", "xxabcdyy") == 100.0
     assert fuzzy.partial_ratio("abcd", "xxabxdyy") == pytest.approx(75.0)
