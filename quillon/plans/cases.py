@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import booklet, dispatch, evidence, judge, rank, route, segment
@@ -198,13 +198,19 @@ def task_b_selectors(spark: SparkSession, d: str) -> DataFrame:
     same = (F.col("doc_id") % 2) == 0
     first = F.trim(F.split(F.trim("text"), "\n")[0])
     paras = docs.select("doc_id", first.alias("first"), F.posexplode(segment.grouped(F.regexp_replace("text", r"^\s*[^\n]*\n", ""))).alias("para_no", "paragraph")).withColumn("claim_id", F.col("doc_id") % n).join(claims, "claim_id")
-    rows = []
-    for mode in ("cut4-l", "cut4-t", "cut4-h", "cut4-tf"):
-        text = dispatch.selector_text(dispatch.selector(mode, same), F.col("paragraph"), F.col("first"))
-        scored = paras.withColumn("score", rank.lexical(F.col("c"), rank.lexical_form(text)))
-        kept = rank.top_k(scored, "doc_id", dispatch.LIMITS["cut4"][1], F.round("score", 9).desc(), "para_no")
-        rows.append(kept.groupBy("doc_id").agg(F.lit(mode).alias("mode"), F.array_join(F.transform(F.array_sort(F.collect_list("para_no")), lambda x: x.cast("string")), ",").alias("kept")))
-    return reduce(DataFrame.unionByName, rows).select("doc_id", "mode", "kept")
+    # Texts are cut once, and each of the three forms that selectors compare is scored once.
+    form = lambda s: rank.lexical(F.col("c"), rank.lexical_form(dispatch.selector_text(F.lit(s), F.col("paragraph"), F.col("first"))))
+    each = paras.select("doc_id", "para_no", *(form(s).alias(s) for s in ("L", "T", "TF")))
+
+    def score(mode: str) -> Column:
+        s = dispatch.selector(mode, same)
+        return F.when(s == "L", F.col("L")).when(s == "T", F.col("T")).otherwise(F.col("TF"))
+
+    modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), score(m).alias("score")) for m in ("cut4-l", "cut4-t", "cut4-h", "cut4-tf"))))
+    each = each.select("doc_id", "para_no", modes.alias("x")).select("doc_id", "para_no", "x.mode", "x.score")
+    first_of = Window.partitionBy("doc_id", "mode").orderBy(F.round("score", 9).desc(), "para_no")
+    kept = each.withColumn("rank", F.row_number().over(first_of)).where(F.col("rank") <= dispatch.LIMITS["cut4"][1])
+    return kept.groupBy("doc_id", "mode").agg(F.array_join(F.transform(F.array_sort(F.collect_list("para_no")), lambda x: x.cast("string")), ",").alias("kept")).select("doc_id", "mode", "kept")
 
 
 @query()
