@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.vectors import cosine
@@ -275,6 +275,22 @@ def test_selectors_cut_texts_once(spark, sf):
     assert plan.count("Relation [doc_id") == 1
 
 
+def test_texts_are_not_sorted_for_numbers(spark, sf):
+    """Places of chunks, and the paragraphs that are cited, are found without the texts."""
+    from quillon.operators import context
+    from quillon.plans import catalog
+
+    catalog.load()
+    plan = catalog.QUERIES["cited_paragraphs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation [doc_id" not in plan  # what is left are the few pages that hold them
+    pages = spark.createDataFrame([("a", 2, "x " * 1200), ("a", 1, "y " * 700), ("b", 1, ""), ("b", 2, "z"), ("b", 3, None), ("b", 4, "w")], "doc string, page int, text string")
+    got = context.pieces(pages)
+    want = got.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("page", "piece_no")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 6
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert all("text#" not in below for line, below in zip(lines, lines[1:]) if "Window [" in line)
+
+
 def test_fuzzy():
     assert fuzzy.partial_ratio("abcd", "xxabcdyy") == 100.0
     assert fuzzy.partial_ratio("abcd", "xxabxdyy") == pytest.approx(75.0)
