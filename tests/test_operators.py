@@ -291,6 +291,16 @@ def test_texts_are_not_sorted_for_numbers(spark, sf):
     assert all("text#" not in below for line, below in zip(lines, lines[1:]) if "Window [" in line)
 
 
+def test_features_of_labelled_texts_only(spark, sf):
+    from quillon.plans import catalog
+
+    catalog.load()
+    lines = catalog.QUERIES["accuracy_by_tag"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joined = min(i for i, x in enumerate(lines) if "Join Inner" in x)
+    searched = [i for i, x in enumerate(lines) if "RLIKE" in x]
+    assert searched and max(searched) < joined
+
+
 def test_fuzzy():
     assert fuzzy.partial_ratio("abcd", "xxabcdyy") == 100.0
     assert fuzzy.partial_ratio("abcd", "xxabxdyy") == pytest.approx(75.0)
